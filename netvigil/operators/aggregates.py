@@ -19,7 +19,7 @@ from netvigil.functions.labels import (
 )
 from netvigil.functions.text import age_text, format_count, format_delta
 from netvigil.operators.enrich import UNKNOWN_PLACE
-from netvigil.operators.filters import as_of_column, blocked, last_window
+from netvigil.operators.filters import as_of_column, blocked, last_window, latest_ts
 from netvigil.operators.ranking import latest
 
 
@@ -122,6 +122,7 @@ def top_blocked(firewall: DataFrame, k: int = 4) -> DataFrame:
         .agg(F.min_by("rule", F.struct(-F.col("rule_n"), F.col("rule"))).alias("rule"))
         .select("ip", "rule", "n")
         .orderBy(F.desc("n"), "ip")
+        .limit(k)
     )
 
 
@@ -159,30 +160,32 @@ def kpi_cards(packets: DataFrame, as_of=None) -> DataFrame:
     ``delta`` compares the trailing hour with the hour before it.
     """
 
-    def hour(skip):
-        rows = last_window(packets, as_of, skip_hours=skip)
-        return rows.agg(
-            F.count_if(F.col("status") == "malicious").alias("threats"),
-            F.count("*").alias("volume"),
-            F.count_distinct(F.when(F.col("status") == "suspicious", F.col("ip"))).alias("ips"),
-            F.lit(skip).alias("age"),
-        )
-
-    def at(age, column):
-        return F.max(F.when(F.col("age") == age, F.col(column)))
-
+    hour_ago = (
+        latest_ts(packets, "1 HOURS")
+        if as_of is None
+        else as_of_column(packets, as_of) - F.expr("INTERVAL 1 HOURS")
+    )
+    now = F.col("ts") > hour_ago
+    malicious = F.col("status") == "malicious"
+    suspicious_ip = F.when(F.col("status") == "suspicious", F.col("ip"))
+    hours = last_window(packets, as_of, hours=2).agg(
+        F.count_if(now).alias("volume"),
+        F.count_if(~now).alias("volume_before"),
+        (F.count_if(now & malicious) - F.count_if(~now & malicious)).alias("threats_change"),
+        F.count_if(now & malicious).alias("threats"),
+        (
+            F.count_distinct(F.when(now, suspicious_ip)) - F.count_distinct(F.when(~now, suspicious_ip))
+        ).alias("ips_change"),
+    )
     total = packets.agg(F.count("*")).scalar()
     suspicious = kpi_suspicious_ips(packets).scalar()
-    hours = hour(0).unionByName(hour(1)).agg(
-        *[at(a, c).alias(f"{c}_{a}") for c in ("threats", "volume", "ips") for a in (0, 1)]
-    )
     growth = F.try_divide(
-        100.0 * (F.col("volume_0") - F.col("volume_1")), F.col("volume_1").cast("double")
+        100.0 * (F.col("volume") - F.col("volume_before")), F.col("volume_before").cast("double")
     )
     cards = (
-        ("Active Threats", F.col("threats_0"), format_delta(F.col("threats_0") - F.col("threats_1"))),
+        ("Active Threats", F.col("threats"), format_delta(F.col("threats_change"))),
         ("Packets Analyzed", total, format_delta(growth, pct=True)),
-        ("Suspicious IPs", suspicious, format_delta(F.col("ips_0") - F.col("ips_1"))),
+        ("Suspicious IPs", suspicious, format_delta(F.col("ips_change"))),
     )
     return hours.select(
         F.inline(
