@@ -14,13 +14,13 @@ _TIME_OF_DAY = r"^[0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of a size such as ``1.2 KB`` (1 KB = 1024 bytes, rounded)."""
-    number = F.regexp_extract(text, _SIZE, 1).try_cast("double")
+    """Bytes of a size such as ``1.2 KB`` (1 KB = 1024 bytes, rounded); decimal, so exact."""
+    number = F.regexp_extract(text, _SIZE, 1).try_cast("decimal(24,6)")
     unit = F.upper(F.regexp_extract(text, _SIZE, 2))
-    factor = F.lit(None).cast("double")
+    factor = F.lit(None).cast("decimal(13,0)")
     for power, name in enumerate(("B", "KB", "MB", "GB", "TB")):
-        factor = F.when(unit == name, float(1024**power)).otherwise(factor)
-    return F.round(number * factor).cast("bigint")
+        factor = F.when(unit == name, F.lit(1024**power).cast("decimal(13,0)")).otherwise(factor)
+    return F.round(number * factor).try_cast("bigint")
 
 
 def format_size(size_bytes: Column) -> Column:

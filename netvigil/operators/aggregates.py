@@ -21,6 +21,7 @@ from netvigil.functions.text import age_text, format_count, format_delta
 from netvigil.operators.enrich import UNKNOWN_PLACE
 from netvigil.operators.filters import as_of_column, blocked, last_window, latest_ts
 from netvigil.operators.ranking import latest
+from netvigil.operators.sizing import broadcast_top
 
 
 def kpi_active_threats(df: DataFrame, as_of=None) -> DataFrame:
@@ -90,9 +91,9 @@ def top_malicious(
         .orderBy(F.desc("attempts"), "ip")
         .limit(k)
     )
-    places = geo.select("ip", "country").join(F.broadcast(top.select("ip")), "ip", "left_semi")
+    places = geo.select("ip", "country").join(broadcast_top(top.select("ip"), k), "ip", "left_semi")
     return (
-        top.join(F.broadcast(places), "ip", "left")
+        top.join(broadcast_top(places, k), "ip", "left")
         .select(
             "ip",
             F.coalesce("country", F.lit(UNKNOWN_PLACE)).alias("country"),
@@ -117,7 +118,7 @@ def top_blocked(firewall: DataFrame, k: int = 4) -> DataFrame:
         .select(F.col("ip").alias("top_ip"), "n")
     )
     return (
-        counts.join(F.broadcast(top), F.col("ip").eqNullSafe(F.col("top_ip")))
+        counts.join(broadcast_top(top, k), F.col("ip").eqNullSafe(F.col("top_ip")))
         .groupBy("ip", "n")
         .agg(F.min_by("rule", F.struct(-F.col("rule_n"), F.col("rule"))).alias("rule"))
         .select("ip", "rule", "n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 100_000
 
 
 def payload_bytes(df: DataFrame) -> int:
@@ -24,3 +25,8 @@ def broadcast_if_small(df: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> Dat
     and AQE splits the partitions of hot keys.
     """
     return F.broadcast(df) if payload_bytes(df) <= limit_bytes else df
+
+
+def broadcast_top(df: DataFrame, k: int) -> DataFrame:
+    """``df``, known to hold at most ``k`` short rows, hinted for broadcast unless k is large."""
+    return F.broadcast(df) if k <= BROADCAST_ROWS else df

@@ -10,67 +10,74 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netvigil.functions.text import long_to_ip, url_host
+from netvigil.functions.text import url_host
 from netvigil.streaming.operators import alert_rows
 
-BASE_ADDRESS = 167772160
-ADDRESSES_PER_NATION = 60
-PROTOCOLS = ("HTTPS", "HTTP", "SSH", "FTP", "DNS", "MySQL")
-PORTS = {"HTTPS": 443, "HTTP": 80, "SSH": 22, "FTP": 21, "DNS": 53, "MySQL": 3306}
+# Given schemas save the job that would infer them from the files.
+_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_nationkey int, c_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+_KIND = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6"
+_PROTOCOL = (
+    f"CASE {_KIND} WHEN 0 THEN 'HTTPS' WHEN 1 THEN 'HTTP' WHEN 2 THEN 'SSH' WHEN 3 THEN 'FTP' "
+    "WHEN 4 THEN 'DNS' ELSE 'MySQL' END"
+)
+_PORT = (
+    f"CASE {_KIND} WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 22 WHEN 3 THEN 21 "
+    "WHEN 4 THEN 53 ELSE 3306 END"
+)
+_STATUS = (
+    "CASE WHEN value < 90 THEN 'normal' WHEN value < 150 THEN 'suspicious' ELSE 'malicious' END"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _address(number):
-    value = F.lit(BASE_ADDRESS).cast("bigint") + number
-    return value.alias("ip_long"), long_to_ip(value).alias("ip")
+def _ip(number: str) -> str:
+    octets = ", ".join(
+        f"string(shiftright(167772160L + {number}, {shift}) & 255)" for shift in (24, 16, 8, 0)
+    )
+    return f"concat_ws('.', {octets}) AS ip"
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ip_long, ip = _address(F.col("user_id"))
-    kind = F.regexp_extract("props", "([0-9]+)", 1).cast("int") % len(PROTOCOLS)
-    protocol = F.lit(PROTOCOLS[-1])
-    for i, name in enumerate(PROTOCOLS[:-1]):
-        protocol = F.when(kind == i, name).otherwise(protocol)
-    port = F.lit(PORTS["MySQL"])
-    for name, number in PORTS.items():
-        port = F.when(F.col("protocol") == name, number).otherwise(port)
-    return (
-        table(spark, sf_dir, "events")
-        .select(
-            F.col("event_id").alias("packet_id"),
-            "ts",
-            "event_type",
-            ip,
-            ip_long,
-            protocol.alias("protocol"),
-            F.round(F.col("value") * 100).cast("bigint").alias("size_bytes"),
-            F.when(F.col("value") < 90, "normal")
-            .when(F.col("value") < 150, "suspicious")
-            .otherwise("malicious")
-            .alias("status"),
-        )
-        .withColumn("port", port)
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS packet_id",
+        "ts",
+        "event_type",
+        _ip("user_id"),
+        "167772160L + user_id AS ip_long",
+        f"{_PORT} AS port",
+        f"{_PROTOCOL} AS protocol",
+        "CAST(round(value * 100) AS BIGINT) AS size_bytes",
+        f"{_STATUS} AS status",
     )
 
 
 def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log row per packet; packets of ``error`` events were blocked."""
-    is_blocked = F.col("event_type") == "error"
-    return packets(spark, sf_dir).select(
-        F.col("packet_id").alias("log_id"),
+    return packets(spark, sf_dir).selectExpr(
+        "packet_id AS log_id",
         "ts",
         "event_type",
         "ip",
         "port",
         "protocol",
-        F.when(is_blocked, "blocked").otherwise("allowed").alias("action"),
-        F.concat(F.upper("protocol"), F.when(is_blocked, "-BLOCK").otherwise("-ALLOW")).alias(
-            "rule"
-        ),
-        F.when(is_blocked, "high").otherwise("low").alias("severity"),
+        "CASE WHEN event_type = 'error' THEN 'blocked' ELSE 'allowed' END AS action",
+        "concat(upper(protocol), CASE WHEN event_type = 'error' THEN '-BLOCK' ELSE '-ALLOW' END)"
+        " AS rule",
+        "CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS severity",
     )
 
 
@@ -81,45 +88,43 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
-    _, ip = _address(F.col("c_custkey"))
     return (
         table(spark, sf_dir, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(ip, F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+        .join(nation, F.expr("c_nationkey = n_nationkey"))
+        .join(region, F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(_ip("c_custkey"), "n_name AS country", "r_name AS region")
     )
 
 
 def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation i owns 60 addresses in a row."""
-    start = F.lit(BASE_ADDRESS).cast("bigint") + F.col("n_nationkey") * ADDRESSES_PER_NATION
-    return table(spark, sf_dir, "nation").select(
-        start.alias("start"),
-        (start + (ADDRESSES_PER_NATION - 1)).alias("end"),
-        F.col("n_name").alias("country"),
+    return table(spark, sf_dir, "nation").selectExpr(
+        "167772160L + n_nationkey * 60 AS start",
+        "167772160L + n_nationkey * 60 + 59 AS end",
+        "n_name AS country",
     )
 
 
 def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in debt have bad addresses: the score is the debt, in tens."""
-    _, ip = _address(F.col("c_custkey"))
     return (
         table(spark, sf_dir, "customer")
-        .where(F.col("c_acctbal") < 0)
-        .select(ip, F.round(-F.col("c_acctbal") / 10).cast("int").alias("score"))
+        .where("c_acctbal < 0")
+        .selectExpr(_ip("c_custkey"), "CAST(round(-c_acctbal / 10) AS INT) AS score")
     )
 
 
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known-bad hashes: texts labelled toxic. Known-bad hosts: hosts with a page that says free."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     bad_texts = (
         table(spark, sf_dir, "documents")
-        .join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+        .join(toxic, "doc_id", "left_semi")
         .select(F.lit("sha256").alias("kind"), F.sha2("text", 256).alias("value"))
     )
     bad_hosts = (
         table(spark, sf_dir, "pages")
-        .where(F.contains("html", F.lit("free")))
+        .where("contains(html, 'free')")
         .select(F.lit("host").alias("kind"), url_host(F.col("url")).alias("value"))
     )
     return bad_texts.unionByName(bad_hosts).distinct()

@@ -131,7 +131,7 @@ ORACLE_SQL = {
     "s4_stream_firewall": _sql("fw", f"SELECT {_FIREWALL} FROM fw"),
     "s5_export_by_date": _sql(
         "packets",
-        """SELECT CAST(ts AS DATE) AS date, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes
+        """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS bytes
 FROM packets GROUP BY 1""",
     ),
     "s6_capture_restart": _sql("fw", f"SELECT {_FIREWALL} FROM fw"),
@@ -159,7 +159,7 @@ FROM packets GROUP BY ip""",
     ),
     "p4_parse_size": _sql(
         "packets",
-        f"""SELECT packet_id, size, {_PARSED} AS size_bytes, CAST(NULL AS BIGINT) AS malformed
+        f"""SELECT packet_id, size, {_PARSED} AS size_bytes, 'none' AS malformed
 FROM (SELECT packet_id, {_SIZE} AS size FROM packets)""",
     ),
     "p5_format_count": _sql(
@@ -183,7 +183,7 @@ FROM (SELECT packet_id, {_SIZE} AS size FROM packets)""",
         "packets",
         """SELECT packet_id, date_trunc('second', ts) AS full_ts,
   TIMESTAMP '2024-01-31 00:00:00' + (date_trunc('second', ts) - date_trunc('day', ts)) AS time_ts,
-  CAST(NULL AS TIMESTAMP) AS malformed_ts FROM packets""",
+  'none' AS malformed FROM packets""",
     ),
     "p7_raw_packets": _sql(
         "packets",

@@ -113,7 +113,8 @@ def s5_export_by_date(spark, sf):
         path,
         partition_by="date",
     )
-    return read_packets(spark, path).groupBy("date").agg(
+    day = F.col("date").cast("string").alias("day")
+    return read_packets(spark, path).groupBy(day).agg(
         F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")
     )
 
@@ -169,11 +170,12 @@ def p3_worst_status(spark, sf):
 
 def p4_parse_size(spark, sf):
     size = text.format_size(F.col("size_bytes"))
+    malformed = text.parse_size(F.concat(F.col("size"), F.lit("?")))
     return (
         b.packets(spark, sf)
         .select("packet_id", size.alias("size"))
         .withColumn("size_bytes", text.parse_size(F.col("size")))
-        .withColumn("malformed", text.parse_size(F.concat(F.col("size"), F.lit("?"))))
+        .withColumn("malformed", F.coalesce(malformed.cast("string"), F.lit("none")))
     )
 
 
@@ -210,7 +212,9 @@ def p7_parse_ts(spark, sf):
             "packet_id",
             text.parse_ts(F.col("full")).alias("full_ts"),
             text.parse_ts(F.col("time"), "2024-01-31").alias("time_ts"),
-            text.parse_ts(F.concat(F.lit("x"), F.col("full"))).alias("malformed_ts"),
+            F.coalesce(
+                text.parse_ts(F.concat(F.lit("x"), F.col("full"))).cast("string"), F.lit("none")
+            ).alias("malformed"),
         )
     )
 

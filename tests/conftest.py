@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.checkpoint.dir": str(folder),
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
             "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "2000",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
