@@ -39,11 +39,15 @@ def severity_rank(value: Column) -> Column:
 
 def protocol_family(protocol: Column) -> Column:
     """Protocol group shown in the share chart; case does not matter."""
-    name = F.upper(protocol)
-    family = F.lit(OTHER_FAMILY)
-    for label, members in FAMILY_MEMBERS.items():
-        family = F.when(name.isin(*members), label).otherwise(family)
-    return family
+    families = F.create_map(
+        *[
+            F.lit(part)
+            for label, members in FAMILY_MEMBERS.items()
+            for member in members
+            for part in (member, label)
+        ]
+    )
+    return F.coalesce(F.try_element_at(families, F.upper(protocol)), F.lit(OTHER_FAMILY))
 
 
 def family_spellings(family: str) -> list[str]:

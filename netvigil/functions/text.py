@@ -17,10 +17,15 @@ def parse_size(text: Column) -> Column:
     """Bytes of a size such as ``1.2 KB`` (1 KB = 1024 bytes, rounded); decimal, so exact."""
     number = F.regexp_extract(text, _SIZE, 1).try_cast("decimal(24,6)")
     unit = F.upper(F.regexp_extract(text, _SIZE, 2))
-    factor = F.lit(None).cast("decimal(13,0)")
-    for power, name in enumerate(("B", "KB", "MB", "GB", "TB")):
-        factor = F.when(unit == name, F.lit(1024**power).cast("decimal(13,0)")).otherwise(factor)
-    return F.round(number * factor).try_cast("bigint")
+    # A constant map looks the unit up once; nested conditions would extract it for each.
+    factors = F.create_map(
+        *[
+            part
+            for power, name in enumerate(("B", "KB", "MB", "GB", "TB"))
+            for part in (F.lit(name), F.lit(1024**power).cast("decimal(13,0)"))
+        ]
+    )
+    return F.round(number * F.try_element_at(factors, unit)).try_cast("bigint")
 
 
 def format_size(size_bytes: Column) -> Column:

@@ -82,6 +82,11 @@ def reputation_enrich(
     return df.join(lookup, "ip", "left")
 
 
+def _known(indicators: DataFrame, kind: str) -> DataFrame:
+    wanted = (F.col("kind") == kind) & (F.col("value") != "")
+    return indicators.where(wanted).select(F.lower("value").alias(kind))
+
+
 def match_hashes(
     df: DataFrame,
     indicators: DataFrame,
@@ -94,10 +99,12 @@ def match_hashes(
     Content is reduced to its hash before the join, so it is never shuffled.
     Oversize content is not scanned; ``oversize`` lists it.
     """
+    # Coalesce makes the key not nullable. Otherwise the join adds a null check
+    # of the hash at the scan, and all content is hashed twice.
     hashes = df.where(F.octet_length(content) <= MAX_SCAN_BYTES).select(
-        key, F.sha2(content, 256).alias("sha256")
+        key, F.coalesce(F.sha2(content, 256), F.lit("")).alias("sha256")
     )
-    known = indicators.where(F.col("kind") == "sha256").select(F.lower("value").alias("sha256"))
+    known = _known(indicators, "sha256")
     return hashes.join(broadcast_if_small(known, limit_bytes), "sha256", "left_semi").select(
         key, "sha256"
     )
@@ -119,8 +126,8 @@ def match_hosts(
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Keys of URLs whose host is known bad: (key, host)."""
-    hosts = df.select(key, url_host(F.col(url)).alias("host"))
-    known = indicators.where(F.col("kind") == "host").select(F.lower("value").alias("host"))
+    hosts = df.select(key, F.coalesce(url_host(F.col(url)), F.lit("")).alias("host"))
+    known = _known(indicators, "host")
     return hosts.join(broadcast_if_small(known, limit_bytes), "host", "left_semi").select(
         key, "host"
     )

@@ -26,15 +26,10 @@ _SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# An index into a constant array evaluates the expression once; CASE would once per branch.
 _KIND = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 6"
-_PROTOCOL = (
-    f"CASE {_KIND} WHEN 0 THEN 'HTTPS' WHEN 1 THEN 'HTTP' WHEN 2 THEN 'SSH' WHEN 3 THEN 'FTP' "
-    "WHEN 4 THEN 'DNS' ELSE 'MySQL' END"
-)
-_PORT = (
-    f"CASE {_KIND} WHEN 0 THEN 443 WHEN 1 THEN 80 WHEN 2 THEN 22 WHEN 3 THEN 21 "
-    "WHEN 4 THEN 53 ELSE 3306 END"
-)
+_PROTOCOL = f"array('HTTPS', 'HTTP', 'SSH', 'FTP', 'DNS', 'MySQL')[{_KIND}]"
+_PORT = f"array(443, 80, 22, 21, 53, 3306)[{_KIND}]"
 _STATUS = (
     "CASE WHEN value < 90 THEN 'normal' WHEN value < 150 THEN 'suspicious' ELSE 'malicious' END"
 )

@@ -77,11 +77,15 @@ def parse_log_lines(lines: DataFrame, fmt: str = "json", schema: T.StructType =
         is_time = isinstance(field.dataType, T.TimestampType)
         value = parse_ts(raw) if is_time else raw.try_cast(field.dataType)
         typed.append(value.alias(field.name))
-        misfit = misfit | (raw.isNotNull() & value.isNull())
+        if not isinstance(field.dataType, T.StringType):
+            misfit = misfit | (raw.isNotNull() & F.col(f"record.{field.name}").isNull())
+    # Exploding a single element keeps each parse in one place. As plain columns
+    # they would be copied into every condition that filters the result.
     return (
         lines.where(F.trim("value") != "")
-        .withColumn("fields", fields)
-        .withColumns({"record": F.struct(*typed), "is_bad": misfit})
+        .select("*", F.explode(F.array(fields)).alias("fields"))
+        .select("*", F.explode(F.array(F.struct(*typed))).alias("record"))
+        .withColumn("is_bad", misfit)
         .drop("fields")
     )
 
