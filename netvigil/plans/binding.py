@@ -46,8 +46,16 @@ def _ip(number: str) -> str:
     return f"concat_ws('.', {octets}) AS ip"
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files; times get a zone, which watermarks ask for."""
+    # A stream takes a plain path for a folder; a pattern may also name a file.
+    path = f"{sf_dir}/events.parque[t]"
+    return as_stream_rows(spark.readStream.schema(_SCHEMAS["events"]).parquet(path))
+
+
+def packets(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.selectExpr(
         "event_id AS packet_id",
         "ts",
         "event_type",
@@ -60,9 +68,9 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
+def firewall(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """One log row per packet; packets of ``error`` events were blocked."""
-    return packets(spark, sf_dir).selectExpr(
+    return packets(spark, sf_dir, events).selectExpr(
         "packet_id AS log_id",
         "ts",
         "event_type",

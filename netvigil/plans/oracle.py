@@ -128,6 +128,13 @@ ORACLE_SQL = {
     "s2_read_firewall": _sql("fw", f"SELECT {_FIREWALL} FROM fw"),
     "s3_ingest_good": _sql("fw", _GOOD),
     "s3_ingest_quarantine": _sql("fw", _BAD),
+    "s3_store_logs": _sql(
+        "fw",
+        """SELECT rule, 'good' AS outcome, count(*) AS n FROM fw
+WHERE event_type NOT IN ('purchase', 'signup') GROUP BY rule
+UNION ALL SELECT 'none', 'bad', count(*) FROM fw WHERE event_type IN ('purchase', 'signup')""",
+    ),
+    "s4_stream_packets": _sql("packets", f"SELECT {_PACKET} FROM packets"),
     "s4_stream_firewall": _sql("fw", f"SELECT {_FIREWALL} FROM fw"),
     "s5_export_by_date": _sql(
         "packets",

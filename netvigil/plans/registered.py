@@ -21,6 +21,7 @@ from netvigil.sources.readers import (
     packets_from_raw,
     read_firewall,
     read_packets,
+    store_logs,
 )
 from netvigil.streaming import operators as streams
 from netvigil.streaming.lifecycle import run_available
@@ -102,10 +103,25 @@ def s3_ingest_quarantine(spark, sf):
     return bad.select("line")
 
 
+def s3_store_logs(spark, sf):
+    """Both outcomes of an ingest that parses the lines once."""
+    good, bad = store_logs(spark, _log_lines(spark, sf), work_path(spark, "stored"))
+    rule = F.coalesce("rule", F.lit("none")).alias("rule")
+    kept = good.groupBy(rule, F.lit("good").alias("outcome")).agg(F.count("*").alias("n"))
+    quarantined = bad.groupBy(
+        F.lit("none").alias("rule"), F.lit("bad").alias("outcome")
+    ).agg(F.count("*").alias("n"))
+    return kept.unionByName(quarantined)
+
+
 def s4_stream_firewall(spark, sf):
     return _streamed(spark, stream_firewall(spark, _firewall_files(spark, sf)), "s4")
 
 
+def s4_stream_packets(spark, sf):
+    return _streamed(spark, stream_packets(spark, _packet_files(spark, sf)), "s4")
+
+
 def s5_export_by_date(spark, sf):
     path = work_path(spark, "export")
     export(
@@ -468,12 +484,9 @@ def n1_spikes(spark, sf):
 # Streaming
 
 
-def _packet_stream(spark, sf):
-    return stream_packets(spark, _packet_files(spark, sf))
-
-
 def t1_stream_traffic(spark, sf):
-    return _streamed(spark, streams.stream_traffic(_packet_stream(spark, sf)), "t1")
+    p = b.packets(spark, sf, b.event_stream(spark, sf))
+    return _streamed(spark, streams.stream_traffic(p), "t1")
 
 
 def t2_stream_ingest_good(spark, sf):
@@ -486,19 +499,20 @@ def t2_stream_ingest_quarantine(spark, sf):
 
 
 def t3_stream_actions(spark, sf):
-    log = stream_firewall(spark, _firewall_files(spark, sf))
+    log = b.firewall(spark, sf, b.event_stream(spark, sf))
     return _streamed(spark, streams.stream_actions(log), "t3")
 
 
 def t4_alert_stream(spark, sf):
-    return _streamed(spark, streams.alert_stream(_packet_stream(spark, sf)), "t4")
+    p = b.packets(spark, sf, b.event_stream(spark, sf))
+    return _streamed(spark, streams.alert_stream(p), "t4")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_read_packets, s2_read_firewall, s3_ingest_good, s3_ingest_quarantine,
-        s4_stream_firewall, s5_export_by_date, s6_capture_restart,
+        s1_read_packets, s2_read_firewall, s3_ingest_good, s3_ingest_quarantine, s3_store_logs,
+        s4_stream_firewall, s4_stream_packets, s5_export_by_date, s6_capture_restart,
         p1_fill_defaults, p2_classify, p3_severity_rank, p3_worst_status, p4_parse_size,
         p5_format_count, p5_format_delta, p6_age_text, p7_parse_ts, p7_raw_packets,
         p7_raw_firewall, p8_protocol_family, p9_risk_label, p10_activity_view, p10_packet_view,

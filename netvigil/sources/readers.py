@@ -100,10 +100,32 @@ def bad_lines(parsed: DataFrame) -> DataFrame:
     return parsed.where("is_bad").select(F.col("value").alias("line"), "source_file")
 
 
+def _parsed_lines(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    lines = spark.read.text(path).withColumn("source_file", F.col("_metadata.file_name"))
+    return parse_log_lines(lines, fmt, schema)
+
+
 def ingest_logs(
     spark: SparkSession, path: str, fmt: str = "json", schema: T.StructType = FIREWALL
 ) -> tuple[DataFrame, DataFrame]:
-    """Read uploaded log lines: (good rows, quarantined lines)."""
-    lines = spark.read.text(path).withColumn("source_file", F.col("_metadata.file_name"))
-    parsed = parse_log_lines(lines, fmt, schema)
+    """Read uploaded log lines: (good rows, quarantined lines).
+
+    Each of the two parses the lines when it is used; to use both, see ``store_logs``.
+    """
+    parsed = _parsed_lines(spark, path, fmt, schema)
     return good_records(parsed, schema), bad_lines(parsed)
+
+
+def store_logs(
+    spark: SparkSession, path: str, out: str, fmt: str = "json", schema: T.StructType = FIREWALL
+) -> tuple[DataFrame, DataFrame]:
+    """As ``ingest_logs``, but parse once, into a new Parquet table split by outcome."""
+    when_bad = [F.when(F.col("is_bad"), F.col(c)).alias(c) for c in ("value", "source_file")]
+    _parsed_lines(spark, path, fmt, schema).select("is_bad", "record", *when_bad).write.partitionBy(
+        "is_bad"
+    ).mode("errorifexists").parquet(out)
+    record = T.StructField("record", schema)
+    text = [T.StructField(c, T.StringType()) for c in ("value", "source_file")]
+    outcome = T.StructField("is_bad", T.BooleanType())
+    stored = spark.read.schema(T.StructType([record, *text, outcome])).parquet(out)
+    return good_records(stored, schema), bad_lines(stored)

@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from netvigil.operators import aggregates, correlate, enrich, filters, lookup, trends
 from netvigil.session import work_path
 from netvigil.sources.export import export, with_date
-from netvigil.sources.readers import read_packets
+from netvigil.sources.readers import ingest_logs, read_packets
 
 QUERIES = entry_module.queries()
 
@@ -155,3 +155,22 @@ def test_hash_match_never_shuffles_content(spark):
     for line in text.splitlines():
         if "Exchange" in line:
             assert "content" not in line
+
+
+def test_content_is_hashed_once(spark, sf_dir):
+    from netvigil.plans import binding
+
+    docs = binding.table(spark, sf_dir, "documents")
+    ind = spark.createDataFrame([("sha256", "x")], "kind string, value string")
+    assert plan(enrich.match_hashes(docs, ind, "doc_id", "text")).count("sha2(") == 1
+    pages = binding.table(spark, sf_dir, "pages")
+    assert plan(enrich.match_hosts(pages, ind)).count("ParseUrlEvaluator") == 1
+
+
+def test_log_lines_are_parsed_once(spark):
+    path = work_path(spark, "once")
+    export(spark.createDataFrame([("{}",)], "value string"), path, "text")
+    for part in ingest_logs(spark, path):
+        text = "\n".join(line for line in plan(part).splitlines() if "FileScan" not in line)
+        assert text.count("from_json(") == 1
+        assert text.count("gettimestamp(") <= 1

@@ -13,6 +13,7 @@ from netvigil.sources.readers import (
     ingest_logs,
     read_firewall,
     read_packets,
+    store_logs,
 )
 
 
@@ -77,6 +78,40 @@ def test_ingest_json(spark):
     assert all(r["source_file"].endswith(".txt") for r in bad.collect())
 
 
+def test_stored_ingest_gives_the_same(spark):
+    path, out = work_path(spark, "json"), work_path(spark, "stored")
+    export(spark.createDataFrame([(x,) for x in JSON_LINES], "value string"), path, "text")
+    for stored, read in zip(store_logs(spark, path, out), ingest_logs(spark, path)):
+        assert stored.dtypes == read.dtypes
+        assert rows_of(stored) == rows_of(read)
+    good, _ = store_logs(spark, path, work_path(spark, "stored"))
+    text = good._jdf.queryExecution().executedPlan().toString()
+    assert "is_bad" in text.split("PartitionFilters: [")[1].split("]")[0]
+    with pytest.raises(AnalysisException):
+        store_logs(spark, path, out)
+
+
+def test_a_date_with_most_rows_is_split_over_files(spark):
+    rows = spark.range(30_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("x"),
+        F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("d"),
+    )
+    path = work_path(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        export(rows.repartition(16), path, partition_by="d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    stored = spark.read.parquet(path)
+    files = stored.select("d", F.input_file_name().alias("f")).distinct().groupBy("d").count()
+    per_value = {r["d"]: r["count"] for r in files.collect()}
+    assert stored.count() == 30_000
+    assert per_value["hot"] > 1
+    # Values that share the hot one's partition are split with it; most are in one file.
+    others = sorted(n for d, n in per_value.items() if d != "hot")
+    assert others[len(others) // 2] == 1
+
+
 def test_ingest_csv(spark):
     lines = [
         "1.1.1.1,22,blocked,R,2026-04-12 14:23:45,high",
