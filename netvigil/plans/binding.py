@@ -113,7 +113,7 @@ def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "customer")
         .where("c_acctbal < 0")
-        .selectExpr(_ip("c_custkey"), "CAST(round(-c_acctbal / 10) AS INT) AS score")
+        .selectExpr(_ip("c_custkey"), "round(-c_acctbal / 10) AS score")
     )
 
 

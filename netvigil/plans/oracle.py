@@ -37,7 +37,7 @@ _CTES = {
     n_name AS country, r_name AS region, c_acctbal
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "rep": """
-  SELECT ip, CAST(round(-c_acctbal / 10) AS INT) AS score FROM geo WHERE c_acctbal < 0""",
+  SELECT ip, round(-c_acctbal / 10) AS score FROM geo WHERE c_acctbal < 0""",
     "recent": """
   SELECT * FROM packets WHERE ts > (SELECT max(ts) FROM packets) - INTERVAL 1 HOUR""",
     "earlier": """
@@ -252,12 +252,14 @@ WHERE ts > (SELECT max(ts) FROM packets) - INTERVAL 6 HOUR""",
     ),
     "f7_lookup": _sql(
         "packets",
-        f"""SELECT {_PACKET}, 'present' AS asked FROM packets
-WHERE packet_id = (SELECT max(packet_id) FROM packets)
+        f"""SELECT CAST(packet_id AS VARCHAR) AS packet_id, ip, CAST(port AS VARCHAR) AS port, protocol,
+  CAST(size_bytes AS VARCHAR) AS size_bytes, status, ts, asked FROM (
+    SELECT {_PACKET}, 'present' AS asked FROM packets
+    WHERE packet_id = (SELECT max(packet_id) FROM packets)
+    UNION ALL
+    SELECT * FROM (SELECT {_PACKET}, 'out of range' FROM packets ORDER BY ts, packet_id LIMIT 1))
 UNION ALL
-SELECT * FROM (SELECT {_PACKET}, 'out of range' FROM packets ORDER BY ts, packet_id LIMIT 1)
-UNION ALL
-SELECT NULL, '-', NULL, '-', NULL, 'normal', NULL, 'empty table'""",
+SELECT '-', '-', '-', '-', '-', 'normal', NULL, 'empty table'""",
     ),
     "j1_geo_enrich": _sql(
         "packets geo",

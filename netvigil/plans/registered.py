@@ -340,7 +340,10 @@ def f7_lookup(spark, sf):
     for name, df, key in parts:
         row = lookup.lookup_or_first(df, key).withColumn("asked", F.lit(name))
         result = row if result is None else result.unionByName(row)
-    return result
+    # As shown: numbers are text, and what the sentinel lacks is a dash.
+    numbers = ("packet_id", "port", "size_bytes")
+    shown = result.withColumns({c: F.col(c).cast("string") for c in numbers})
+    return columns.fill_defaults(shown, dict.fromkeys(numbers, "-"))
 
 
 # Joins

@@ -66,7 +66,7 @@ GEO_RANGE = T.StructType(
 REPUTATION = T.StructType(
     [
         T.StructField("ip", T.StringType()),
-        T.StructField("score", T.IntegerType()),
+        T.StructField("score", T.DoubleType()),
     ]
 )
 

@@ -17,6 +17,11 @@ RECOMMENDED = {
 }
 
 
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings for a cluster: three shuffle partitions per core, which AQE merges where small."""
+    return {**RECOMMENDED, "spark.sql.shuffle.partitions": str(3 * cores)}
+
+
 def local_session(name: str, cores: int | str = "*", **conf: str) -> SparkSession:
     """A single-machine session for tests and bench runs."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
