@@ -30,7 +30,7 @@ MIN_GROUP = 100
 # A fence stands this many quartile ranges above the upper quartile, the range being
 # taken as at least `FLOOR` of the measure, so that a group without spread has room.
 REACH = 6.0
-FLOOR = {"symbols": 0.01, "dup_lines": 0.05, "repeats": 0.05, "word_length": 1.0}
+FLOOR = {"symbols": 0.01, "dup_lines": 0.1, "repeats": 0.1, "word_length": 1.0}
 
 
 def _repeat_words(hashes: Column, n_words: Column) -> Column:
