@@ -44,7 +44,7 @@ from netvigil.llm.common import ship, stored, text_hash
 WIDTH = 200
 TRIGGER = 32
 ENTRIES = 2000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 FILTER_BITS = 25  # 2**25 bits: 4 MB
 _PLACE = np.uint64(22)  # bits of a place in a chunk
 
