@@ -32,7 +32,7 @@ from netvigil.llm.common import ship, text_hash
 WINDOW = 10
 SHINGLE = 3
 BLOCK_BYTES = 2 << 20
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 # Fixed by the contract: words are digits, a-z and all beyond ASCII; A-Z is lowered.
 _WORD_BYTES = bytes(

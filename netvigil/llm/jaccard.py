@@ -40,7 +40,7 @@ from netvigil.llm.components import components
 SHINGLE = 3
 PERCENT = 90
 CELLS = 1 << 18
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 PIVOT_ROUNDS = 2
 BLOCK_CELLS = 1 << 12
 
