@@ -14,6 +14,10 @@ component. Only entries that share a list with another component are compared ag
 new pivots, and at last the smaller components of a list with all of its entries, so that
 no link between two components is missed. Inside a component no pair is listed.
 
+*Comparing.* A pair's parity bitmaps, a bit per shingle, bound its difference from below and
+rule out nearly all pairs that only share a common shingle; the sets themselves are fetched
+and intersected for what is left.
+
 Rarity comes from counts of all documents' shingles in a fixed number of cells, about a
 quarter of a million; they only order shingles, so collisions cost time and not results.
 Shingles and classes are 64-bit hashes.
@@ -36,6 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from netvigil.llm.bytesets import Rolling, groups, mix, signed, text_bytes
 from netvigil.llm.common import ship, stored, summed
 from netvigil.llm.components import components
+from netvigil.llm.filters import Filter
 
 SHINGLE = 3
 PERCENT = 90
@@ -88,13 +93,37 @@ def class_ids(code: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return mix(mix(one) + two, 103) ^ np.diff(borders).astype(np.uint64)
 
 
+def bitmaps(code: np.ndarray, borders: np.ndarray) -> list[bytes]:
+    """A bit per shingle or so, set by parity: two sets differ in at least as many shingles as
+    their bitmaps in bits. Widths are powers of two; halves fold together by exclusive or."""
+    n = np.diff(borders)
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bit = (mix(code, 104) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(begin[owner] + bit, minlength=begin[-1])
+    raw = np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    return [raw[begin[i] // 8 : begin[i + 1] // 8] for i in range(len(n))]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of how many shingles are in one set only."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        folded = int.from_bytes(x[:half], "big") ^ int.from_bytes(x[half:], "big")
+        x = folded.to_bytes(half, "big")
+    return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
+
+
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """Stored rows of two kinds: (doc_id, class, n) per document, and (cell block, counts):
+    """Stored rows of two kinds: (doc_id, class, n, bits) per document, and (block, counts):
     how many sets hold shingles of each rarity cell, as told by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "class", "n", "block", "counts"]
+        names = ["doc_id", "class", "n", "bits", "block", "counts"]
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for low, high in groups([len(t) for t in texts], CHUNK):
@@ -106,6 +135,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
                         batch.column("doc_id").slice(low, rows),
                         signed(class_ids(code, borders)),
                         pa.array(np.diff(borders), pa.int64()),
+                        pa.array(bitmaps(code, borders), pa.binary()),
                         pa.nulls(rows, pa.int32()),
                         pa.nulls(rows, pa.binary()),
                     ],
@@ -118,6 +148,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
                 pa.nulls(len(used), doc_type),
                 pa.nulls(len(used), pa.int64()),
                 pa.nulls(len(used), pa.int64()),
+                pa.nulls(len(used), pa.binary()),
                 pa.array(used, pa.int32()),
                 pa.array([blocks[i].tobytes() for i in used], pa.binary()),
             ],
@@ -128,7 +159,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
     doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
     return stored(
         docs.select("doc_id", "text").mapInArrow(
-            run, f"doc_id {kind}, class bigint, n bigint, block int, counts binary"
+            run, f"doc_id {kind}, class bigint, n bigint, bits binary, block int, counts binary"
         ),
         "jaccard-members",
     )
@@ -197,33 +228,53 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
-def _sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """Stored (class, shingles) of the needed classes, from one document of each."""
-    chosen = classes.join(needed, "class", "left_semi").select(
-        F.col("doc_id").alias("of_doc"), "class"
-    )
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("of_doc"))
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not rule out that they are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            bits = zip(
+                batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True
+            )
+            apart = np.array([least_difference(x, y) for x, y in bits], np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * total
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def side(name: str) -> DataFrame:
+        return classes.select(
+            F.col("class").alias(name),
+            F.col("n").alias(f"n_{name}"),
+            F.col("bits").alias(f"bits_{name}"),
+        )
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """Stored (class, shingles) of the needed classes (column ``key``)."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            wanted = batch.column("class").to_numpy()
             for low, high in groups([len(t) for t in texts], CHUNK):
                 code, borders = shingle_sets(texts[low:high], size)
-                ids = class_ids(code, borders).view(np.int64)
-                at = [i for i in range(high - low) if ids[i] == wanted[low + i]]
+                ids, first = np.unique(class_ids(code, borders), return_index=True)
+                wanted = shared.value(ids)
+                ids, first = ids[wanted], first[wanted]
+                sets = [code[borders[i] : borders[i + 1]].tobytes() for i in first]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[at], pa.int64()),
-                        pa.array(
-                            [code[borders[i] : borders[i + 1]].tobytes() for i in at], pa.binary()
-                        ),
-                    ],
-                    ["class", "shingles"],
+                    [signed(ids), pa.array(sets, pa.binary())], ["key", "shingles"]
                 )
 
-    found = rows.select("text", "class").mapInArrow(run, "class bigint, shingles binary")
-    return stored(found.dropDuplicates(["class"]), "jaccard-sets")
+    found = docs.select("text").mapInArrow(run, "key bigint, shingles binary")
+    return stored(
+        found.join(needed, "key", "left_semi")
+        .dropDuplicates(["key"])
+        .withColumnRenamed("key", "class"),
+        "jaccard-sets",
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,22 +371,27 @@ def jaccard_components(
     ship(docs.sparkSession)
     members = _members(docs, size)
     rows = members.where("block IS NULL")
-    classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id")
+    classes = stored(
+        rows.where("n > 0")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("bits").alias("bits")),
+        "jaccard-classes",
     )
     lists = _lists(docs, _rarity(members), size, percent)
-    needed = lists.select("class").distinct()
-    sets = _sets(docs, classes, needed, size)
 
     links = None
-    unlabelled = lists.withColumn("label", F.col("class"))
-    for label in [f"jaccard-pairs{i}" for i in range(PIVOT_ROUNDS)] + ["last"]:
-        mixed = unlabelled if links is None else _labelled(lists, links)
-        if label == "last":
-            pairs = _last_pairs(mixed, percent)
+    for last in [False] * PIVOT_ROUNDS + [True]:
+        if links is None:
+            mixed = lists.withColumn("label", F.col("class"))
         else:
-            pairs = _pivot_pairs(mixed, percent)
-        found = stored(_verified(stored(pairs, "jaccard-pairs"), sets, percent), "jaccard-links")
+            mixed = _labelled(lists, links)
+        pairs = _last_pairs(mixed, percent) if last else _pivot_pairs(mixed, percent)
+        pairs = stored(_near(stored(pairs, "jaccard-pairs"), classes, percent), "jaccard-near")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        if links is not None and pairs.isEmpty():
+            continue
+        sets = _sets(docs, stored(needed, "jaccard-needed"), size)
+        found = stored(_verified(pairs, sets, percent), "jaccard-links")
         links = found if links is None else links.unionByName(found)
 
     of = components(links, "jaccard-components")

@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.llm.bytesets import Rolling, mix, signed, text_bytes
+from netvigil.llm.filters import Filter
 from netvigil.llm.common import ship, stored, text_hash
 
 WIDTH = 200
 TRIGGER = 32
 ENTRIES = 2000
 CHUNK = 1 << 18
-FILTER_BITS = 25  # 2**25 bits: 4 MB
 _PLACE = np.uint64(22)  # bits of a place in a chunk
 
 
@@ -146,38 +146,6 @@ def _repeated_triggers(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-class Filter:
-    """A set of keys as bits; tells some keys wrongly as members, never the other way."""
-
-    def __init__(self, keys: DataFrame):
-        words = 1 << (FILTER_BITS - 6)
-        bits = F.explode(
-            F.array(
-                *[
-                    F.shiftrightunsigned(F.col("key"), shift).bitwiseAND(2**FILTER_BITS - 1)
-                    for shift in (0, 32)
-                ]
-            )
-        )
-        rows = (
-            keys.select(bits.alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
-        )
-        self.words = np.zeros(words, np.int64)
-        for word, bits in rows.toLocalIterator():  # at most 2**FILTER_BITS / 64 rows
-            self.words[word] = bits
-
-    def __call__(self, key: np.ndarray) -> np.ndarray:
-        words = self.words.view(np.uint64)
-        found = np.ones(len(key), bool)
-        for shift in (0, 32):
-            bit = (key >> np.uint64(shift)) & np.uint64(2**FILTER_BITS - 1)
-            word = words[(bit >> np.uint64(6)).astype(np.int64)]
-            found &= (word >> (bit & np.uint64(63))) & np.uint64(1) > 0
-        return found
-
-
 def _parse(docs: DataFrame, triggers: DataFrame, width: int) -> DataFrame:
     """Stored (key, entry, doc, start, end): the phrases whose trigger is repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(triggers))
