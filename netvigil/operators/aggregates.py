@@ -178,8 +178,9 @@ def kpi_cards(packets: DataFrame, as_of=None) -> DataFrame:
             F.count_distinct(F.when(now, suspicious_ip)) - F.count_distinct(F.when(~now, suspicious_ip))
         ).alias("ips_change"),
     )
-    total = packets.agg(F.count("*")).scalar()
-    suspicious = kpi_suspicious_ips(packets).scalar()
+    upto = packets if as_of is None else packets.where(F.col("ts") <= as_of_column(packets, as_of))
+    total = upto.agg(F.count("*")).scalar()
+    suspicious = kpi_suspicious_ips(upto).scalar()
     growth = F.try_divide(
         100.0 * (F.col("volume") - F.col("volume_before")), F.col("volume_before").cast("double")
     )

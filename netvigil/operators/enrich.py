@@ -17,9 +17,14 @@ UNKNOWN_PLACE = "-"  # fixed value: shown where an address has no country
 
 
 def geo_enrich(df: DataFrame, geo: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Add country (and region, if the table has one) by address; ``-`` if unknown."""
+    """Add country (and region, if the table has one) by address; ``-`` if unknown.
+
+    Of several rows for an address the least by country, then region, counts, so that no
+    telemetry row is multiplied.
+    """
     places = [c for c in ("country", "region") if c in geo.columns]
-    lookup = broadcast_if_small(geo.select("ip", *places), limit_bytes)
+    once = geo.groupBy("ip").agg(F.min(F.struct(*places)).alias("place")).select("ip", "place.*")
+    lookup = broadcast_if_small(once, limit_bytes)
     return df.join(lookup, "ip", "left").na.fill(UNKNOWN_PLACE, places)
 
 
@@ -77,8 +82,9 @@ def geo_enrich_ranges(
 def reputation_enrich(
     df: DataFrame, reputation: DataFrame, limit_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Add the abuse score by address; null if the address has none."""
-    lookup = broadcast_if_small(reputation.select("ip", "score"), limit_bytes)
+    """Add the abuse score by address, the highest of several; null if the address has none."""
+    once = reputation.groupBy("ip").agg(F.max("score").alias("score"))
+    lookup = broadcast_if_small(once, limit_bytes)
     return df.join(lookup, "ip", "left")
 
 

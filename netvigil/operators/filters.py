@@ -78,7 +78,8 @@ def last_window(
     """Rows with ``ts`` in ``(as_of - hours, as_of]``.
 
     ``skip_hours`` moves the window back. A ``date`` column, if there, is
-    filtered as well, which prunes folders.
+    filtered as well, which prunes folders; as the folders may have been named in
+    another time zone, by a day more on either side.
     """
     back, ahead = hours + skip_hours, skip_hours
     if as_of is None:
@@ -94,7 +95,7 @@ def last_window(
     if end is not None:
         rows = rows.where(F.col("ts") <= end)
     if "date" in df.columns:
-        rows = rows.where(F.col("date") >= F.to_date(start))
+        rows = rows.where(F.col("date") >= F.date_sub(F.to_date(start), 1))
         if end is not None:
-            rows = rows.where(F.col("date") <= F.to_date(end))
+            rows = rows.where(F.col("date") <= F.date_add(F.to_date(end), 1))
     return rows

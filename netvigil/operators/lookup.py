@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,25 @@ def lookup_or_first(
 ) -> DataFrame:
     """The row with the given key; else the first row in ``order``; else one sentinel row.
 
-    Which key to show is settled by a scalar subquery over the key and order
-    columns alone; the whole row is then read by its key, a filter the scan
-    uses to skip row groups. ``key_column`` must be unique.
+    Which row to show is settled by one aggregate over the key and order columns;
+    the whole row is then read by its key, a filter the scan uses to skip row
+    groups. ``key_column`` must be unique but for rows without a key, which the order
+    columns tell apart.
     """
-    wanted = df.where(F.col(key_column) == key).select(key_column, F.lit(0).alias("prio")).limit(1)
-    first = (
-        df.select(*dict.fromkeys((key_column, *order)))
-        .orderBy(*[F.col(c).asc_nulls_last() for c in order])
-        .limit(1)
-        .select(key_column, F.lit(1).alias("prio"))
+    columns = dict.fromkeys((*order, key_column))
+    rank = F.struct(
+        F.coalesce(F.col(key_column) != key, F.lit(True)).alias("other"),
+        *[
+            part
+            for c in columns
+            for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(f"of_{c}"))
+        ],
     )
-    chosen = wanted.unionByName(first).orderBy("prio").limit(1).select(key_column)
-    row = df.where(F.col(key_column) == chosen.scalar()).withColumn("prio", F.lit(0))
+    chosen = df.agg(F.min(rank).alias("row"))
+    row = df
+    for c in columns:
+        row = row.where(F.col(c).eqNullSafe(chosen.select(f"row.of_{c}").scalar()))
+    row = row.withColumn("prio", F.lit(0)).where(chosen.select(F.col("row").isNotNull()).scalar())
 
     sentinel = df.sparkSession.range(1).select(
         *[
@@ -49,29 +57,27 @@ def search(
     characters on either side. Each table is scanned once, however many of its
     columns are searched.
     """
-    needle = F.lower(F.lit(term))
+    pattern = rf"(?iu)\Q{term}\E" if r"\E" not in term else "(?iu)" + re.escape(term)
     found = []
     for source, (df, keys, columns) in tables.items():
         key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
-        any_match = F.lit(False)
-        for c in columns:
-            any_match = any_match | F.coalesce(F.contains(F.lower(c), needle), F.lit(False))
+        # What stands before and after the first match; one part if there is none.
         fields = F.array(
-            *[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns]
+            *[
+                F.struct(F.lit(c).alias("column"), F.split(c, pattern, 2).alias("parts"), F.col(c).alias("text"))
+                for c in columns
+            ]
         )
-        hits = df.where(any_match).select(key.alias("key"), F.inline(fields))
-        at = F.expr("instr(lower(text), needle)")
-        start = F.greatest(at - context, F.lit(1))
+        hits = F.filter(fields, lambda x: F.size(x.parts) == 2)
+        before, after = F.col("parts")[0], F.col("parts")[1]
+        start = F.greatest(F.length(before) - context + 1, F.lit(1))
+        end = F.length("text") - F.length(after) + context
         found.append(
-            hits.withColumn("needle", needle)
-            .where(F.contains(F.lower("text"), F.col("needle")))
-            .select(
+            df.select(key.alias("key"), F.inline(hits)).select(
                 F.lit(source).alias("source"),
                 "key",
                 "column",
-                F.substring(
-                    F.col("text"), start, at - start + F.length("needle") + context
-                ).alias("snippet"),
+                F.substring(F.col("text"), start, end - start + 1).alias("snippet"),
             )
         )
     result = found[0]

@@ -105,16 +105,18 @@ def hourly_delta(df: DataFrame) -> DataFrame:
 
 
 def cumulative_share(shares: DataFrame) -> DataFrame:
-    """Chart segments in display order: (family, start, end).
+    """Chart segments in display order: (family, start, end), from (family, n).
 
+    Shares are running counts over the total, rounded once, so the last one ends at 1.
     The running sum is global, over one row per protocol family.
     """
-    order = Window.orderBy(F.desc("share"), "family").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("share").over(order)
+    order = Window.orderBy(F.desc("n"), "family").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("n").over(Window.partitionBy())
+    end = F.sum("n").over(order)
     return shares.select(
         "family",
-        F.round(end - F.col("share"), 4).alias("start"),
-        F.round(end, 4).alias("end"),
+        F.round((end - F.col("n")) / total, 4).alias("start"),
+        F.round(end / total, 4).alias("end"),
     )
 
 

@@ -373,9 +373,9 @@ SELECT 3, 'Suspicious IPs', {_COUNT.format('a')}, printf('%+d', n - n1) FROM (
     "w1_hourly_delta": _sql("hourly", "SELECT hour, n, delta, pct FROM hourly"),
     "w3_cumulative_share": _sql(
         "shares",
-        """SELECT family, round("end" - share, 4) AS start, round("end", 4) AS "end" FROM (
-  SELECT family, share, sum(share) OVER (ORDER BY share DESC, family
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "end" FROM shares)""",
+        """SELECT family, round(("upto" - n) / total, 4) AS start, round("upto" / total, 4) AS "end" FROM (
+  SELECT family, n, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, family
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS "upto" FROM shares)""",
     ),
     "l1_latest": _sql("fw", f"SELECT log_id, {_FIREWALL} FROM fw ORDER BY ts DESC, log_id LIMIT 20"),
     "l2_in_arrival_order": _sql(

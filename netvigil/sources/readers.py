@@ -10,6 +10,7 @@ from netvigil.functions.text import parse_size, parse_ts
 from netvigil.schemas import FIREWALL, PACKET
 
 _CORRUPT = "_corrupt_record"
+_LINE_END = "netvigil_line_end"
 
 
 def _read(spark: SparkSession, schema: T.StructType, path: str, fmt: str, options: dict):
@@ -58,20 +59,31 @@ def parse_log_lines(lines: DataFrame, fmt: str = "json", schema: T.StructType =
 
     Fields are read as text and then typed, so a quoted number is as good as a
     bare one; the field of ``ts`` is called ``time`` in a log. Adds ``record``
-    (the typed row) and ``is_bad``: the line is not valid ``fmt``, or one of its
-    fields does not fit its type. Blank lines are no records.
+    (the typed row) and ``is_bad``: the line is not exactly one record of ``fmt``, none of
+    its fields is known, or one does not fit its type. Blank lines are no records.
     """
     names = ["time" if f.name == "ts" else f.name for f in schema]
-    ddl = ", ".join(f"`{name}` string" for name in (*names, _CORRUPT))
+    columns = ", ".join(f"`{name}` string" for name in names)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     if fmt == "json":
-        fields = F.from_json("value", ddl, options)
+        # A JSON parser stops after the first value. In an envelope whose last field has
+        # to be met, whatever follows the line's record makes the whole line malformed.
+        kinds = f"record struct<{columns}>, {_LINE_END} string, {_CORRUPT} string"
+        envelope = F.concat(F.lit('{"record":'), "value", F.lit(f',"{_LINE_END}":"1"}}'))
+        parsed = F.from_json(envelope, kinds, options)
+        whole = F.col(f"parsed.{_LINE_END}").isNotNull() & ~F.contains("value", F.lit(_LINE_END))
     elif fmt == "csv":
-        fields = F.from_csv("value", ddl, options)
+        kinds = f"{columns}, {_CORRUPT} string"
+        parsed = F.from_csv("value", kinds, options)
+        whole = F.lit(True)
     else:
         raise ValueError(f"unknown log format: {fmt}")
+    fields = F.col("parsed.record") if fmt == "json" else F.col("parsed")
 
-    typed, misfit = [], F.col(f"fields.{_CORRUPT}").isNotNull() | F.col("fields").isNull()
+    nothing = F.lit(True)
+    for name in names:
+        nothing = nothing & F.col(f"fields.{name}").isNull()
+    typed, misfit = [], F.col(f"parsed.{_CORRUPT}").isNotNull() | ~whole | nothing
     for field, name in zip(schema, names):
         raw = F.col(f"fields.{name}")
         is_time = isinstance(field.dataType, T.TimestampType)
@@ -83,10 +95,11 @@ def parse_log_lines(lines: DataFrame, fmt: str = "json", schema: T.StructType =
     # they would be copied into every condition that filters the result.
     return (
         lines.where(F.trim("value") != "")
-        .select("*", F.explode(F.array(fields)).alias("fields"))
+        .select("*", F.explode(F.array(parsed)).alias("parsed"))
+        .select("*", fields.alias("fields"))
         .select("*", F.explode(F.array(F.struct(*typed))).alias("record"))
         .withColumn("is_bad", misfit)
-        .drop("fields")
+        .drop("parsed", "fields")
     )
 
 
@@ -101,7 +114,7 @@ def bad_lines(parsed: DataFrame) -> DataFrame:
 
 
 def _parsed_lines(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    lines = spark.read.text(path).withColumn("source_file", F.col("_metadata.file_name"))
+    lines = spark.read.text(path).withColumn("source_file", F.col("_metadata.file_path"))
     return parse_log_lines(lines, fmt, schema)
 
 

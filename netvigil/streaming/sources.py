@@ -47,6 +47,6 @@ def stream_log_lines(
     lines = (
         spark.readStream.option("maxFilesPerTrigger", max_files)
         .text(path)
-        .withColumn("source_file", F.col("_metadata.file_name"))
+        .withColumn("source_file", F.col("_metadata.file_path"))
     )
     return parse_log_lines(lines, fmt, schema)

@@ -192,7 +192,8 @@ def test_protocol_share_and_segments(spark):
 def test_segments_of_the_displayed_shares(spark):
     # The shares the chart shows.
     shown = [("HTTP/HTTPS", 0.45), ("SSH", 0.20), ("FTP", 0.15), ("DNS", 0.12), ("Other", 0.08)]
-    df = spark.createDataFrame(shown, "family string, share double")
+    counts = [(family, round(100 * share)) for family, share in shown]
+    df = spark.createDataFrame(counts, "family string, n long")
     assert values(trends.cumulative_share(df)) == [
         ("HTTP/HTTPS", 0.0, 0.45), ("SSH", 0.45, 0.65), ("FTP", 0.65, 0.8), ("DNS", 0.8, 0.92),
         ("Other", 0.92, 1.0),

@@ -65,7 +65,8 @@ def test_time_filter_prunes_dates(spark, stored):
     recent = filters.last_window(stored, "2026-04-13 10:00:00").select("ip")
     text = plan(recent)
     partition_filters = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", text).group(1)
-    assert "2026-04-13" in partition_filters
+    # A day more on either side: the folders may have been named in another zone.
+    assert "2026-04-12" in partition_filters and "2026-04-14" in partition_filters
     assert "GreaterThan(ts" in text
 
     newest = filters.last_window(stored).select("ip")
