@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.bytesets import text_bytes
+from netvigil.llm.bytesets import groups, text_bytes
 from netvigil.llm.common import ship, stored, summed
 
 OWN = 8192
@@ -39,12 +39,13 @@ SHARED = 8192
 END = OWN + SHARED
 CLASSES = END + 1
 # Words whose counts tasks hold; the counts of all others are joined.
-FREQUENT = 200_000
+FREQUENT = 65_536
 STATES = 8
 ROUNDS = 4
 CUT = 1 << 16
-FLUSH_WORDS = 500_000
-STEP_TOKENS = 1 << 19
+FLUSH_WORDS = 300_000
+STEP_TOKENS = 1 << 18
+CHUNK = 1 << 20  # bytes of text encoded at a time
 LANES = 512
 FOLDS = 7
 HELD_OUT = 2
@@ -145,38 +146,44 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
         inner = np.where(classes < OWN, 0.0, logs - within[classes])
         end_log = math.log10(v.ends + 1.0)
         for batch in batches:
-            out = []
-            for text in text_bytes(batch.column("text")):
-                tokens = text.lower().split()
-                at = np.array([place.get(w, -1) for w in tokens], np.int64)
-                known = at >= 0
-                symbols = np.empty(len(tokens) + 1, np.uint16)
-                symbols[:-1] = classes[at]
-                rare = Counter()
-                for i in np.flatnonzero(~known):
-                    symbols[i] = shared_class(tokens[i])
-                    rare[tokens[i]] += 1
-                symbols[-1] = END
-                out.append(
-                    (
-                        len(tokens) + 1,
-                        int(known.sum()) + (v.ends > 0),
-                        float(logs[at[known]].sum()) + end_log,
-                        float(inner[at[known]].sum()),
-                        symbols.tobytes(),
-                        [{"word": w, "n": n} for w, n in rare.items()],
+            texts = text_bytes(batch.column("text"))
+            for low, high in groups([len(t) for t in texts], CHUNK):
+                out, rare_words, rare_counts, borders = [], [], [], [0]
+                for text in texts[low:high]:
+                    tokens = text.lower().split()
+                    at = np.array([place.get(w, -1) for w in tokens], np.int64)
+                    known = at >= 0
+                    symbols = np.empty(len(tokens) + 1, np.uint16)
+                    symbols[:-1] = classes[at]
+                    rare: Counter = Counter()
+                    for i in np.flatnonzero(~known):
+                        symbols[i] = shared_class(tokens[i])
+                        rare[tokens[i]] += 1
+                    symbols[-1] = END
+                    rare_words.extend(rare)
+                    rare_counts.extend(rare.values())
+                    borders.append(len(rare_words))
+                    out.append(
+                        (
+                            len(tokens) + 1,
+                            int(known.sum()) + (v.ends > 0),
+                            float(logs[at[known]].sum()) + end_log,
+                            float(inner[at[known]].sum()),
+                            symbols.tobytes(),
+                        )
                     )
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+                words_of = pa.StructArray.from_arrays(
+                    [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())],
+                    ["word", "n"],
                 )
-            kinds = [
-                pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(),
-                pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])),
-            ]
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("row", "doc_id", "held_out")] + columns,
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "classes",
-                 "rare"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(low, high - low) for c in ("row", "doc_id", "held_out")]
+                    + [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
+                    + [pa.ListArray.from_arrays(pa.array(borders, pa.int32()), words_of)],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside",
+                     "classes", "rare"],
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(
