@@ -297,15 +297,21 @@ class Lanes:
 
 
 def _packs(batch: pa.RecordBatch, cut: int | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """The class sequences of a batch, in packs of about STEP_TOKENS tokens."""
-    rows, pieces, total = [], [], 0
+    """The class sequences of a batch, long ones first, in packs of about STEP_TOKENS tokens.
+
+    Sequences of like length share a pack, so that many can be stepped through together.
+    """
+    found = []
     for i, raw in enumerate(batch.column("classes").to_pylist()):
         symbols = np.frombuffer(raw, np.uint16)
         step = cut or len(symbols)
-        for at in range(0, len(symbols), step):
-            rows.append(i)
-            pieces.append(symbols[at : at + step])
-        total += len(symbols)
+        found.extend((i, symbols[at : at + step]) for at in range(0, len(symbols), step))
+    found.sort(key=lambda x: -len(x[1]))
+    rows, pieces, total = [], [], 0
+    for i, piece in found:
+        rows.append(i)
+        pieces.append(piece)
+        total += len(piece)
         if total >= STEP_TOKENS:
             yield rows, pieces
             rows, pieces, total = [], [], 0
