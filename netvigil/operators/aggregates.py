@@ -82,7 +82,8 @@ def top_malicious(
     """Addresses with most malicious packets: (ip, country, attempts, risk).
 
     Only the k winners meet the geo table: they are broadcast (k rows) to pick
-    their rows out of it, so the geo table is neither shuffled nor broadcast.
+    their rows out of it, so the geo table is neither shuffled nor broadcast. An
+    address with several geo rows is shown once, with the country that sorts first.
     """
     top = (
         packets.where(F.col("status") == "malicious")
@@ -91,7 +92,12 @@ def top_malicious(
         .orderBy(F.desc("attempts"), "ip")
         .limit(k)
     )
-    places = geo.select("ip", "country").join(broadcast_top(top.select("ip"), k), "ip", "left_semi")
+    places = (
+        geo.select("ip", "country")
+        .join(broadcast_top(top.select("ip"), k), "ip", "left_semi")
+        .groupBy("ip")
+        .agg(F.min("country").alias("country"))
+    )
     return (
         top.join(broadcast_top(places, k), "ip", "left")
         .select(
@@ -207,11 +213,16 @@ def kpi_cards(packets: DataFrame, as_of=None) -> DataFrame:
 
 
 def worst_status(packets: DataFrame) -> DataFrame:
-    """Worst classification per address: (ip, rank, label)."""
+    """Worst classification per address: (ip, rank, label).
+
+    Of several unknown statuses the label that sorts last is shown. Text can only be
+    aggregated by sorting, so the distinct pairs are taken first, by hash: what is
+    sorted is a few rows per address and not the telemetry.
+    """
+    rank, label = severity_rank(F.col("status")), classify(F.col("status"))
     return (
-        packets.groupBy("ip")
-        .agg(
-            F.max(severity_rank(F.col("status"))).alias("rank"),
-            F.max_by(classify(F.col("status")), severity_rank(F.col("status"))).alias("label"),
-        )
+        packets.select("ip", rank.alias("rank"), label.alias("label"))
+        .distinct()
+        .groupBy("ip")
+        .agg(F.max("rank").alias("rank"), F.max_by("label", F.struct("rank", "label")).alias("label"))
     )

@@ -42,22 +42,28 @@ def _spine(counts: DataFrame, bucket: str, step: str) -> DataFrame:
 def traffic_5m(packets: DataFrame) -> DataFrame:
     """Packets per five minutes and status, quiet buckets as 0.
 
-    Columns: (bucket_start, normal, suspicious, malicious). Gaps are filled by
-    adding zero rows to the aggregated counts and summing again: no join.
+    Columns: (bucket_start, normal, suspicious, malicious, other); ``other`` counts
+    unknown and null statuses. A packet without time is in no bucket. Gaps are filled
+    by adding zero rows to the aggregated counts and summing again: no join.
     """
     step = "5 minutes"
+    known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    series = (*STATUSES, "other")
     counts = (
         packets.select(bucket_start(step).alias("bucket_start"), "status")
         .groupBy("bucket_start")
-        .agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+        .agg(
+            *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+            F.count_if(~known).alias("other"),
+        )
     )
     zeros = _spine(counts, "bucket_start", step).select(
-        "bucket_start", *[F.lit(0).cast("bigint").alias(s) for s in STATUSES]
+        "bucket_start", *[F.lit(0).cast("bigint").alias(s) for s in series]
     )
     return (
         counts.unionByName(zeros)
         .groupBy("bucket_start")
-        .agg(*[F.sum(s).alias(s) for s in STATUSES])
+        .agg(*[F.sum(s).alias(s) for s in series])
     )
 
 
@@ -150,20 +156,33 @@ def spikes(
 ) -> DataFrame:
     """Buckets whose count exceeds mean + k standard deviations of the n before them.
 
-    Columns: (protocol, region, bucket_start, n, mean, stddev). Without n earlier
-    buckets there is no baseline and no spike.
+    Columns: (protocol, region, bucket_start, n, mean, stddev). A quiet bucket counts
+    0, as in the other trends: the window spans times, and sums over it need no rows for
+    quiet buckets. There is no spike in the first n buckets of the table. Above a baseline
+    without spread every larger count is a spike. ``bucket`` is a number and a unit.
     """
-    before = Window.partitionBy("protocol", "region").orderBy("bucket_start").rowsBetween(-n, -1)
+    number, unit = bucket.split()
+    span = f"""OVER (PARTITION BY protocol, region ORDER BY bucket_start
+        RANGE BETWEEN INTERVAL {n * int(number)} {unit} PRECEDING AND INTERVAL {bucket} PRECEDING)"""
+    first = packets.agg(F.min("ts")).scalar()
+    reaches_back = first < F.col("bucket_start") - F.expr(f"INTERVAL {(n - 1) * int(number)} {unit}")
     return (
         bucket_counts(packets, geo, bucket, limit_bytes)
         .withColumns(
             {
-                "mean": F.avg("n").over(before),
-                "stddev": F.stddev_samp("n").over(before),
-                "baseline": F.count("n").over(before),
+                "total": F.coalesce(F.expr(f"sum(n) {span}"), F.lit(0)),
+                "squares": F.coalesce(F.expr(f"sum(n * n) {span}"), F.lit(0)),
+            }
+        )
+        .withColumns(
+            {
+                "mean": F.col("total") / n,
+                "stddev": F.sqrt(
+                    (n * F.col("squares") - F.col("total") * F.col("total")) / (n * (n - 1))
+                ),
             }
         )
-        .where((F.col("baseline") == n) & (F.col("n") > F.col("mean") + k * F.col("stddev")))
+        .where(reaches_back & (F.col("n") > F.col("mean") + k * F.col("stddev")))
         .select(
             "protocol",
             "region",

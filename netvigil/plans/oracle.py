@@ -61,6 +61,10 @@ _CTES = {
   SELECT family, count(*) AS n,
     round(count(*)::DOUBLE / (SELECT count(*) FROM packets), 4) AS share
   FROM families GROUP BY family""",
+    "daily": """
+  SELECT p.protocol, coalesce(g.region, '-') AS region,
+    time_bucket(INTERVAL 1 DAY, p.ts) AS bucket_start, count(*) AS n
+  FROM packets p LEFT JOIN geo g ON g.ip = p.ip GROUP BY 1, 2, 3""",
 }
 
 _NEEDS = {
@@ -76,6 +80,7 @@ _NEEDS = {
     "hourly": ("packets", "hours", "hour_spine"),
     "closed": ("packets",),
     "shares": ("packets", "families"),
+    "daily": ("packets", "geo"),
 }
 
 
@@ -319,7 +324,8 @@ FROM recent_fw GROUP BY action""",
         "packets",
         """SELECT s.bucket_start, count(*) FILTER (p.status = 'normal') AS normal,
   count(*) FILTER (p.status = 'suspicious') AS suspicious,
-  count(*) FILTER (p.status = 'malicious') AS malicious
+  count(*) FILTER (p.status = 'malicious') AS malicious,
+  count(p.ts) - count(p.ts) FILTER (p.status IN ('normal', 'suspicious', 'malicious')) AS other
 FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, min(ts)),
     time_bucket(INTERVAL 5 MINUTE, max(ts)), INTERVAL 5 MINUTE)) AS bucket_start FROM packets) s
 LEFT JOIN packets p ON time_bucket(INTERVAL 5 MINUTE, p.ts) = s.bucket_start
@@ -406,16 +412,15 @@ LEFT JOIN (SELECT ip, count(*) FILTER (action = 'blocked') AS blocked,
 LEFT JOIN rep r ON r.ip = g.ip""",
     ),
     "n1_spikes": _sql(
-        "packets geo",
+        "daily",
         """SELECT protocol, region, bucket_start, n, round(mean, 4) AS mean, round(sd, 4) AS stddev
-FROM (SELECT protocol, region, bucket_start, n, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd,
-    count(*) OVER w AS baseline
-  FROM (SELECT p.protocol, coalesce(g.region, '-') AS region,
-      time_bucket(INTERVAL 1 DAY, p.ts) AS bucket_start, count(*) AS n
-    FROM packets p LEFT JOIN geo g ON g.ip = p.ip GROUP BY 1, 2, 3)
-  WINDOW w AS (PARTITION BY protocol, region ORDER BY bucket_start
-    ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-WHERE baseline = 7 AND n > mean + 2 * sd""",
+FROM (SELECT c.protocol, c.region, c.bucket_start, c.n, coalesce(sum(b.n), 0) / 7 AS mean,
+    sqrt((7 * coalesce(sum(b.n * b.n), 0) - coalesce(sum(b.n), 0) ** 2) / 42) AS sd
+  FROM daily c CROSS JOIN range(1, 8) d(back) LEFT JOIN daily b ON b.protocol = c.protocol
+    AND b.region = c.region AND b.bucket_start = c.bucket_start - d.back * INTERVAL 1 DAY
+  WHERE c.bucket_start - 7 * INTERVAL 1 DAY >= (SELECT min(bucket_start) FROM daily)
+  GROUP BY c.protocol, c.region, c.bucket_start, c.n)
+WHERE n > mean + 2 * sd""",
     ),
     "t1_stream_traffic": _sql(
         "closed",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from netvigil.functions.columns import FIREWALL_DEFAULTS, PACKET_DEFAULTS, activity_view, fill_defaults
 from netvigil.operators import aggregates as agg
 from netvigil.operators import trends
-from netvigil.operators.filters import filter_packets, last_window
+from netvigil.operators.filters import blocked, filter_protocol, filter_status, last_window
 from netvigil.operators.lookup import lookup_or_first
 from netvigil.operators.ranking import in_arrival_order, latest
 
@@ -16,8 +17,22 @@ def _fill(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
     return fill_defaults(df, {c: v for c, v in defaults.items() if c in df.columns})
 
 
+def _filtered(packets: DataFrame, protocol: str | None, status: str | None) -> DataFrame:
+    """Filter the stored columns, which reaches the scan, then fill what is shown.
+
+    No protocol choice stands for a missing protocol; a missing status is normal.
+    """
+    rows = filter_protocol(packets, protocol)
+    if status == PACKET_DEFAULTS["status"]:
+        rows = rows.where(F.col("status").isNull() | (F.col("status") == status))
+    else:
+        rows = filter_status(rows, status)
+    return _fill(rows, PACKET_DEFAULTS)
+
+
 def dashboard(packets: DataFrame, alerts: DataFrame, geo: DataFrame, as_of=None) -> dict[str, DataFrame]:
     """Threat score, KPI cards, traffic, alerts, protocol shares and top malicious addresses."""
+    malicious = _filtered(packets, "all", "malicious")
     packets = _fill(packets, PACKET_DEFAULTS)
     shares = agg.protocol_share(packets)
     return {
@@ -27,7 +42,7 @@ def dashboard(packets: DataFrame, alerts: DataFrame, geo: DataFrame, as_of=None)
         "alerts": agg.active_alerts(alerts, as_of),
         "protocol_share": shares,
         "protocol_segments": trends.cumulative_share(shares),
-        "top_malicious": agg.top_malicious(packets, geo),
+        "top_malicious": agg.top_malicious(malicious, geo),
     }
 
 
@@ -39,10 +54,9 @@ def packet_page(
     rows: int = 100,
 ) -> dict[str, DataFrame]:
     """The filtered packet table and the details of the selected packet."""
-    packets = _fill(packets, PACKET_DEFAULTS)
     return {
-        "packets": in_arrival_order(filter_packets(packets, protocol, status), rows),
-        "details": lookup_or_first(packets, selected),
+        "packets": in_arrival_order(_filtered(packets, protocol, status), rows),
+        "details": lookup_or_first(_fill(packets, PACKET_DEFAULTS), selected),
     }
 
 
@@ -50,11 +64,12 @@ def firewall_page(
     firewall: DataFrame, packets: DataFrame, geo: DataFrame, as_of=None, rows: int = 100
 ) -> dict[str, DataFrame]:
     """Recent activity and the insight panel."""
+    stopped = _fill(blocked(firewall), FIREWALL_DEFAULTS)
     firewall = _fill(firewall, FIREWALL_DEFAULTS)
     return {
         "activity": activity_view(latest(last_window(firewall, as_of), rows, "ip", "rule")),
         "events_last_hour": agg.events_last_hour(firewall, as_of),
         "actions": agg.action_breakdown(firewall, as_of),
-        "top_blocked": agg.top_blocked(firewall),
+        "top_blocked": agg.top_blocked(stopped),
         "spikes": trends.spikes(packets, geo),
     }

@@ -273,7 +273,7 @@ def test_worst_status(spark):
 def test_traffic_fills_gaps(spark):
     rows = [("a", "SSH", "normal", 0), ("a", "SSH", "odd", 299), ("a", "SSH", "malicious", 1800)]
     got = values(trends.traffic_5m(traffic(spark, rows)).orderBy("bucket_start"))
-    assert [r[1:] for r in got] == [(1, 0, 0)] + [(0, 0, 0)] * 5 + [(0, 0, 1)]
+    assert [r[1:] for r in got] == [(1, 0, 0, 1)] + [(0, 0, 0, 0)] * 5 + [(0, 0, 1, 0)]
     assert trends.traffic_5m(traffic(spark, rows).where("false")).count() == 0
 
 
@@ -300,6 +300,19 @@ def test_spikes_need_a_full_baseline(spark):
     assert got == [("SSH", "EAST", 40, 10.4286)]
 
 
+def test_quiet_buckets_count_as_zero_before_a_spike(spark):
+    geo = spark.createDataFrame([("a", "EAST")], "ip string, region string")
+    rows = [("a", "SSH", "normal", d * 10 * 86400) for d in range(4) for _ in range(3)]
+    got = values(trends.spikes(traffic(spark, rows), geo), "n", "mean", "stddev")
+    assert got == [(3, 0.0, 0.0)] * 3
+
+
+def test_top_malicious_shows_an_address_once(spark):
+    geo = spark.createDataFrame([("a", "NL"), ("a", "DE")], "ip string, country string")
+    got = values(aggregates.top_malicious(traffic(spark, [("a", "SSH", "malicious", 1)]), geo))
+    assert got == [("a", "DE", 1, "LOW")]
+
+
 def test_order(spark):
     newest = values(ranking.latest(firewall(spark), 2, "ip"), "ip")
     assert newest == ["185.220.101.45", "103.56.207.23"]
