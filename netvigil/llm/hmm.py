@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,8 @@ STATES = 8
 ROUNDS = 4
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
-STEP_TOKENS = 1 << 18
+STEP_TOKENS = 1 << 19
 CHUNK = 1 << 20  # bytes of text encoded at a time
-LANES = 512
 FOLDS = 7
 HELD_OUT = 2
 # Weight of the class frequencies in a state's smoothed emissions.
@@ -151,14 +151,14 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
                 out, rare_words, rare_counts, borders = [], [], [], [0]
                 for text in texts[low:high]:
                     tokens = text.lower().split()
-                    at = np.array([place.get(w, -1) for w in tokens], np.int64)
+                    at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
                     known = at >= 0
                     symbols = np.empty(len(tokens) + 1, np.uint16)
                     symbols[:-1] = classes[at]
-                    rare: Counter = Counter()
-                    for i in np.flatnonzero(~known):
-                        symbols[i] = shared_class(tokens[i])
-                        rare[tokens[i]] += 1
+                    others = np.flatnonzero(~known)
+                    unknown = [tokens[i] for i in others.tolist()]
+                    symbols[others] = [shared_class(w) for w in unknown]
+                    rare = Counter(unknown)
                     symbols[-1] = END
                     rare_words.extend(rare)
                     rare_counts.extend(rare.values())
@@ -213,86 +213,70 @@ def first_model(words: Vocabulary, states: int, seed: int) -> Model:
 
 
 class Lanes:
-    """Sequences laid one after another into lanes that are stepped through together."""
+    """Sequences, long ones first, that are stepped through together, one to a lane.
+
+    Lanes end with their sequences, so that the open ones are always the first. Arrays hold
+    all open lanes of a step, then those of the next.
+    """
 
     def __init__(self, sequences: list[np.ndarray]):
         sizes = np.array([len(s) for s in sequences])
-        total, longest = int(sizes.sum()), int(sizes.max())
-        width = max(1, min(LANES, len(sizes), -(-total // longest)))
-        order = np.argsort(-sizes, kind="stable")
-        fill = np.zeros(width, np.int64)
-        lane, begin = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        for i in order:
-            lane[i] = to = int(fill.argmin())
-            begin[i] = fill[to]
-            fill[to] += sizes[i]
-        steps = int(fill.max())
-        self.symbols = np.full((steps, width), CLASSES, np.int64)  # CLASSES: nothing
-        self.first = np.zeros((steps, width), bool)
-        for i, s in enumerate(sequences):
-            self.symbols[begin[i] : begin[i] + len(s), lane[i]] = s
-            self.first[begin[i], lane[i]] = True
-        self.lane, self.begin, self.sizes = lane, begin, sizes
+        self.order = np.argsort(-sizes, kind="stable")
+        # How many lanes are open at each step, and where the steps begin.
+        self.open = len(sizes) - np.cumsum(np.bincount(sizes))[:-1]
+        self.begin = np.concatenate([[0], np.cumsum(self.open)])
+        self.symbols = np.empty(self.begin[-1], np.int64)
+        for lane, i in enumerate(self.order):
+            self.symbols[self.begin[: sizes[i]] + lane] = sequences[i]
 
     def forward(self, model: Model, keep: bool):
-        """Scales of all steps, and if asked the scaled forward probabilities."""
-        steps, width = self.symbols.shape
-        emit = np.vstack([model.emit, np.ones(model.emit.shape[1])])
-        scales = np.empty((steps, width))
-        kept = np.empty((steps, width, len(model.start))) if keep else None
-        alpha = np.broadcast_to(model.start, (width, len(model.start)))
-        any_first = self.first.any(axis=1)
-        for t in range(steps):
-            alpha = alpha @ model.move
-            if any_first[t]:
-                alpha[self.first[t]] = model.start
-            alpha *= emit[self.symbols[t]]
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            scales[t] = scale
+        """Scales of all steps, and if asked the scaled forward probabilities by state."""
+        states = len(model.start)
+        emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+        scales = np.empty(len(self.symbols))
+        kept = np.empty((states, len(self.symbols))) if keep else None
+        alpha = None
+        for begin, end in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True):
+            here = emit.take(self.symbols[begin:end], axis=1)
+            here *= model.start[:, None] if alpha is None else move @ alpha[:, : end - begin]
+            scale = here.sum(axis=0)
+            here /= scale
+            scales[begin:end] = scale
             if keep:
-                kept[t] = alpha
+                kept[:, begin:end] = here
+            alpha = here
         return scales, kept
 
     def log_likelihoods(self, model: Model) -> np.ndarray:
         """log10 of each sequence's probability."""
         scales, _ = self.forward(model, keep=False)
-        logs = np.log10(scales)
-        return np.array(
-            [
-                logs[b : b + n, k].sum()
-                for b, n, k in zip(self.begin, self.sizes, self.lane, strict=True)
-            ]
-        )
+        lane = np.arange(len(scales)) - np.repeat(self.begin[:-1], self.open)
+        logs = np.empty(len(self.order))
+        logs[self.order] = np.bincount(lane, np.log10(scales), len(logs))
+        return logs
 
     def expectations(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions."""
-        steps, width = self.symbols.shape
-        states = len(model.start)
         scales, alpha = self.forward(model, keep=True)
-        emit = np.vstack([model.emit, np.ones(states)])
-        moves = np.zeros((states, states))
-        beta = np.ones((width, states))
-        after = np.zeros((width, 1))  # whether step t + 1 goes on with the same sequence
-        ahead = np.ones((width, states))
-        back = model.move.T.copy()
-        for t in range(steps - 1, -1, -1):
-            if t < steps - 1:
-                goes_on = (~self.first[t + 1] & (self.symbols[t + 1] < CLASSES))[:, None]
-                ahead = emit[self.symbols[t + 1]] * beta / scales[t + 1][:, None]
-                after = ahead * goes_on
-                moves += alpha[t].T @ after
-                beta = np.where(goes_on, ahead @ back, 1.0)
+        emit = np.ascontiguousarray(model.emit.T)
+        moves = np.zeros(model.move.shape)
+        beta = None  # of the step after
+        for t in range(len(self.open) - 1, -1, -1):
+            begin, end = self.begin[t], self.begin[t + 1]
+            here = alpha[:, begin:end]
+            before, beta = beta, np.ones(here.shape)
+            if before is not None:
+                going_on = before.shape[1]
+                after = slice(end, end + going_on)
+                before *= emit.take(self.symbols[after], axis=1)
+                before /= scales[after]
+                moves += here[:, :going_on] @ before.T
+                beta[:, :going_on] = model.move @ before
             # alpha becomes the probability of each state given the whole sequence
-            ahead = alpha[t] * beta
-            alpha[t] = ahead
+            here *= beta
         moves *= model.move
-        alpha /= np.maximum(alpha.sum(axis=2, keepdims=True), 1e-300)
-        flat, symbols = alpha.reshape(-1, states), self.symbols.reshape(-1)
-        emitted = np.stack(
-            [np.bincount(symbols, flat[:, s], CLASSES + 1)[:CLASSES] for s in range(states)]
-        )
-        starts = alpha[self.first].sum(axis=0)
+        emitted = np.stack([np.bincount(self.symbols, row, CLASSES) for row in alpha])
+        starts = alpha[:, : self.begin[1]].sum(axis=1)
         return starts, moves, emitted
 
 
