@@ -116,8 +116,8 @@ def shingles(text, size=3):
     return frozenset(tuple(ws[i : i + size]) for i in range(len(ws) - size + 1))
 
 
-def jaccard(docs, percent=90):
-    sets = [(doc, shingles(text)) for doc, text in docs]
+def jaccard(docs, percent=90, size=3):
+    sets = [(doc, shingles(text, size)) for doc, text in docs]
     root = list(range(len(sets)))
 
     def find(i):
