@@ -3,8 +3,9 @@
 A document is measured on its whole text. Two base rules hold everywhere. What passes
 them feeds quantile sketches, one per language, source and measure: counts of log-spaced
 bins, which bound the relative error of a quantile and merge by adding counts, so that
-they do not depend on partitions or order. Upper fences come from the quartiles of a
-document's group; a group below ``min_group`` documents uses the merged sketch of its
+they do not depend on partitions or order. Upper fences come from the lower half of a
+document's group, which junk, as what lies above a fence, does not move while it is less than
+six tenths of the group; a group below ``min_group`` documents uses the merged sketch of its
 language, and a small language that of the corpus. The fences, a few numbers per group,
 are joined back to filter.
 
@@ -27,10 +28,12 @@ MEASURES = ("symbols", "dup_lines", "repeats", "word_length")
 GROWTH = 1.05
 SMALLEST = 1e-4
 MIN_GROUP = 100
-# A fence stands this many quartile ranges above the upper quartile, the range being
-# taken as at least `FLOOR` of the measure, so that a group without spread has room.
+# A fence stands REACH times the spread from the LOW to the MIDDLE quantile above the middle
+# one. The spread is taken as at least `FLOOR` of the measure, so that a group without spread
+# has room. Where half of a group is junk, these are quantiles 0.2 and 0.8 of the rest.
+LOW, MIDDLE = 0.1, 0.4
 REACH = 6.0
-FLOOR = {"symbols": 0.01, "dup_lines": 0.1, "repeats": 0.1, "word_length": 1.0}
+FLOOR = {"symbols": 0.01, "dup_lines": 0.06, "repeats": 0.06, "word_length": 0.3}
 
 
 def _repeat_words(hashes: Column, n_words: Column) -> Column:
@@ -148,16 +151,16 @@ def _fences(bins: DataFrame, group: list[str]) -> DataFrame:
         F.sum("n").over(upto).alias("rank"),
         F.sum("n").over(whole).alias("total"),
     )
-    quartiles = ranked.groupBy(*group, "measure").agg(
-        F.min(F.when(F.col("rank") >= 0.25 * F.col("total"), F.col("value"))).alias("q1"),
-        F.min(F.when(F.col("rank") >= 0.75 * F.col("total"), F.col("value"))).alias("q3"),
+    quantiles = ranked.groupBy(*group, "measure").agg(
+        F.min(F.when(F.col("rank") >= LOW * F.col("total"), F.col("value"))).alias("low"),
+        F.min(F.when(F.col("rank") >= MIDDLE * F.col("total"), F.col("value"))).alias("middle"),
         F.max("total").alias("n"),
     )
     floor = F.create_map(*[F.lit(x) for pair in FLOOR.items() for x in pair])
-    fence = F.col("q3") + REACH * F.greatest(
-        F.col("q3") - F.col("q1"), F.try_element_at(floor, F.col("measure"))
+    fence = F.col("middle") + REACH * F.greatest(
+        F.col("middle") - F.col("low"), F.try_element_at(floor, F.col("measure"))
     )
-    return quartiles.groupBy(*group).agg(
+    return quantiles.groupBy(*group).agg(
         F.max("n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("measure", fence.alias("fence")))).alias(
             "fences"

@@ -441,3 +441,37 @@ def test_quality_keeps_good_documents(spark, sf_dir):
     good, bad = (table.get((1, k), 0) for k in (True, False))
     assert bad <= 0.005 * (good + bad)
     assert table.get((0, True), 0) <= 0.02 * table.get((0, False), 0)
+
+
+def _measured(spark, n, junk):
+    """Measures of n documents of one source, the given share of them junk in all measures."""
+    i = F.col("id")
+    bad = i % 100 < junk
+    m = {
+        "n_words": F.lit(1000),
+        "word_chars": F.when(bad, 9000).otherwise(4700 + i % 700),
+        "n_symbols": F.when(bad, 2700).otherwise(i % 40),
+        "n_lines": F.lit(100),
+        "n_dup_lines": F.when(bad, 70).otherwise(i % 7),
+        "n_repeat_words": F.when(bad, 450).otherwise(i % 50),
+    }
+    return spark.range(n).select(
+        F.lit("en").alias("lang"),
+        F.lit("a").alias("source"),
+        F.struct(*[v.cast("long").alias(k) for k, v in m.items()]).alias("m"),
+        bad.alias("bad"),
+    )
+
+
+@pytest.mark.parametrize("junk", [0, 30, 40, 50])
+def test_quality_of_a_source_with_much_junk(spark, junk):
+    measured = _measured(spark, 10_000, junk)
+    fences = quality.thresholds(measured)
+    found = quality.judged(measured, fences).groupBy("bad", "kept").count().collect()
+    assert {(r.bad, r.kept) for r in found} == {(False, True), (True, False)} - (
+        set() if junk else {(True, False)}
+    )
+    # Each measure rejects by itself, repeats below the base rule's 0.5.
+    fence = fences.first().fences
+    assert fence["symbols"] < 0.3 and fence["dup_lines"] < 0.7
+    assert fence["repeats"] < 0.45 and fence["word_length"] < 9
