@@ -5,8 +5,9 @@ them feeds quantile sketches, one per language, source and measure: counts of lo
 bins, which bound the relative error of a quantile and merge by adding counts, so that
 they do not depend on partitions or order. Upper fences come from the lower half of a
 document's group, which junk, as what lies above a fence, does not move while it is less than
-six tenths of the group; a group below ``min_group`` documents uses the merged sketch of its
-language, and a small language that of the corpus. The fences, a few numbers per group,
+six tenths of the group. A group of n documents gives its own fences the weight
+n / (n + ``borrow``) and takes the rest from its language, which leans on the corpus in the
+same way, so that no size switches between them. The fences, a few numbers per group,
 are joined back to filter.
 
 Null text has no words and fails the base rules. Null language or source is a group of
@@ -27,7 +28,8 @@ MEASURES = ("symbols", "dup_lines", "repeats", "word_length")
 # Bins grow by 5 %, so that a quantile is off by 2.5 % at most; smaller values are zero.
 GROWTH = 1.05
 SMALLEST = 1e-4
-MIN_GROUP = 100
+# Documents of its own at which a group's fences weigh as much as its language's.
+BORROW = 10
 # A fence stands REACH times the spread from the LOW to the MIDDLE quantile above the middle
 # one. The spread is taken as at least `FLOOR` of the measure, so that a group without spread
 # has room. Where half of a group is junk, these are quantiles 0.2 and 0.8 of the rest.
@@ -168,7 +170,7 @@ def _fences(bins: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def thresholds(measured: DataFrame, borrow: int = BORROW) -> DataFrame:
     """(lang, source, fences), a row per group that has documents passing the base rules."""
     bins = stored(sketches(measured), "quality-sketches")
     groups = _fences(bins, ["lang", "source"])
@@ -178,6 +180,11 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     corpus = _fences(bins.withColumn("all", F.lit(1)), ["all"]).select(
         F.col("all"), F.col("fences").alias("by_all")
     )
+
+    def leaning(n: str, own: str | Column, other: str | Column) -> Column:
+        weight = F.col(n) / (F.col(n) + borrow)
+        return F.map_zip_with(own, other, lambda _, x, y: weight * x + (1 - weight) * y)
+
     return stored(
         groups.join(langs, groups.lang.eqNullSafe(langs.of_lang))
         .withColumn("all", F.lit(1))
@@ -185,10 +192,7 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         .select(
             "lang",
             "source",
-            F.when(F.col("n") >= min_group, F.col("fences"))
-            .when(F.col("n_lang") >= min_group, F.col("by_lang"))
-            .otherwise(F.col("by_all"))
-            .alias("fences"),
+            leaning("n", "fences", leaning("n_lang", "by_lang", "by_all")).alias("fences"),
         ),
         "quality-fences",
     )
@@ -226,7 +230,7 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def keep_good(docs: DataFrame, borrow: int = BORROW) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
     columns = docs.columns
     measured = docs.select(
@@ -235,5 +239,5 @@ def keep_good(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         measures(text_or_empty()).alias("m"),
         F.struct(*[F.col(c) for c in columns]).alias("row"),
     )
-    fences = thresholds(measured.select("lang", "source", "m"), min_group)
+    fences = thresholds(measured.select("lang", "source", "m"), borrow)
     return judged(measured, fences).where("kept").select("row.*")

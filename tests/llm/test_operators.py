@@ -475,3 +475,18 @@ def test_quality_of_a_source_with_much_junk(spark, junk):
     fence = fences.first().fences
     assert fence["symbols"] < 0.3 and fence["dup_lines"] < 0.7
     assert fence["repeats"] < 0.45 and fence["word_length"] < 9
+
+
+def test_quality_fences_do_not_switch_with_the_size_of_a_source(spark):
+    small = _measured(spark, 100, 0).select(
+        "lang",
+        F.explode(F.array(F.lit("99"), F.lit("100"))).alias("source"),
+        F.col("m").withField("n_symbols", 800 + F.col("m.n_symbols")).alias("m"),
+    )
+    less = small.where("source = '99'").limit(99).unionByName(small.where("source = '100'"))
+    measured = less.unionByName(_measured(spark, 10_000, 0).drop("bad"))
+    fences = quality.thresholds(measured)
+    by = {r.source: r.fences["symbols"] for r in fences.collect()}
+    assert by["99"] == pytest.approx(by["100"], rel=0.02)
+    found = quality.judged(measured, fences).groupBy("source").agg(F.min("kept").alias("all"))
+    assert all(r["all"] for r in found.collect())
