@@ -1,16 +1,16 @@
 """A hidden Markov language model over words, trained and applied on Spark.
 
-Symbols are classes of words: the ``OWN`` most frequent words are their own class, every
-other word falls into one of ``SHARED`` classes by its CRC-32, and the end of a text is a
-class. A word of a shared class has probability (c + 1) / (C + V + 1) in it, where c is
-its training count, C and V are the class's count and vocabulary, and 1 stands for an
-unknown word. So every word of the corpus counts, while the tables that tasks need have a
-fixed size.
+Every word of the training texts has its own emission probabilities, as has the end of a
+text; unknown words share one. They come from expected counts E of word w in state s as
+(E / q + 1) / (N + V + 1), where q is the state's share of all N tokens and V the number of
+known words, so that mixed over states a word has its smoothed frequency (c + 1) / (N + V + 1).
 
 Baum-Welch runs over all training texts: tasks compute expected counts with scaled
-forward and backward recursions and the counts are summed across partitions. A text's
-score is the exact likelihood from the scaled forward recursion over all its tokens.
-Word counts of rare words are joined, not broadcast.
+forward and backward recursions, and Spark sums them in a table keyed by word. The counts of
+the ``FREQUENT`` most frequent words are broadcast; those of all others are joined to the
+blocks of texts that use them. Rounds go on until the log-likelihood of the training texts
+gains less than ``TOLERANCE`` of itself. A text's score is the exact likelihood from the scaled
+forward recursion over all its tokens.
 
 Training cuts texts at ``CUT`` tokens, each piece beginning anew; nothing is left out and
 scoring doesn't cut. Null text is empty and has one token, the end. A null ``doc_id`` hashes
@@ -21,7 +21,6 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,24 +32,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.llm.bytesets import groups, text_bytes
-from netvigil.llm.common import ship, stored, summed
+from netvigil.llm.common import ship, stored
 
-OWN = 8192
-SHARED = 8192
-END = OWN + SHARED
-CLASSES = END + 1
 # Words whose counts tasks hold; the counts of all others are joined.
 FREQUENT = 65_536
+END = FREQUENT
+CLASSES = END + 1  # symbols that mean the same in all blocks
 STATES = 8
-ROUNDS = 4
+TOLERANCE = 1e-4
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
 STEP_TOKENS = 1 << 19
-CHUNK = 1 << 20  # bytes of text encoded at a time
+BLOCK = 1 << 22  # bytes of text that share a list of rare words
 FOLDS = 7
 HELD_OUT = 2
-# Weight of the class frequencies in a state's smoothed emissions.
-PRIOR = 50.0
 
 
 def held_out() -> Column:
@@ -81,117 +76,78 @@ def count_words(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def shared_class(word: bytes) -> int:
-    return OWN + zlib.crc32(word) % SHARED
-
-
 @dataclass
 class Vocabulary:
     """Fixed-size part of the training counts."""
 
-    frequent: dict[bytes, tuple[int, int]]  # word -> (class, count)
+    frequent: dict[bytes, int]  # word -> symbol
+    counts: np.ndarray  # of the symbols
     total: int  # N
     kinds: int  # V
-    ends: int
-    class_count: np.ndarray
-    class_kinds: np.ndarray
 
-    def within(self) -> np.ndarray:
-        """log10 of (C + V + 1) per class; what a count of a shared class is divided by."""
-        return np.log10(self.class_count + self.class_kinds + 1.0)
-
-    def frequencies(self) -> np.ndarray:
-        counts = self.class_count + 1.0
-        return counts / counts.sum()
+    def smoothed(self) -> float:
+        """What a smoothed count is divided by."""
+        return self.total + self.kinds + 1.0
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    frequent = {}
-    class_count, class_kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for i, (word, c) in enumerate(top):
-        word = bytes(word)
-        frequent[word] = (i if i < OWN else shared_class(word), c)
-        if i < OWN:
-            class_count[i], class_kinds[i] = c, 1
-    by_class = counts.groupBy((F.crc32("word") % SHARED).alias("class")).agg(
-        F.sum("c").alias("c"), F.count("*").alias("v")
+    by_symbol = np.zeros(CLASSES)
+    by_symbol[: len(top)] = [c for _, c in top]
+    by_symbol[END] = ends
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    return Vocabulary(
+        {bytes(word): i for i, (word, _) in enumerate(top)},
+        by_symbol,
+        total + ends,
+        kinds + int(ends > 0),
     )
-    total, kinds = ends, int(ends > 0)
-    for number, c, v in by_class.collect():  # at most SHARED rows
-        class_count[OWN + number], class_kinds[OWN + number] = c, v
-        total, kinds = total + c, kinds + v
-    for word, c in top[:OWN]:
-        class_count[shared_class(bytes(word))] -= c
-        class_kinds[shared_class(bytes(word))] -= 1
-    class_count[END], class_kinds[END] = ends, ends > 0
-    return Vocabulary(frequent, total, kinds, ends, class_count, class_kinds)
 
 
 def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """Stored (row, doc_id, held_out, n_tokens, n_known, base, inside, classes, rare).
+    """Stored (block, doc_id, held_out, symbols, rare).
 
-    ``base`` and ``inside`` sum log10(c + 1) for the base score and log10 of probabilities
-    within classes over tokens whose count is at hand; ``rare`` lists the other words with
-    their numbers. ``classes`` holds the class numbers as 16-bit integers.
+    ``symbols`` holds 32-bit numbers: a frequent word's, END, or CLASSES and more for the
+    words that the first row of a block lists in ``rare``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words.frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        within = v.within()
-        place = {w: i for i, w in enumerate(v.frequent)}
-        classes = np.array([x[0] for x in v.frequent.values()] or [0], np.int64)
-        logs = np.log10(np.array([x[1] for x in v.frequent.values()] or [0]) + 1.0)
-        inner = np.where(classes < OWN, 0.0, logs - within[classes])
-        end_log = math.log10(v.ends + 1.0)
+        place = shared.value
         for batch in batches:
             texts = text_bytes(batch.column("text"))
-            for low, high in groups([len(t) for t in texts], CHUNK):
-                out, rare_words, rare_counts, borders = [], [], [], [0]
+            for low, high in groups([len(t) for t in texts], BLOCK):
+                rare: dict[bytes, int] = {}
+                out = []
                 for text in texts[low:high]:
                     tokens = text.lower().split()
-                    at = np.fromiter(map(place.get, tokens, repeat(-1)), np.int64, len(tokens))
-                    known = at >= 0
-                    symbols = np.empty(len(tokens) + 1, np.uint16)
-                    symbols[:-1] = classes[at]
-                    others = np.flatnonzero(~known)
-                    unknown = [tokens[i] for i in others.tolist()]
-                    symbols[others] = [shared_class(w) for w in unknown]
-                    rare = Counter(unknown)
-                    symbols[-1] = END
-                    rare_words.extend(rare)
-                    rare_counts.extend(rare.values())
-                    borders.append(len(rare_words))
-                    out.append(
-                        (
-                            len(tokens) + 1,
-                            int(known.sum()) + (v.ends > 0),
-                            float(logs[at[known]].sum()) + end_log,
-                            float(inner[at[known]].sum()),
-                            symbols.tobytes(),
-                        )
+                    symbols = np.full(len(tokens) + 1, END, np.int32)
+                    symbols[:-1] = np.fromiter(
+                        map(place.get, tokens, repeat(-1)), np.int32, len(tokens)
                     )
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-                words_of = pa.StructArray.from_arrays(
-                    [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int64())],
-                    ["word", "n"],
-                )
+                    others = np.flatnonzero(symbols < 0)
+                    symbols[others] = [
+                        CLASSES + rare.setdefault(tokens[i], len(rare)) for i in others.tolist()
+                    ]
+                    out.append(symbols.tobytes())
+                rows = high - low
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(low, high - low) for c in ("row", "doc_id", "held_out")]
-                    + [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)]
-                    + [pa.ListArray.from_arrays(pa.array(borders, pa.int32()), words_of)],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside",
-                     "classes", "rare"],
-                )
+                    [
+                        pa.array([batch.column("row")[low].as_py()] * rows, pa.int64()),
+                        batch.column("doc_id").slice(low, rows),
+                        batch.column("held_out").slice(low, rows),
+                        pa.array(out, pa.binary()),
+                        pa.array([list(rare)] + [None] * (rows - 1), pa.list_(pa.binary())),
+                    ],
+                    ["block", "doc_id", "held_out", "symbols", "rare"],
+                )
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text"
     ).mapInArrow(
         run,
-        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"
-        " base double, inside double, classes binary, rare array<struct<word:binary,n:bigint>>",
+        f"block bigint, doc_id {kind}, held_out boolean, symbols binary, rare array<binary>",
     )
     return stored(rows, "hmm-encoded")
 
@@ -200,16 +156,18 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
 class Model:
     start: np.ndarray  # S
     move: np.ndarray  # S x S
-    emit: np.ndarray  # CLASSES x S
+    emit: np.ndarray  # symbols x S
 
 
 def first_model(words: Vocabulary, states: int, seed: int) -> Model:
-    """States that tend to stay and prefer different random classes."""
+    """States that tend to stay and prefer different random words."""
     random = np.random.default_rng(seed)
-    emit = words.frequencies()[:, None] * random.gamma(2.0, 0.5, (CLASSES, states))
+    frequency = (words.counts + (words.counts > 0)) / words.smoothed()
+    emit = frequency[:, None] * random.gamma(2.0, 0.5, (CLASSES, states))
+    emit *= frequency.sum() / np.maximum(emit.sum(axis=0), 1e-300)
     move = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
-    return Model(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
+    return Model(np.full(states, 1.0 / states), move, emit)
 
 
 class Lanes:
@@ -257,6 +215,10 @@ class Lanes:
 
     def expectations(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions."""
+        return self.expectations_and_log(model)[:3]
+
+    def expectations_and_log(self, model: Model):
+        """Expected counts, and log10 of the probability of all sequences."""
         scales, alpha = self.forward(model, keep=True)
         emit = np.ascontiguousarray(model.emit.T)
         moves = np.zeros(model.move.shape)
@@ -275,19 +237,19 @@ class Lanes:
             # alpha becomes the probability of each state given the whole sequence
             here *= beta
         moves *= model.move
-        emitted = np.stack([np.bincount(self.symbols, row, CLASSES) for row in alpha])
+        emitted = np.stack([np.bincount(self.symbols, row, len(model.emit)) for row in alpha])
         starts = alpha[:, : self.begin[1]].sum(axis=1)
-        return starts, moves, emitted
+        return starts, moves, emitted, float(np.log10(scales).sum())
 
 
-def _packs(batch: pa.RecordBatch, cut: int | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """The class sequences of a batch, long ones first, in packs of about STEP_TOKENS tokens.
+def _packs(rows: pa.Table, cut: int | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """The symbols of a block's texts, long ones first, in packs of about STEP_TOKENS tokens.
 
     Sequences of like length share a pack, so that many can be stepped through together.
     """
     found = []
-    for i, raw in enumerate(batch.column("classes").to_pylist()):
-        symbols = np.frombuffer(raw, np.uint16)
+    for i, raw in enumerate(rows.column("symbols").to_pylist()):
+        symbols = np.frombuffer(raw, np.int32)
         step = cut or len(symbols)
         found.extend((i, symbols[at : at + step]) for at in range(0, len(symbols), step))
     found.sort(key=lambda x: -len(x[1]))
@@ -303,67 +265,120 @@ def _packs(batch: pa.RecordBatch, cut: int | None) -> Iterator[tuple[list[int],
         yield rows, pieces
 
 
-def train(encoded: DataFrame, words: Vocabulary, states: int, rounds: int, seed: int) -> Model:
-    model = first_model(words, states, seed)
-    context = encoded.sparkSession.sparkContext
-    rows = encoded.where("NOT held_out").select("classes")
-    prior = words.frequencies()
-    for _ in range(rounds):
-        shared = context.broadcast(model)
+def _columns(states: int) -> list[str]:
+    return [f"e{s}" for s in range(states)]
 
-        def run(batches, shared=shared):
-            starts, moves = np.zeros(states), np.zeros((states, states))
-            emitted = np.zeros((states, CLASSES))
-            for batch in batches:
-                for _, pieces in _packs(batch, CUT):
-                    s, m, e = Lanes(pieces).expectations(shared.value)
-                    starts, moves, emitted = starts + s, moves + m, emitted + e
-            numbers = np.concatenate([starts[:, None], moves, emitted], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(states), pa.int64()), pa.array([x.tobytes() for x in numbers])],
-                ["key", "numbers"],
-            )
 
-        vectors = rows.mapInArrow(run, "key bigint, numbers binary")
-        sums = summed(vectors, "<f8").collect()  # one row per state
-        shared.unpersist()
-        if not sums:
-            return model
-        counts = np.stack([np.frombuffer(n) for _, n in sorted(sums)])
-        starts, moves, emitted = np.split(counts, [1, 1 + states], axis=1)
-        emit = emitted.T + PRIOR * prior[:, None]
-        moves = moves + 0.1
-        starts = starts[:, 0] + 0.1
-        model = Model(
-            starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
-        )
-    return model
+def _needed(encoded: DataFrame, expected: DataFrame, counts: DataFrame, states: int) -> DataFrame:
+    """(of_block, at, word, c, e0, ...): the rare words of each block with their counts."""
+    uses = encoded.where("rare IS NOT NULL").select(
+        F.col("block").alias("of_block"), F.posexplode("rare").alias("at", "word")
+    )
+    known = counts.join(expected.where("word IS NOT NULL").drop("symbol"), "word")
+    return uses.join(known, "word", "left").select(
+        "of_block",
+        "at",
+        "word",
+        *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("c", *_columns(states))],
+    )
 
 
-def _forward(encoded: DataFrame, model: Model) -> DataFrame:
-    """``encoded`` without its arrays, with the log10 likelihood of the classes."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
-    kept = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside"]
+def _block_model(model: Model, rare: pa.Table, share: np.ndarray, smoothed: float):
+    """The model with the block's rare words, and their words and counts, by symbol."""
+    order = np.argsort(rare.column("at").to_numpy())
+    rare = rare.take(pa.array(order))
+    expected = np.array([rare.column(c).to_numpy() for c in _columns(len(share))]).T
+    emit = np.concatenate([model.emit, (expected / share + 1.0) / smoothed])
+    return Model(model.start, model.move, emit), rare.column("word"), rare.column("c").to_numpy()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for rows, pieces in _packs(batch, None):
-                score[rows] = Lanes(pieces).log_likelihoods(shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(score)], [*kept, "hidden"]
-            )
 
-    kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select(*kept, "classes").mapInArrow(
-        run,
-        f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"
-        " base double, inside double, hidden double",
+def train(
+    encoded: DataFrame,
+    words: Vocabulary,
+    counts: DataFrame,
+    states: int,
+    rounds: int | None,
+    seed: int,
+) -> tuple[Model, np.ndarray, DataFrame]:
+    """The model of frequent words, the states' shares, and the expected counts of all words.
+
+    ``rounds`` ends training before it has settled.
+    """
+    spark = encoded.sparkSession
+    names = _columns(states)
+    model, share = first_model(words, states, seed), np.full(states, 1.0 / states)
+    # Rare words begin without a preference.
+    expected = counts.select(
+        F.lit(None).cast("int").alias("symbol"), "word", *[(F.col("c") / states).alias(e) for e in names]
     )
+    rows = encoded.where("NOT held_out").select("block", "symbols")
+    smoothed = words.smoothed()
+    before, done = None, 0
+    while rounds is None or done < rounds:
+        shared = spark.sparkContext.broadcast((model, share))
+
+        def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
+            model, word, _ = _block_model(shared.value[0], rare, shared.value[1], smoothed)
+            starts, moves = np.zeros(states), np.zeros((states, states))
+            emitted, gained = np.zeros((states, len(model.emit))), 0.0
+            for _, pieces in _packs(docs, CUT):
+                s, m, e, log = Lanes(pieces).expectations_and_log(model)
+                starts, moves, emitted, gained = starts + s, moves + m, emitted + e, gained + log
+            used = np.flatnonzero(emitted.any(axis=0))
+            at = np.searchsorted(used, CLASSES)
+            # Negative symbols: the likelihood, starts and moves.
+            logs = np.zeros(states)
+            logs[0] = gained
+            numbers = np.concatenate([[logs], [starts], moves, emitted[:, used].T])
+            symbols = np.concatenate([-1 - np.arange(states + 2), used[:at]])
+            others = len(used) - at
+            return pa.Table.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(symbols, pa.int32()), pa.nulls(others, pa.int32())]),
+                    pa.array(
+                        [None] * len(symbols) + word.take(pa.array(used[at:] - CLASSES)).to_pylist(),
+                        pa.binary(),
+                    ),
+                    *[pa.array(np.ascontiguousarray(x)) for x in numbers.T],
+                ],
+                names=["symbol", "word", *names],
+            )
+
+        sums = (
+            rows.groupBy("block")
+            .cogroup(_needed(encoded, expected, counts, states).groupBy("of_block"))
+            .applyInArrow(run, "symbol int, word binary, " + ", ".join(f"{e} double" for e in names))
+            .groupBy("symbol", "word")
+            .agg(*[F.sum(e).alias(e) for e in names])
+        )
+        expected = stored(sums, "hmm-expected")
+        shared.unpersist()
+        done += 1
+        fixed = expected.where("symbol IS NOT NULL").toArrow()  # CLASSES + states + 2 rows
+        if not fixed.num_rows:
+            break
+        at = fixed.column("symbol").to_numpy()
+        table = np.zeros((CLASSES + states + 2, states))
+        table[at] = np.array([fixed.column(e).to_numpy() for e in names]).T  # negative: from the end
+        log, starts, moves = table[-1, 0], table[-2] + 0.1, table[-3 : -3 - states : -1] + 0.1
+        of_rare = expected.where("word IS NOT NULL").agg(
+            *[F.coalesce(F.sum(e), F.lit(0.0)) for e in names]
+        )
+        whole = table[:CLASSES].sum(axis=0) + np.array(of_rare.first())
+        share = np.maximum(whole, 1e-6) / words.total
+        model = Model(
+            starts / starts.sum(),
+            moves / moves.sum(axis=1, keepdims=True),
+            (table[:CLASSES] / share + 1.0) / smoothed,
+        )
+        if before is not None and log - before < TOLERANCE * abs(before):
+            break
+        before = log
+    return model, share, expected
 
 
 def score(
-    docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = 5
+    docs: DataFrame, states: int = STATES, rounds: int | None = None, seed: int = 5
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -372,39 +387,41 @@ def score(
     counts = stored(count_words(training), "hmm-counts")
     words = vocabulary(counts, training.count())
     encoded = encode(docs, words)
-    model = train(encoded, words, states, rounds, seed)
-
-    classes = spark.createDataFrame(
-        [(i, float(x)) for i, x in enumerate(words.within()[OWN:END])], "class int, log_within double"
-    )
-    rare = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
-    c = F.coalesce("c", F.lit(0))
-    of_rare = (
-        rare.join(counts, "word", "left")
-        .withColumn("class", (F.crc32("word") % SHARED).cast("int"))
-        .join(F.broadcast(classes), "class")  # SHARED rows
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("n") * F.log10(c + 1.0)).alias("rare_base"),
-            F.sum(F.col("n") * (F.log10(c + 1.0) - F.col("log_within"))).alias("rare_inside"),
+    model, share, expected = train(encoded, words, counts, states, rounds, seed)
+    shared = spark.sparkContext.broadcast((model, share, words.counts))
+    smoothed = words.smoothed()
+
+    def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
+        model, share, seen = shared.value
+        model, _, c = _block_model(model, rare, share, smoothed)
+        seen = np.concatenate([seen, c])
+        logs = np.log10(seen + 1.0) - math.log10(smoothed)
+        found = [np.frombuffer(x, np.int32) for x in docs.column("symbols").to_pylist()]
+        hidden = np.zeros(len(found))
+        for rows, pieces in _packs(docs, None):
+            hidden[rows] = Lanes(pieces).log_likelihoods(model)
+        return pa.Table.from_arrays(
+            [
+                docs.column("doc_id"),
+                docs.column("held_out"),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([int((seen[x] > 0).sum()) for x in found], pa.int64()),
+                pa.array([words_total] * len(found), pa.int64()),
+                pa.array([float(logs[x].sum()) for x in found], pa.float64()),
+                pa.array(hidden),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
-    )
-    per_token = math.log10(words.total + words.kinds + 1.0)
-
-    def plus(column: str, more: str) -> Column:
-        return F.col(column) + F.coalesce(F.col(more), F.lit(0))
 
+    words_total = int(words.total)
+    kind = dict(docs.dtypes)["doc_id"]
     return (
-        _forward(encoded, model)
-        .join(of_rare, "row", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            plus("n_known", "rare_known").alias("n_known"),
-            F.lit(words.total).cast("long").alias("train_tokens"),
-            (plus("base", "rare_base") - F.col("n_tokens") * per_token).alias("base_score"),
-            (F.col("hidden") + plus("inside", "rare_inside")).alias("score"),
+        encoded.select("block", "doc_id", "held_out", "symbols")
+        .groupBy("block")
+        .cogroup(_needed(encoded, expected, counts, states).groupBy("of_block"))
+        .applyInArrow(
+            run,
+            f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"
+            " train_tokens bigint, base_score double, score double",
         )
     )

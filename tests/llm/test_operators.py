@@ -211,6 +211,20 @@ def test_scores_odd(odd, odd_docs, none):
     assert hmm.score(none, states=2, rounds=1).count() == 0
 
 
+def test_rare_words_have_emissions_of_their_own(spark, monkeypatch):
+    """Words beyond the broadcast ones tell the state, too, however many they are."""
+    import random
+
+    rng = random.Random(1)
+    kinds = [[f"{k}{i}" for i in range(20_000)] for k in "ab"]
+    docs = [(i, " ".join(rng.choices(kinds[i % 2], k=800))) for i in range(400)]
+    monkeypatch.setattr(hmm, "FREQUENT", 1000)
+    got = hmm.score(spark.createDataFrame(docs, "doc_id long, text string"), states=2).collect()
+    gain = [(r.score - r.base_score) / r.n_tokens for r in got if r.held_out]
+    # A word seen c times in one kind of text and never in the other: log10((2c + 1) / (c + 1)).
+    assert len(got) == 400 and sum(gain) / len(gain) > 0.2
+
+
 def _small_model(seed):
     import numpy as np
 
