@@ -13,10 +13,13 @@ from netvigil.llm import (
     mixing,
     quality,
     repeats,
+    runs,
     sharding,
+    toxicity,
+    trie,
     wordpiece,
 )
-from netvigil.llm.common import table, text_or_empty
+from netvigil.llm.common import let, table, text_or_empty, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -119,11 +122,68 @@ def op10_quality_rules(spark, sf):
     )
 
 
+def _with_planted_periods(docs):
+    """Texts of every tenth checksum of doc_id repeat a stretch of their own words to the end."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(checksum / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long"))
+        at = F.transform(place, lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(w, i.cast("int"))), " "))
+
+    planted = F.when(checksum % 10 == 0, let(words(text_or_empty()), repeated))
+    return docs.withColumn("text", F.when(checksum % 10 == 0, planted).otherwise(F.col("text")))
+
+
+def op11_periodic_runs(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(_with_planted_periods(docs))
+    order = F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period))
+    best = F.array_max(order)
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))
+    )
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.col3")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_prefix_trie(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(trie.with_shared_heads(trie.turn_lists(rows)))
+
+
+def op13_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    model = toxicity.train(docs.where(~held_out), table(spark, sf, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "worst",
+        "worst_probability",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_mix_sources, op3_decontaminate, op4_hidden_markov, op5_shard,
         op6_repeats, op7_jaccard_join, op8_line_dedup, op9_token_counts, op10_quality_rules,
+        op11_periodic_runs, op12_prefix_trie, op13_toxicity,
     )
 }
 
