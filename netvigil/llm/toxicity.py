@@ -42,16 +42,16 @@ FEATURES = 1 << 17
 TASKS = 64  # of a round of training, whose documents are bounded in number
 PREFIXES = (3, 4, 5, 6)
 LONGEST = 60  # words of a sentence
-ROUNDS = 60
+ROUNDS = 40
 STEP = 0.3
 DECAY = 1e-4  # of half the squared weights, per document
-DAMP = 2e-3  # a feature whose gradient is smaller, a rare one, takes smaller steps
+DAMP = 1e-3  # a feature whose gradient is smaller, a rare one, takes smaller steps
 BIAS = -5.0
 MAX_LABELLED = 400_000
 BLOCK = 4 << 20  # bytes of text encoded as one block
 CACHED_WORDS = 200_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
-_ENDS = frozenset(".!?\n")
+_END, _TEXT = -1, -2  # stand for the end of a sentence and of a text
 
 
 def word_features(word: str) -> list[int]:
@@ -69,31 +69,37 @@ class Bags:
     text_sentences: np.ndarray  # sentences per text, at least one
 
 
-def bags(texts: list[str | None], number) -> Bags:
-    """``number`` gives a word its number."""
-    words: list[np.ndarray] = []
-    sentence_words: list[np.ndarray] = []
-    text_sentences = []
+class Numbers(dict):
+    """Words to numbers, given in order of appearance; ends of sentences have one of their own."""
+
+    def __init__(self):
+        super().__init__(dict.fromkeys(".!?\n", _END))
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        return at
+
+
+def bags(texts: list[str | None], numbers: Numbers) -> Bags:
+    found: list[int] = []
     for text in texts:
-        tokens = _TOKEN.findall((text or "").lower())
-        found = np.array([-1 if t in _ENDS else number(t) for t in tokens], np.int64)
-        is_word = found >= 0
-        sentence = np.cumsum(~is_word)[is_word]
-        if not len(sentence):
-            sentence_words.append(np.zeros(1, np.int64))
-            text_sentences.append(1)
-            continue
-        starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-        place = np.arange(len(sentence)) - np.repeat(starts, np.diff(np.append(starts, len(sentence))))
-        begin = np.flatnonzero(place % LONGEST == 0)
-        words.append(found[is_word])
-        sentence_words.append(np.diff(np.append(begin, len(sentence))))
-        text_sentences.append(len(begin))
-    return Bags(
-        np.concatenate(words) if words else np.zeros(0, np.int64),
-        np.concatenate(sentence_words) if sentence_words else np.zeros(0, np.int64),
-        np.array(text_sentences, np.int64),
-    )
+        found += [numbers[token] for token in _TOKEN.findall((text or "").lower())]
+        found.append(_TEXT)
+    tokens = np.array(found, np.int32)
+    is_word = tokens >= 0
+    words = tokens[is_word]
+    owner = np.cumsum(tokens == _TEXT)[is_word]
+    sentence = np.cumsum(~is_word)[is_word]
+    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+    place = np.arange(len(words)) - np.repeat(starts, np.diff(np.append(starts, len(words))))
+    begin = np.flatnonzero(place % LONGEST == 0)
+    sizes = np.diff(np.append(begin, len(words)))
+    per_text = np.bincount(owner[begin], minlength=len(texts))
+    empty = np.flatnonzero(per_text == 0)
+    before = np.cumsum(per_text)[empty]
+    return Bags(words, np.insert(sizes, before, 0), np.maximum(per_text, 1))
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -126,9 +132,9 @@ class Encoded:
 
     @classmethod
     def of(cls, texts: list[str | None], toxic: list[int]) -> Encoded:
-        seen: dict[str, int] = {}
-        bag = bags(texts, lambda w: seen.setdefault(w, len(seen)))
-        features = [word_features(w) for w in seen]
+        numbers = Numbers()
+        bag = bags(texts, numbers)
+        features = [word_features(w) for w in numbers.words]
         return cls(
             bag,
             np.array(toxic, np.int64),
@@ -145,7 +151,7 @@ class Encoded:
 
     @classmethod
     def unpack(cls, parts: list[bytes]) -> Encoded:
-        a = [np.frombuffer(part, np.int32).astype(np.int64) for part in parts]
+        a = [np.frombuffer(part, np.int32) for part in parts]
         return cls(Bags(a[0], a[1], a[2]), a[3], a[4], a[5])
 
     def gradient(self, model: np.ndarray) -> np.ndarray:
@@ -218,7 +224,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     if n > max_labelled:
         marked = marked.where(uniform("toxicity", F.col("doc_id")) < max_labelled / n)
     ids = marked.select(F.col("doc_id").alias("labelled_id"), "label")
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
+    texts = docs.select("doc_id", "text")
+    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
 
 
 def train(
@@ -273,23 +280,20 @@ class Scorer:
     """Weights of words as they come up."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
-        self.seen: dict[str, int] = {}
+        self.bias, self.model = float(model[-1]), model.tolist()
+        self.numbers = Numbers()
         self.weights: list[float] = []
 
-    def number(self, word: str) -> int:
-        at = self.seen.get(word)
-        if at is None:
-            at = self.seen[word] = len(self.weights)
-            self.weights.append(float(self.model[word_features(word)].sum()))
-        return at
-
     def logits(self, texts: list[str | None]) -> tuple[Bags, np.ndarray]:
-        if len(self.seen) > CACHED_WORDS:
-            self.seen.clear()
-            self.weights.clear()
-        bag = bags(texts, self.number)
-        return bag, logits(bag, np.array(self.weights, float), self.model[-1])
+        if len(self.weights) > CACHED_WORDS:
+            self.numbers, self.weights = Numbers(), []
+        bag = bags(texts, self.numbers)
+        model = self.model
+        self.weights += [
+            sum([model[f] for f in word_features(word)])
+            for word in self.numbers.words[len(self.weights) :]
+        ]
+        return bag, logits(bag, np.array(self.weights, float), self.bias)
 
 
 ADDED = ("score", "worst", "worst_probability")
@@ -334,8 +338,9 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text in order, as they are numbered: words joined by spaces."""
-    words: list[str] = []
-    bag = bags([text], lambda w: words.append(w) or len(words) - 1)
+    numbers = Numbers()
+    bag = bags([text], numbers)
+    words = [numbers.words[i] for i in bag.words]
     ends = np.cumsum(bag.sentence_words)
     return [" ".join(words[e - n : e]) for e, n in zip(ends, bag.sentence_words, strict=True)]
 
