@@ -15,7 +15,7 @@ letters, lower-cased. A null or empty text is one sentence without words: its sc
 bias alone. The labels of a document given twice count as toxic if one of them says so;
 labels without doc_id or without a mark are ignored; documents that share a labelled
 doc_id are each trained on. Without any labelled document, or with one label only, the
-weights stay 0 and all scores are the smoothed share of that label. Repeated rows are
+weights stay 0 and every sentence scores the smoothed share of toxic documents. Repeated rows are
 answered separately, an empty table gives no rows, other columns are carried along, and
 ids, languages and sources are never seen by the model. Training takes at most
 ``MAX_LABELLED`` labelled documents, chosen by a hash of doc_id; it is deterministic up
