@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.functions.labels import STATUSES
+from netvigil.operators.bitfilter import key_filter
 from netvigil.operators.enrich import UNKNOWN_PLACE
 from netvigil.operators.filters import blocked
-from netvigil.operators.sizing import BROADCAST_BYTES, payload_bytes
+from netvigil.operators.sizing import BROADCAST_BYTES, store_lookup
 
 
 def _bad_and_blocked(
@@ -55,26 +58,52 @@ def timeline(packets: DataFrame, firewall: DataFrame, alerts: DataFrame) -> Data
     )
 
 
+def only_of(df: DataFrame, ips: DataFrame, limit_bytes: int | None = BROADCAST_BYTES) -> DataFrame:
+    """Rows whose address is in the list ``ips``; null is in no list.
+
+    A list that measures small is broadcast. With a longer one, a filter of a million bytes
+    turns away most other addresses at the scan, and what passes is joined by shuffle.
+    """
+    return _restrict(ips, limit_bytes)[1](df)
+
+
+def _restrict(
+    ips: DataFrame, limit_bytes: int | None
+) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """(the list, rows of the list only, rows of the list and perhaps some others)."""
+    wanted = store_lookup(ips.where("ip IS NOT NULL").select("ip").distinct(), "addresses")
+    small = limit_bytes is not None and wanted.n_bytes <= limit_bytes
+    if small:
+        listed = F.broadcast(wanted.table)
+        exact = lambda df: df.join(listed, "ip", "left_semi")
+        return wanted.table, exact, exact
+    may_contain = key_filter(wanted.table, "ip")
+    rough = lambda df: df.where(may_contain(F.col("ip")))
+    return wanted.table, lambda df: rough(df).join(wanted.table, "ip", "left_semi"), rough
+
+
 def ip_profile(
     packets: DataFrame,
     firewall: DataFrame,
     geo: DataFrame,
     ips: DataFrame,
     reputation: DataFrame | None = None,
-    limit_bytes: int = BROADCAST_BYTES,
+    limit_bytes: int | None = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per requested address, from all sources; unknown addresses count zero.
 
-    A short address list is broadcast to cut every source at its scan. A long
-    one is joined after each source has been reduced to one row per address.
-    Both sources go through a single aggregation, so there is one shuffle of
+    ``other`` counts packets of unknown and null status, so that the statuses add up to
+    ``packets``. An address with several geo or reputation rows has one profile, with what
+    ``geo_enrich`` and ``reputation_enrich`` show.
+
+    A short address list is broadcast to cut every source at its scan, a long one cuts them
+    by a filter of fixed size and is joined after each source has been reduced to one row
+    per address. Both sources go through a single aggregation, so there is one shuffle of
     partial counts and none of raw rows.
     """
-    wanted = ips.select("ip").distinct()
-    is_short = payload_bytes(wanted) <= limit_bytes
-
-    def restrict(df):
-        return df.join(F.broadcast(wanted), "ip", "left_semi") if is_short else df
+    wanted, _, restrict = _restrict(ips, limit_bytes)
+    known = F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))
+    is_packet = F.col("source") == "packet"
 
     flows = restrict(packets.select("ip", "ts", "size_bytes", "status")).withColumn(
         "source", F.lit("packet")
@@ -84,19 +113,34 @@ def ip_profile(
         flows.unionByName(logs, allowMissingColumns=True)
         .groupBy("ip")
         .agg(
-            F.count_if(F.col("source") == "packet").alias("packets"),
+            F.count_if(is_packet).alias("packets"),
             F.sum("size_bytes").alias("bytes"),
             *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+            F.count_if(is_packet & ~known).alias("other"),
             *[F.count_if(F.col("action") == a).alias(a) for a in ("blocked", "allowed")],
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
         )
     )
-    profile = wanted.join(activity, "ip", "left").join(
-        restrict(geo.select("ip", "country")), "ip", "left"
-    )
+    places = restrict(geo.select("ip", "country")).groupBy("ip").agg(F.min("country").alias("country"))
+    profile = wanted.join(activity, "ip", "left").join(places, "ip", "left")
     if reputation is not None:
-        profile = profile.join(restrict(reputation.select("ip", "score")), "ip", "left")
+        scores = restrict(reputation.select("ip", "score")).groupBy("ip").agg(
+            F.max("score").alias("score")
+        )
+        profile = profile.join(scores, "ip", "left")
     return profile.na.fill(
-        0, ["packets", "bytes", *STATUSES, "blocked", "allowed"]
+        0, ["packets", "bytes", *STATUSES, "other", "blocked", "allowed"]
     ).na.fill(UNKNOWN_PLACE, ["country"])
+
+
+def timeline_of(
+    packets: DataFrame,
+    firewall: DataFrame,
+    alerts: DataFrame,
+    ips: DataFrame,
+    limit_bytes: int | None = BROADCAST_BYTES,
+) -> DataFrame:
+    """The timeline of given addresses: each source is cut at its scan."""
+    _, only, _ = _restrict(ips, limit_bytes)
+    return timeline(only(packets), only(firewall), only(alerts))

@@ -49,11 +49,13 @@ def blocked(df: DataFrame) -> DataFrame:
 def latest_ts(df: DataFrame, minus: str | None = None) -> Column:
     """Newest ``ts`` of a table as a scalar subquery, less an interval such as ``1 HOURS``.
 
-    In a table laid out by ``date`` only the newest date's times are read.
+    In a table laid out by ``date`` only the times of the two newest dates are read: folders
+    may have been named in different time zones, which are at most a day apart.
     """
     newest = df
     if "date" in df.columns:
-        newest = df.where(F.col("date") == df.agg(F.max("date")).scalar())
+        day_before = F.date_sub(F.max(F.col("date").cast("date")), 1)
+        newest = df.where(F.col("date") >= df.agg(day_before).scalar())
     value = F.max("ts")
     if minus is not None:
         value = value - F.expr(f"INTERVAL {minus}")

@@ -108,6 +108,29 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region owns 500 addresses, each of its nations 30 in the middle of them, and the
+    nation whose number divides by 5 the lower half of these under its lower-cased name."""
+    owners = table(spark, sf_dir, "region").selectExpr(
+        "167772160L + r_regionkey * 500 AS start", "167772160L + r_regionkey * 500 + 449 AS end",
+        "r_name AS country",
+    )
+    nation = table(spark, sf_dir, "nation").withColumn(
+        "at", F.expr("167772160L + n_regionkey * 500 + (n_nationkey % 13) * 30")
+    )
+    parts = nation.selectExpr("at AS start", "at + 29 AS end", "n_name AS country")
+    halves = nation.where("n_nationkey % 5 = 0").selectExpr(
+        "at AS start", "at + 14 AS end", "lower(n_name) AS country"
+    )
+    return owners.unionByName(parts).unionByName(halves)
+
+
+def geo_of_debtors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of customers in debt, each under its nation's name and under a later one."""
+    debtors = geo(spark, sf_dir).join(reputation(spark, sf_dir).select("ip"), "ip", "left_semi")
+    return debtors.unionByName(debtors.withColumn("country", F.lit("later")))
+
+
 def reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in debt have bad addresses: the score is the debt, in tens."""
     return (

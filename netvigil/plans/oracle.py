@@ -38,6 +38,17 @@ _CTES = {
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "rep": """
   SELECT ip, round(-c_acctbal / 10) AS score FROM geo WHERE c_acctbal < 0""",
+    "nested": """
+  SELECT 167772160 + r_regionkey * 500 AS lo, 167772160 + r_regionkey * 500 + 449 AS hi,
+    r_name AS country FROM region
+  UNION ALL SELECT 167772160 + n_regionkey * 500 + (n_nationkey % 13) * 30,
+    167772160 + n_regionkey * 500 + (n_nationkey % 13) * 30 + 29, n_name FROM nation
+  UNION ALL SELECT 167772160 + n_regionkey * 500 + (n_nationkey % 13) * 30,
+    167772160 + n_regionkey * 500 + (n_nationkey % 13) * 30 + 14, lower(n_name) FROM nation
+  WHERE n_nationkey % 5 = 0""",
+    "threat_hours": """
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM packets
+  WHERE status = 'malicious' GROUP BY 1""",
     "recent": """
   SELECT * FROM packets WHERE ts > (SELECT max(ts) FROM packets) - INTERVAL 1 HOUR""",
     "earlier": """
@@ -76,6 +87,7 @@ _NEEDS = {
     "earlier": ("packets",),
     "recent_fw": ("packets", "fw"),
     "hours": ("packets",),
+    "threat_hours": ("packets",),
     "hour_spine": ("packets", "hours"),
     "hourly": ("packets", "hours", "hour_spine"),
     "closed": ("packets",),
@@ -277,6 +289,28 @@ SELECT '-', '-', '-', '-', '-', 'normal', NULL, 'empty table'""",
 FROM packets p LEFT JOIN nation n
   ON p.ip_long BETWEEN 167772160 + n.n_nationkey * 60 AND 167772160 + n.n_nationkey * 60 + 59""",
     ),
+    "j1_gaps": _sql(
+        "packets rep",
+        """SELECT p.packet_id, p.ip, coalesce(g.country, '-') AS country,
+  coalesce(g.region, '-') AS region
+FROM packets p LEFT JOIN (SELECT * FROM geo WHERE c_acctbal < 0) g ON g.ip = p.ip""",
+    ),
+    "j1_stream": _sql(
+        "packets geo",
+        """SELECT p.packet_id, p.ip, coalesce(g.country, '-') AS country,
+  coalesce(g.region, '-') AS region
+FROM packets p LEFT JOIN geo g ON g.ip = p.ip AND (p.status <> 'normal' OR g.c_acctbal < 0)""",
+    ),
+    "j2_nested": _sql(
+        "packets nested",
+        """SELECT p.packet_id, p.ip_long,
+  coalesce(min_by(n.country, (n.hi - n.lo, n.country)), '-') AS country
+FROM packets p LEFT JOIN nested n ON p.ip_long BETWEEN n.lo AND n.hi
+GROUP BY p.packet_id, p.ip_long""",
+    ),
+    "j4_unscanned": """SELECT doc_id, CAST(CASE WHEN length(text) >= 200 THEN strlen(text) ELSE -1 END AS BIGINT)
+  AS n_bytes, CASE WHEN length(text) >= 200 THEN 'oversize' ELSE 'missing' END AS reason
+FROM documents WHERE coalesce(length(text), 0) < 200 OR strlen(text) > 20480""",
     "j3_reputation_enrich": _sql(
         "packets rep",
         "SELECT p.packet_id, p.ip, r.score FROM packets p LEFT JOIN rep r ON r.ip = p.ip",
@@ -329,6 +363,16 @@ FROM recent_fw GROUP BY action""",
 FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 5 MINUTE, min(ts)),
     time_bucket(INTERVAL 5 MINUTE, max(ts)), INTERVAL 5 MINUTE)) AS bucket_start FROM packets) s
 LEFT JOIN packets p ON time_bucket(INTERVAL 5 MINUTE, p.ts) = s.bucket_start
+GROUP BY s.bucket_start""",
+    ),
+    "a7_traffic_of_a_day": _sql(
+        "packets",
+        """SELECT s.bucket_start, count(*) FILTER (p.status = 'normal') AS normal,
+  count(*) FILTER (p.status = 'suspicious') AS suspicious,
+  count(*) FILTER (p.status = 'malicious') AS malicious, CAST(0 AS BIGINT) AS other
+FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-31 18:00:00', TIMESTAMP '2024-01-01 05:55:00',
+    INTERVAL 5 MINUTE)) AS bucket_start) s
+LEFT JOIN packets p ON time_bucket(INTERVAL 5 MINUTE, p.ts) = s.bucket_start
 GROUP BY s.bucket_start""",
     ),
     "a8_top_malicious": _sql(
@@ -377,6 +421,15 @@ SELECT 3, 'Suspicious IPs', {_COUNT.format('a')}, printf('%+d', n - n1) FROM (
       (SELECT count(DISTINCT ip) FROM earlier WHERE status = 'suspicious') AS n1)""",
     ),
     "w1_hourly_delta": _sql("hourly", "SELECT hour, n, delta, pct FROM hourly"),
+    "w1_threats_delta": _sql(
+        "threat_hours",
+        """SELECT s.hour, coalesce(c.n, 0) AS n, coalesce(c.n, 0) - coalesce(p.n, 0) AS delta,
+  CASE WHEN coalesce(p.n, 0) > 0
+    THEN round(100.0 * (coalesce(c.n, 0) - p.n)::DOUBLE / p.n, 4) END AS pct
+FROM (SELECT unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM threat_hours) s
+  LEFT JOIN threat_hours c ON c.hour = s.hour
+  LEFT JOIN threat_hours p ON p.hour = s.hour - INTERVAL 1 HOUR""",
+    ),
     "w3_cumulative_share": _sql(
         "shares",
         """SELECT family, round(("upto" - n) / total, 4) AS start, round("upto" / total, 4) AS "end" FROM (
@@ -392,12 +445,22 @@ SELECT 3, 'Suspicious IPs', {_COUNT.format('a')}, printf('%+d', n - n1) FROM (
         """SELECT ts, 'packet' AS source, ip, protocol AS kind, upper(status) AS severity FROM packets
 UNION ALL SELECT ts, 'firewall', ip, rule, upper(severity) FROM fw
 UNION ALL SELECT ts, 'alert', ip, type, upper(severity) FROM alerts""",
+    ),
+    "u1_of_addresses": _sql(
+        "fw alerts",
+        """SELECT * FROM (
+  SELECT ts, 'packet' AS source, ip, protocol AS kind, upper(status) AS severity FROM packets
+  UNION ALL SELECT ts, 'firewall', ip, rule, upper(severity) FROM fw
+  UNION ALL SELECT ts, 'alert', ip, type, upper(severity) FROM alerts)
+WHERE ip IN (SELECT ip FROM fw WHERE action = 'blocked' GROUP BY ip
+  ORDER BY count(*) DESC, ip LIMIT 10)""",
     ),
     "e1_ip_profile": _sql(
         "fw rep",
         """SELECT g.ip, coalesce(p.packets, 0) AS packets, coalesce(p.bytes, 0) AS bytes,
   coalesce(p.normal, 0) AS normal, coalesce(p.suspicious, 0) AS suspicious,
-  coalesce(p.malicious, 0) AS malicious, coalesce(f.blocked, 0) AS blocked,
+  coalesce(p.malicious, 0) AS malicious, CAST(0 AS BIGINT) AS other,
+  coalesce(f.blocked, 0) AS blocked,
   coalesce(f.allowed, 0) AS allowed, least(p.first_ts, f.first_ts) AS first_seen,
   greatest(p.last_ts, f.last_ts) AS last_seen, g.country, r.score
 FROM geo g
@@ -410,6 +473,26 @@ LEFT JOIN (SELECT ip, count(*) FILTER (action = 'blocked') AS blocked,
     count(*) FILTER (action = 'allowed') AS allowed,
     min(ts) AS first_ts, max(ts) AS last_ts FROM fw GROUP BY ip) f ON f.ip = g.ip
 LEFT JOIN rep r ON r.ip = g.ip""",
+    ),
+    "e1_long_list": _sql(
+        "fw rep",
+        """SELECT a.ip, coalesce(p.packets, 0) AS packets, coalesce(p.bytes, 0) AS bytes,
+  coalesce(p.normal, 0) AS normal, coalesce(p.suspicious, 0) AS suspicious,
+  coalesce(p.malicious, 0) AS malicious, CAST(0 AS BIGINT) AS other,
+  coalesce(f.blocked, 0) AS blocked,
+  coalesce(f.allowed, 0) AS allowed, least(p.first_ts, f.first_ts) AS first_seen,
+  greatest(p.last_ts, f.last_ts) AS last_seen, coalesce(g.country, '-') AS country, r.score
+FROM (SELECT DISTINCT ip FROM packets WHERE status = 'malicious') a
+LEFT JOIN geo g ON g.ip = a.ip
+LEFT JOIN (SELECT ip, count(*) AS packets, CAST(sum(size_bytes) AS BIGINT) AS bytes,
+    count(*) FILTER (status = 'normal') AS normal,
+    count(*) FILTER (status = 'suspicious') AS suspicious,
+    count(*) FILTER (status = 'malicious') AS malicious,
+    min(ts) AS first_ts, max(ts) AS last_ts FROM packets GROUP BY ip) p ON p.ip = a.ip
+LEFT JOIN (SELECT ip, count(*) FILTER (action = 'blocked') AS blocked,
+    count(*) FILTER (action = 'allowed') AS allowed,
+    min(ts) AS first_ts, max(ts) AS last_ts FROM fw GROUP BY ip) f ON f.ip = a.ip
+LEFT JOIN rep r ON r.ip = a.ip""",
     ),
     "n1_spikes": _sql(
         "daily",
@@ -437,6 +520,24 @@ HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 5 MINUTE
 FROM (SELECT action, time_bucket(INTERVAL 5 MINUTE, ts) - unnest(range(12)) * INTERVAL 5 MINUTE
     AS window_start FROM fw)
 GROUP BY ALL HAVING window_start + INTERVAL 1 HOUR <= (SELECT watermark FROM closed)""",
+    ),
+    "t3_shares": _sql(
+        "fw closed",
+        """SELECT window_start + INTERVAL 1 HOUR AS window_end, action, count(*) AS n,
+  round(count(*)::DOUBLE / CAST(sum(count(*)) OVER (PARTITION BY window_start) AS DOUBLE), 4) AS share
+FROM (SELECT action, time_bucket(INTERVAL 5 MINUTE, ts) - unnest(range(12)) * INTERVAL 5 MINUTE
+    AS window_start FROM fw)
+GROUP BY window_start, action
+HAVING window_start + INTERVAL 1 HOUR <= (SELECT watermark FROM closed)""",
+    ),
+    "t_suspicious_ips": _sql(
+        "packets closed",
+        """SELECT window_start + INTERVAL 1 HOUR AS window_end, count(DISTINCT ip) AS suspicious_ips
+FROM (SELECT ip, time_bucket(INTERVAL 5 MINUTE, ts) - unnest(range(12)) * INTERVAL 5 MINUTE
+    AS window_start FROM packets WHERE status = 'suspicious')
+GROUP BY window_start HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE
+  FROM packets WHERE status = 'suspicious')""",
     ),
     "t4_alert_stream": _sql("alerts", "SELECT type, ip, ts, severity FROM alerts"),
 }
+ORACLE_SQL["t1_chart"] = ORACLE_SQL["a7_traffic_5m"]

@@ -23,8 +23,10 @@ from netvigil.sources.readers import (
     read_packets,
     store_logs,
 )
+from netvigil.streaming import charts
 from netvigil.streaming import operators as streams
 from netvigil.streaming.lifecycle import run_available
+from netvigil.streaming.lookups import LookupVersions, enrich_stream, enriched_rows
 from netvigil.streaming.sources import stream_firewall, stream_log_lines, stream_packets
 
 PACKET_COLUMNS = ("packet_id", "ip", "port", "protocol", "size_bytes", "status", "ts")
@@ -359,6 +361,40 @@ def j2_geo_enrich_ranges(spark, sf):
     return enrich.geo_enrich_ranges(p, b.geo_ranges(spark, sf))
 
 
+def j2_nested(spark, sf):
+    """Ranges over each other: a region owns a stretch, its nations parts of it, with gaps."""
+    p = b.packets(spark, sf).select("packet_id", "ip_long")
+    return enrich.geo_enrich_ranges(p, b.nested_ranges(spark, sf))
+
+
+def j1_gaps(spark, sf):
+    """A table that lacks addresses and names others twice: places of customers in debt."""
+    p = b.packets(spark, sf).select("packet_id", "ip")
+    return enrich.geo_enrich(p, b.geo_of_debtors(spark, sf))
+
+
+def _refreshed(spark, sf, make, join):
+    """A stream over two arrivals of packets; the lookup grows past its limit in between."""
+    path = work_path(spark, "refreshed")
+    rows = b.as_stream_rows(b.packets(spark, sf)).select("packet_id", "ip", "status")
+    versions = LookupVersions(spark, f"{path}/lookup").create()
+    limit = None
+    for calm, lookup in ((True, b.geo_of_debtors(spark, sf)), (False, b.geo(spark, sf))):
+        version = versions.publish(make(lookup))
+        limit = versions.get(version).n_bytes if limit is None else limit
+        arrived = rows.where((F.col("status") == "normal") == calm)
+        arrived.write.mode("append").parquet(f"{path}/landed")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/landed")
+        enrich_stream(
+            stream, versions, lambda df, known: join(df, known, limit), f"{path}/out", f"{path}/checkpoint"
+        ).awaitTermination()
+    return enriched_rows(spark, f"{path}/out").drop("status")
+
+
+def j1_stream(spark, sf):
+    return _refreshed(spark, sf, lambda geo: enrich.geo_lookup(geo).table, enrich.geo_enrich)
+
+
 def j3_reputation_enrich(spark, sf):
     p = b.packets(spark, sf).select("packet_id", "ip")
     return enrich.reputation_enrich(p, b.reputation(spark, sf))
@@ -378,6 +414,15 @@ def j4_oversize(spark, sf):
     return enrich.oversize(b.table(spark, sf, "documents"), "doc_id", "text", 20 * 1024)
 
 
+def j4_unscanned(spark, sf):
+    """What a hash match limited to 20 KB leaves out; short texts stand for missing content."""
+    docs = b.table(spark, sf, "documents").select(
+        "doc_id", F.when(F.length("text") >= 200, F.col("text")).alias("text")
+    )
+    out = enrich.unscanned(docs, "doc_id", "text", 20 * 1024)
+    return out.withColumn("n_bytes", F.coalesce("n_bytes", F.lit(-1)))
+
+
 def j5_also_blocked(spark, sf):
     return correlate.also_blocked(b.packets(spark, sf), b.firewall(spark, sf))
 
@@ -450,6 +495,17 @@ def w1_hourly_delta(spark, sf):
     return trends.hourly_delta(b.packets(spark, sf))
 
 
+def w1_threats_delta(spark, sf):
+    """Hours of malicious packets, most of them quiet at small size."""
+    threats = b.packets(spark, sf).where(F.col("status") == "malicious")
+    return trends.hourly_delta(threats)
+
+
+def a7_traffic_of_a_day(spark, sf):
+    """A chart with given bounds, which reach beyond the traffic."""
+    return trends.traffic_5m(b.packets(spark, sf), "2023-12-31 18:00:00", "2024-01-01 06:00:00")
+
+
 def w3_cumulative_share(spark, sf):
     return trends.cumulative_share(aggregates.protocol_share(b.packets(spark, sf)))
 
@@ -480,6 +536,22 @@ def e1_ip_profile(spark, sf):
     )
 
 
+def e1_long_list(spark, sf):
+    """A list that is too long to broadcast: all addresses with malicious packets."""
+    p = b.packets(spark, sf)
+    ips = p.where(F.col("status") == "malicious").select("ip")
+    return correlate.ip_profile(
+        p, b.firewall(spark, sf), b.geo(spark, sf), ips, b.reputation(spark, sf), limit_bytes=None
+    )
+
+
+def u1_of_addresses(spark, sf):
+    """Everything about the addresses that were blocked most."""
+    log = b.firewall(spark, sf)
+    ips = aggregates.top_blocked(log, 10).select("ip")
+    return correlate.timeline_of(b.packets(spark, sf), log, b.alerts(spark, sf), ips)
+
+
 def n1_spikes(spark, sf):
     return trends.spikes(b.packets(spark, sf), b.geo(spark, sf))
 
@@ -492,6 +564,25 @@ def t1_stream_traffic(spark, sf):
     return _streamed(spark, streams.stream_traffic(p), "t1")
 
 
+def t1_chart(spark, sf):
+    """The traffic chart as the stream of five-minute counts keeps it."""
+    counts = streams.stream_traffic(b.packets(spark, sf, b.event_stream(spark, sf)))
+    path = work_path(spark, "chart")
+    charts.keep_panes(counts, f"{path}/panes", f"{path}/checkpoint").awaitTermination()
+    kept = charts.panes(spark, f"{path}/panes", counts.schema)
+    return _plain_times(charts.traffic_chart(kept))
+
+
+def t_suspicious_ips(spark, sf):
+    p = b.packets(spark, sf, b.event_stream(spark, sf))
+    return _streamed(spark, streams.stream_suspicious_ips(p), "suspicious")
+
+
+def t3_shares(spark, sf):
+    """Shares of the actions in each trailing hour of the stream."""
+    return charts.action_shares(t3_stream_actions(spark, sf))
+
+
 def t2_stream_ingest_good(spark, sf):
     return _streamed(spark, good_records(stream_log_lines(spark, _log_lines(spark, sf))), "t2")
 
@@ -521,14 +612,15 @@ QUERIES = {
         p7_raw_firewall, p8_protocol_family, p9_risk_label, p10_activity_view, p10_packet_view,
         f1_filter_protocol, f2_filter_status, f3_filter_packets, f4_blocked, f5_last_window,
         f6_search, f6_search_telemetry, f7_lookup,
-        j1_geo_enrich, j2_geo_enrich_ranges, j3_reputation_enrich, j4_match_hashes,
-        j4_match_hosts, j4_oversize, j5_also_blocked, j5_never_blocked,
+        j1_geo_enrich, j1_gaps, j1_stream, j2_geo_enrich_ranges, j2_nested, j3_reputation_enrich,
+        j4_match_hashes, j4_match_hosts, j4_oversize, j4_unscanned, j5_also_blocked, j5_never_blocked,
         a1_active_threats, a2_packets, a2_status_counts, a3_suspicious_ips, a4_events_last_hour,
         a5_action_breakdown, a6_protocol_share, a7_traffic_5m, a8_top_malicious, a9_top_blocked,
         a10_threat_score, a11_active_alerts, a_kpi_cards,
-        w1_hourly_delta, w3_cumulative_share, l1_latest, l2_in_arrival_order,
-        u1_timeline, e1_ip_profile, n1_spikes,
-        t1_stream_traffic, t2_stream_ingest_good, t2_stream_ingest_quarantine,
-        t3_stream_actions, t4_alert_stream,
+        a7_traffic_of_a_day, w1_hourly_delta, w1_threats_delta, w3_cumulative_share,
+        l1_latest, l2_in_arrival_order,
+        u1_timeline, u1_of_addresses, e1_ip_profile, e1_long_list, n1_spikes,
+        t1_stream_traffic, t1_chart, t2_stream_ingest_good, t2_stream_ingest_quarantine,
+        t3_stream_actions, t3_shares, t4_alert_stream, t_suspicious_ips,
     )
 }

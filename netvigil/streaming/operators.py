@@ -45,13 +45,27 @@ def stream_actions(firewall: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def stream_suspicious_ips(packets: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Distinct suspicious addresses per trailing hour, approximate: (window_end, suspicious_ips)."""
-    return (
+def stream_suspicious_ips(
+    packets: DataFrame, delay: str = "10 minutes", precision: int = 12
+) -> DataFrame:
+    """Distinct suspicious addresses per trailing hour: (window_end, suspicious_ips).
+
+    Each five minutes keep one sketch of 2**precision registers, and the hour windows are
+    unions of twelve sketches: a row is not copied into the windows it belongs to, and the
+    state does not grow with the number of addresses. Counts of up to a few hundred
+    addresses are exact; beyond that the standard error is about 0.8 / sqrt(2**precision),
+    1.3 % by default.
+    """
+    panes = (
         packets.where(F.col("status") == "suspicious")
         .withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 hour", "5 minutes"))
-        .agg(F.approx_count_distinct("ip").alias("suspicious_ips"))
+        .groupBy(F.window("ts", "5 minutes"))
+        .agg(F.hll_sketch_agg("ip", precision).alias("sketch"))
+        .select(F.window_time("window").alias("pane_time"), "sketch")
+    )
+    return (
+        panes.groupBy(F.window("pane_time", "1 hour", "5 minutes"))
+        .agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("suspicious_ips"))
         .select(F.col("window.end").alias("window_end"), "suspicious_ips")
     )
 
