@@ -52,8 +52,8 @@ def events_last_hour(firewall: DataFrame, as_of=None) -> DataFrame:
     return last_window(firewall, as_of).agg(F.count("*").alias("events"))
 
 
-def _with_share(counts: DataFrame) -> DataFrame:
-    # The window runs over the few aggregated rows of an enumeration.
+def share_of_counts(counts: DataFrame) -> DataFrame:
+    """``counts`` with the share of each ``n``; for the few aggregated rows of an enumeration."""
     total = F.sum("n").over(Window.partitionBy())
     return counts.withColumn("share", F.round(F.col("n").cast("double") / total, 4))
 
@@ -61,7 +61,7 @@ def _with_share(counts: DataFrame) -> DataFrame:
 def action_breakdown(firewall: DataFrame, as_of=None) -> DataFrame:
     """Actions in the trailing hour: (action, n, share)."""
     counts = last_window(firewall, as_of).groupBy("action").agg(F.count("*").alias("n"))
-    return _with_share(counts).orderBy(F.desc("n"), "action")
+    return share_of_counts(counts).orderBy(F.desc("n"), "action")
 
 
 def protocol_share(packets: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def protocol_share(packets: DataFrame) -> DataFrame:
     counts = packets.groupBy(protocol_family(F.col("protocol")).alias("family")).agg(
         F.count("*").alias("n")
     )
-    return _with_share(counts).orderBy(F.desc("n"), "family")
+    return share_of_counts(counts).orderBy(F.desc("n"), "family")
 
 
 def top_malicious(
@@ -195,14 +195,19 @@ def kpi_cards(packets: DataFrame, as_of=None) -> DataFrame:
         ("Packets Analyzed", total, format_delta(growth, pct=True)),
         ("Suspicious IPs", suspicious, format_delta(F.col("ips_change"))),
     )
-    return hours.select(
+    return card_rows(hours, cards, format_count)
+
+
+def card_rows(figures: DataFrame, cards: tuple, shown) -> DataFrame:
+    """One row of figures as cards: (position, label, value, delta)."""
+    return figures.select(
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(position).alias("position"),
                         F.lit(label).alias("label"),
-                        format_count(value).alias("value"),
+                        shown(value).alias("value"),
                         delta.alias("delta"),
                     )
                     for position, (label, value, delta) in enumerate(cards, 1)

@@ -102,11 +102,13 @@ def traffic_5m(
     return filled_traffic(counts, start, end)
 
 
-def hourly_delta(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+def hourly_delta(
+    df: DataFrame, start: str | None = None, end: str | None = None, weight: str | None = None
+) -> DataFrame:
     """Change against the calendar hour before: (hour, n, delta, pct).
 
     ``start`` and ``end``, on full hours, bound the hours shown; the first one is compared
-    with nothing.
+    with nothing. A row counts once, or as often as ``weight`` says.
 
     A quiet hour counts 0; ``pct`` is null if the hour before was quiet. Each
     hour's count is also handed to the following hour, and both are summed per
@@ -114,9 +116,9 @@ def hourly_delta(df: DataFrame, start: str | None = None, end: str | None = None
     """
     counts = (
         _within(df, start, end)
-        .select(bucket_start("1 hour").alias("hour"))
+        .select(bucket_start("1 hour").alias("hour"), *([weight] if weight else []))
         .groupBy("hour")
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     )
     zero = F.lit(0).cast("bigint")
     own = F.struct(

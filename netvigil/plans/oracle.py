@@ -541,3 +541,20 @@ GROUP BY window_start HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) -
     "t4_alert_stream": _sql("alerts", "SELECT type, ip, ts, severity FROM alerts"),
 }
 ORACLE_SQL["t1_chart"] = ORACLE_SQL["a7_traffic_5m"]
+ORACLE_SQL |= {
+    "page_dashboard_threat_score": ORACLE_SQL["a10_threat_score"],
+    "page_dashboard_cards": ORACLE_SQL["a_kpi_cards"],
+    "page_dashboard_traffic": ORACLE_SQL["a7_traffic_5m"],
+    "page_dashboard_hourly": ORACLE_SQL["w1_hourly_delta"],
+    "page_dashboard_protocols": ORACLE_SQL["a6_protocol_share"],
+    "page_dashboard_segments": ORACLE_SQL["w3_cumulative_share"],
+    "page_dashboard_top": ORACLE_SQL["a8_top_malicious"],
+    "page_dashboard_view_all": ORACLE_SQL["a8_top_malicious"].replace("LIMIT 4", ""),
+    "page_packets_table": _sql(
+        "packets",
+        f"""SELECT {_PACKET} FROM packets WHERE protocol IN ('HTTP', 'HTTPS') AND status = 'malicious'
+ORDER BY ts, packet_id LIMIT 100""",
+    ),
+    "page_packets_details": _sql("packets", f"SELECT {_PACKET} FROM packets WHERE packet_id = 17"),
+    "page_firewall_activity": _sql("recent_fw", "SELECT ip, port, action, rule, ts FROM recent_fw"),
+}

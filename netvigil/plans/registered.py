@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from netvigil.functions import columns, labels, text
 from netvigil.operators import aggregates, correlate, enrich, filters, lookup, ranking, trends
 from netvigil.plans import binding as b
+from netvigil.plans import pages
+from netvigil.plans.rollup import Rollup, dashboard
 from netvigil.session import work_path
 from netvigil.sources.export import export, with_date
 from netvigil.sources.readers import (
@@ -556,6 +558,65 @@ def n1_spikes(spark, sf):
     return trends.spikes(b.packets(spark, sf), b.geo(spark, sf))
 
 
+# Pages
+
+
+def _dashboard(spark, sf):
+    """All parts over one table of states; the telemetry is scanned once to make it."""
+    p = b.packets(spark, sf)
+    rollup = Rollup(spark, work_path(spark, "states"), p.schema["ts"].dataType)
+    rollup.refresh(p)
+    return dashboard(rollup, p, b.geo(spark, sf), critical_min=9, high_min=5)
+
+
+def page_dashboard_threat_score(spark, sf):
+    return _dashboard(spark, sf)["threat_score"]
+
+
+def page_dashboard_cards(spark, sf):
+    return _dashboard(spark, sf)["kpi_cards"]
+
+
+def page_dashboard_traffic(spark, sf):
+    return _dashboard(spark, sf)["traffic"]
+
+
+def page_dashboard_hourly(spark, sf):
+    return _dashboard(spark, sf)["hourly_delta"]
+
+
+def page_dashboard_protocols(spark, sf):
+    return _dashboard(spark, sf)["protocol_share"]
+
+
+def page_dashboard_segments(spark, sf):
+    return _dashboard(spark, sf)["protocol_segments"]
+
+
+def page_dashboard_top(spark, sf):
+    return _dashboard(spark, sf)["top_malicious"]
+
+
+def page_dashboard_view_all(spark, sf):
+    """Every address behind "View All", not the first four."""
+    return _dashboard(spark, sf)["all_malicious"]
+
+
+def page_packets_table(spark, sf):
+    p = b.packets(spark, sf).select(*PACKET_COLUMNS)
+    return pages.packet_page(p, "http/https", "malicious")["packets"]
+
+
+def page_packets_details(spark, sf):
+    p = b.packets(spark, sf).select(*PACKET_COLUMNS)
+    return pages.packet_page(p, selected=17)["details"]
+
+
+def page_firewall_activity(spark, sf):
+    parts = pages.firewall_page(b.firewall(spark, sf), b.packets(spark, sf), b.geo(spark, sf))
+    return parts["activity"]
+
+
 # Streaming
 
 
@@ -620,6 +681,10 @@ QUERIES = {
         a7_traffic_of_a_day, w1_hourly_delta, w1_threats_delta, w3_cumulative_share,
         l1_latest, l2_in_arrival_order,
         u1_timeline, u1_of_addresses, e1_ip_profile, e1_long_list, n1_spikes,
+        page_dashboard_threat_score, page_dashboard_cards, page_dashboard_traffic,
+        page_dashboard_hourly, page_dashboard_protocols, page_dashboard_segments,
+        page_dashboard_top, page_dashboard_view_all, page_packets_table, page_packets_details,
+        page_firewall_activity,
         t1_stream_traffic, t1_chart, t2_stream_ingest_good, t2_stream_ingest_quarantine,
         t3_stream_actions, t3_shares, t4_alert_stream, t_suspicious_ips,
     )
