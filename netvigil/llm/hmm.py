@@ -21,6 +21,7 @@ table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ END = FREQUENT
 CLASSES = END + 1  # symbols that mean the same in all blocks
 STATES = 8
 TOLERANCE = 1e-4
+MOST_ROUNDS = 60
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
 STEP_TOKENS = 1 << 19
@@ -302,7 +304,9 @@ def train(
 ) -> tuple[Model, np.ndarray, DataFrame]:
     """The model of frequent words, the states' shares, and the expected counts of all words.
 
-    ``rounds`` ends training before it has settled.
+    ``rounds`` ends training before it has settled; without it, training that has not
+    settled after ``MOST_ROUNDS`` ends there with a warning. Without any training token no
+    round is run, and every emission is (0 + 1) / (0 + 0 + 1).
     """
     spark = encoded.sparkSession
     names = _columns(states)
@@ -313,8 +317,10 @@ def train(
     )
     rows = encoded.where("NOT held_out").select("block", "symbols")
     smoothed = words.smoothed()
-    before, done = None, 0
-    while rounds is None or done < rounds:
+    if not words.total:
+        model = Model(model.start, model.move, np.ones_like(model.emit))
+    before, settled = None, not words.total
+    for _ in range(0 if settled else MOST_ROUNDS if rounds is None else rounds):
         shared = spark.sparkContext.broadcast((model, share))
 
         def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
@@ -353,10 +359,7 @@ def train(
         )
         expected = stored(sums, "hmm-expected")
         shared.unpersist()
-        done += 1
         fixed = expected.where("symbol IS NOT NULL").toArrow()  # CLASSES + states + 2 rows
-        if not fixed.num_rows:
-            break
         at = fixed.column("symbol").to_numpy()
         table = np.zeros((CLASSES + states + 2, states))
         table[at] = np.array([fixed.column(e).to_numpy() for e in names]).T  # negative: from the end
@@ -371,9 +374,12 @@ def train(
             moves / moves.sum(axis=1, keepdims=True),
             (table[:CLASSES] / share + 1.0) / smoothed,
         )
-        if before is not None and log - before < TOLERANCE * abs(before):
+        settled = before is not None and log - before <= TOLERANCE * abs(before)
+        if settled:
             break
         before = log
+    if rounds is None and not settled:
+        warnings.warn(f"training has not settled after {MOST_ROUNDS} rounds", stacklevel=2)
     return model, share, expected
 
 

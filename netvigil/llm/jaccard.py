@@ -5,8 +5,8 @@ ordered by rarity, so that only a set's first tenth or so (at 0.9) can be the fi
 shares with a similar set: its prefix. Prefix shingles are the keys of index lists, whose
 entries carry the set's size and the shingle's position in it.
 
-*List skipping.* Lists are split into blocks of entries of like size and position; a
-block that the size or position bound rules out for a set is skipped whole.
+*List skipping.* Lists are split into blocks of entries of like size and position, which are
+keys of the join; an entry is not sent to blocks that its size or position rules out.
 
 *Answer skipping.* In each list the entry nearest its front is the pivot. All others are
 compared with it, and what is similar takes over the pivot's answers: it lies in its
@@ -29,6 +29,7 @@ of a class without any id are not followed. An empty table gives no rows. Other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from netvigil.llm.bytesets import Rolling, groups, mix, signed, text_bytes
-from netvigil.llm.common import ship, stored, summed
+from netvigil.llm.common import ship, stored, summed, text_hash
 from netvigil.llm.components import components
 from netvigil.llm.filters import Filter
 
@@ -48,6 +49,7 @@ CELLS = 1 << 18
 CHUNK = 1 << 19
 PIVOT_ROUNDS = 2
 BLOCK_CELLS = 1 << 12
+POSITION_BLOCKS = 4
 
 _LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -118,12 +120,12 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def _members(docs: DataFrame, size: int) -> DataFrame:
-    """Stored rows of two kinds: (doc_id, class, n, bits) per document, and (block, counts):
+    """Stored rows of two kinds: (doc_id, text_hash, class, n, bits) per document, and (block, counts):
     how many sets hold shingles of each rarity cell, as told by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "class", "n", "bits", "block", "counts"]
+        names = ["doc_id", "text_hash", "class", "n", "bits", "block", "counts"]
         for batch in batches:
             texts = text_bytes(batch.column("text"))
             for low, high in groups([len(t) for t in texts], CHUNK):
@@ -133,6 +135,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(low, rows),
+                        batch.column("text_hash").slice(low, rows),
                         signed(class_ids(code, borders)),
                         pa.array(np.diff(borders), pa.int64()),
                         pa.array(bitmaps(code, borders), pa.binary()),
@@ -148,6 +151,7 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
                 pa.nulls(len(used), doc_type),
                 pa.nulls(len(used), pa.int64()),
                 pa.nulls(len(used), pa.int64()),
+                pa.nulls(len(used), pa.int64()),
                 pa.nulls(len(used), pa.binary()),
                 pa.array(used, pa.int32()),
                 pa.array([blocks[i].tobytes() for i in used], pa.binary()),
@@ -158,8 +162,8 @@ def _members(docs: DataFrame, size: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     doc_type = to_arrow_type(docs.schema["doc_id"].dataType)
     return stored(
-        docs.select("doc_id", "text").mapInArrow(
-            run, f"doc_id {kind}, class bigint, n bigint, bits binary, block int, counts binary"
+        docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
+            run, f"doc_id {kind}, text_hash bigint, class bigint, n bigint, bits binary, block int, counts binary"
         ),
         "jaccard-members",
     )
@@ -341,33 +345,57 @@ def _pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _last_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Entries outside a list's largest component with the entries of other components.
 
-    Lists are cut into blocks of entries whose sizes and positions are alike; an entry only
-    meets blocks that its bounds allow.
+    A list is cut into blocks of entries of like size (a band reaches as far as sizes of
+    similar sets may differ) and of like position in their sets. An entry is sent to the
+    blocks in which its own bounds leave a partner, and to no others: for sizes from lo to hi
+    in a block, a partner may stand no deeper than (1 - t * n / hi) / (1 + t) of its set,
+    and the entry itself no deeper than (n - t * lo) / (1 + t).
     """
+    t = percent / 100
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top")).select(
         "token", F.col("top.label").alias("top")
     )
     rows = rows.join(largest, "token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("band")
+    n, pos = F.col("n").cast("double"), F.col("pos")
+    ratio = 1 / min(t, 0.999)  # of the sizes a band holds
+    band = F.floor(F.log(n) / math.log(ratio)).cast("int")
+    deepest = 1 - t if t < 1 else 1.0  # of a prefix, as a share of the set
+    place = F.floor(POSITION_BLOCKS * pos / (n * deepest)).cast("int")
+
+    def blocks(near: Column) -> Column:
+        # A hair wider than the bounds, as logarithms round.
+        low, high = (F.pow(F.lit(ratio), near + i) * (1 + (2 * i - 1) * 1e-9) for i in (0, 1))
+        partner = (1 - t * n / high) / (1 + t) + 1e-9
+        last = F.floor(POSITION_BLOCKS * partner / deepest).cast("int")
+        own = pos <= (n - t * low) / (1 + t) + 1e-9
+        inside = own & (last >= 0)
+        every = F.sequence(F.lit(0), F.when(inside, last).otherwise(0))
+        return F.when(
+            inside, F.transform(every, lambda b: F.struct(near.alias("band"), b.alias("place")))
+        ).otherwise(F.array().cast("array<struct<band:int,place:int>>"))
+
+    to = F.flatten(F.array(blocks(band - 1), blocks(band), blocks(band + 1)))
     minor = rows.where("label <> top").select(
         "token",
-        F.explode(F.array(band - 1, band, band + 1)).alias("band"),
+        F.inline(to),
         *[F.col(c).alias(f"m_{c}") for c in ("class", "n", "pos", "label")],
     )
-    every = rows.select("token", band, "class", "n", "pos", "label")
+    every = rows.select(
+        "token", band.alias("band"), place.alias("place"), "class", "n", "pos", "label"
+    )
     return (
-        every.join(minor, ["token", "band"])
+        every.join(minor, ["token", "band", "place"])
         .where((F.col("label") != F.col("m_label")) & _may_link("", "m_", percent))
         .select(*_pair(F.col("class"), F.col("m_class")))
         .distinct()
     )
 
 
-def jaccard_components(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
+def _grouped_classes(
+    docs: DataFrame, size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, text_hash, class, n; classes: class, doc_id, group)."""
     ship(docs.sparkSession)
     members = _members(docs, size)
     rows = members.where("block IS NULL")
@@ -399,6 +427,14 @@ def jaccard_components(
         classes.join(of, classes["class"] == of.node, "left")
         .select("class", "doc_id", F.coalesce("component", "class").alias("group"))
     )
+    return rows, grouped
+
+
+def jaccard_components(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
+    rows, grouped = _grouped_classes(docs, size, percent)
     smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     answer = stored(
         grouped.join(smallest, "group").select("class", "component_id"), "jaccard-answer"
@@ -410,11 +446,37 @@ def jaccard_components(
     )
 
 
-def one_per_group(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; columns stay.
+def one_per_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` of each group of linked ones; columns stay.
 
-    Rows without words or id stay. Rows that share an id are one document here.
+    The row with the smallest id stays, one without id only if the group has no other; of
+    rows that share the id the text with the least hash, and of rows repeated in full one.
+    Rows without words stay.
     """
-    groups = jaccard_components(docs, **settings)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    rows, grouped = _grouped_classes(docs, size, percent)
+    members = stored(
+        rows.where("n > 0").join(grouped.select("class", "group"), "class").select(
+            "group", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("who")
+        ),
+        "jaccard-groups",
+    )
+    first = members.groupBy("group").agg(F.min("who").alias("first"), F.count("*").alias("rows"))
+    # Groups of one row need no decision.
+    members = members.join(first.where("rows > 1"), "group")
+    others = members.where("who <> first").select("who.*").distinct()
+    again = members.where("who = first").groupBy("who").count().where("count > 1").select("who.*")
+    decided = stored(
+        others.withColumn("stays", F.lit(False)).unionByName(again.withColumn("stays", F.lit(True))),
+        "jaccard-decided",
+    )
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash().alias("hash"))
+
+    def named(found: DataFrame) -> Column:
+        return keyed.id.eqNullSafe(found.doc_id) & (keyed.hash == found.text_hash)
+
+    rest = keyed.join(decided, named(decided), "left_anti").select("row.*")
+    repeated = decided.where("stays")
+    if repeated.isEmpty():
+        return rest
+    once = keyed.join(repeated, named(repeated), "left_semi").dropDuplicates(["id", "hash"])
+    return rest.unionByName(once.select("row.*"))

@@ -1,6 +1,8 @@
 """Every operator against a plain version, on odd small tables and on the test tables."""
 
 import collections
+import warnings
+import zlib
 
 import brute
 import duckdb
@@ -211,6 +213,26 @@ def test_scores_odd(odd, odd_docs, none):
     assert hmm.score(none, states=2, rounds=1).count() == 0
 
 
+def test_scores_without_training_rows(spark):
+    """All documents are held out: one constant, and training ends."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:12]
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in held], "doc_id long, text string")
+    got = hmm.score(docs, states=2).collect()
+    assert len(got) == 12
+    assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got} == {(True, 4, 0, 0)}
+    assert all(r.base_score == 0 and abs(r.score) < 1e-9 for r in got)
+
+
+def test_training_settles_or_says_so(spark, odd, monkeypatch):
+    monkeypatch.setattr(hmm, "MOST_ROUNDS", 3)
+    with pytest.warns(UserWarning, match="not settled"):
+        assert hmm.score(odd, states=2).count() == odd.count()
+    monkeypatch.setattr(hmm, "TOLERANCE", 0.5)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert hmm.score(odd, states=2).count() == odd.count()
+
+
 def test_rare_words_have_emissions_of_their_own(spark, monkeypatch):
     """Words beyond the broadcast ones tell the state, too, however many they are."""
     import random
@@ -361,6 +383,49 @@ def test_jaccard(spark, sf_dir, documents, odd, odd_docs, none):
     assert {r.doc_id for r in kept.collect()} == {d for d, _, c in expected if d == c}
 
 
+def test_one_row_of_each_group_stays(spark, odd, none):
+    """Repeated rows, rows without id, and two texts under one id."""
+    words = [f"w{i}" for i in range(120)]
+    base, near = " ".join(words), " ".join([*words[:-1], "other"])
+    lone, left = " ".join(f"x{i}" for i in range(80)), " ".join(f"y{i}" for i in range(80))
+    table = [(5, base), (5, base), (5, base), (7, near), (None, base), (7, lone), (8, lone)]
+    table += [(None, left), (None, left), (3, None), (3, None), (4, ""), (9, near)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumn("group", F.lit("clash"))
+    kept = jaccard.one_per_group(docs.repartition(3), size=5, percent=80)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id", "text") == sorted(
+        [(5, base), (7, lone), (None, left), (3, None), (3, None), (4, "")], key=str
+    )
+    assert jaccard.one_per_group(none).count() == 0
+    assert jaccard.one_per_group(odd).count() < odd.count()
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_last_pairs_of_lists_lose_no_pair(spark, percent):
+    """Every pair of entries that the bounds allow, whatever its size and position."""
+    import random
+
+    rng = random.Random(percent)
+    lists = []
+    for token in range(6):
+        for c in range(40):
+            n = rng.choice([1, 2, 3, 9, 10, 11, 99, 100, rng.randrange(1, 400)])
+            pos = rng.randrange(n - -(-percent * n // 100) + 1)
+            lists.append((token, 100 * token + c, n, pos, rng.randrange(4)))
+    table = spark.createDataFrame(lists, "token long, class long, n int, pos int, label long")
+    sizes = collections.Counter((t, x) for t, _, _, _, x in lists)
+    top = {t: max((sizes[t, x], x) for x in range(4))[1] for t in range(6)}
+    expected = set()
+    for t, a, na, pa, x in lists:
+        for u, b, nb, pb, y in lists:
+            if t == u and x != y and x != top[t]:
+                best = min(na - pa, nb - pb)
+                if 100 * min(na, nb) >= percent * max(na, nb) and (100 + percent) * best >= percent * (na + nb):
+                    expected.add((min(a, b), max(a, b)))
+    got = {tuple(r) for r in jaccard._last_pairs(table, percent).select("a", "b").collect()}
+    assert got == expected
+
+
 # 8
 
 
