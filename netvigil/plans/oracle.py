@@ -542,6 +542,8 @@ GROUP BY window_start HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) -
 }
 ORACLE_SQL["t1_chart"] = ORACLE_SQL["a7_traffic_5m"]
 ORACLE_SQL |= {
+    "f6_indexed": ORACLE_SQL["f6_search"],
+    "s3_reingest": ORACLE_SQL["s3_ingest_good"],
     "page_dashboard_threat_score": ORACLE_SQL["a10_threat_score"],
     "page_dashboard_cards": ORACLE_SQL["a_kpi_cards"],
     "page_dashboard_traffic": ORACLE_SQL["a7_traffic_5m"],

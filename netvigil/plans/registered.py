@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import columns, labels, text
 from netvigil.operators import aggregates, correlate, enrich, filters, lookup, ranking, trends
+from netvigil.operators.postings import SearchIndex
 from netvigil.plans import binding as b
 from netvigil.plans import pages
 from netvigil.plans.rollup import Rollup, dashboard
 from netvigil.session import work_path
 from netvigil.sources.export import export, with_date
+from netvigil.sources.ledger import LogLedger
 from netvigil.sources.readers import (
     bad_lines,
     firewall_from_raw,
@@ -118,6 +120,18 @@ def s3_store_logs(spark, sf):
     return kept.unionByName(quarantined)
 
 
+def s3_reingest(spark, sf):
+    """The log uploaded in two goes, the first of them once more under other names."""
+    ledger = LogLedger(spark, work_path(spark, "ledger"))
+    lines = spark.read.text(_log_lines(spark, sf))
+    path = work_path(spark, "uploads")
+    is_short = F.length("value") % 2 == 0
+    for name, part in (("first", is_short), ("second", ~is_short), ("again", is_short)):
+        lines.where(part).sort("value").coalesce(1).write.text(f"{path}/{name}")
+        ledger.ingest(f"{path}/*")
+    return _plain_times(ledger.records()[0])
+
+
 def s4_stream_firewall(spark, sf):
     return _streamed(spark, stream_firewall(spark, _firewall_files(spark, sf)), "s4")
 
@@ -309,16 +323,26 @@ def f5_last_window(spark, sf):
 
 
 def f6_search(spark, sf):
-    return lookup.search(
-        {
-            "documents": (b.table(spark, sf, "documents"), ["doc_id"], ["text", "lang", "source"]),
-            "pages": (b.table(spark, sf, "pages"), ["page_id"], ["url", "html"]),
-            "conversations": (
-                b.table(spark, sf, "conversations"), ["conv_id", "turn"], ["role", "text"],
-            ),
-        },
-        "LICENSE",
-    )
+    return lookup.search(_searched_tables(spark, sf), "LICENSE")
+
+
+def _searched_tables(spark, sf):
+    return {
+        "documents": (b.table(spark, sf, "documents"), ["doc_id"], ["text", "lang", "source"]),
+        "pages": (b.table(spark, sf, "pages"), ["page_id"], ["url", "html"]),
+        "conversations": (
+            b.table(spark, sf, "conversations"), ["conv_id", "turn"], ["role", "text"],
+        ),
+    }
+
+
+def f6_indexed(spark, sf):
+    """The same search through trigram postings."""
+    tables = _searched_tables(spark, sf)
+    index = SearchIndex(spark, work_path(spark, "postings"))
+    for source, (df, keys, columns_) in tables.items():
+        index.refresh(source, df, keys, columns_)
+    return index.search(tables, "LICENSE")
 
 
 def f6_search_telemetry(spark, sf):
@@ -666,13 +690,13 @@ def t4_alert_stream(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        s1_read_packets, s2_read_firewall, s3_ingest_good, s3_ingest_quarantine, s3_store_logs,
+        s1_read_packets, s2_read_firewall, s3_ingest_good, s3_ingest_quarantine, s3_store_logs, s3_reingest,
         s4_stream_firewall, s4_stream_packets, s5_export_by_date, s6_capture_restart,
         p1_fill_defaults, p2_classify, p3_severity_rank, p3_worst_status, p4_parse_size,
         p5_format_count, p5_format_delta, p6_age_text, p7_parse_ts, p7_raw_packets,
         p7_raw_firewall, p8_protocol_family, p9_risk_label, p10_activity_view, p10_packet_view,
         f1_filter_protocol, f2_filter_status, f3_filter_packets, f4_blocked, f5_last_window,
-        f6_search, f6_search_telemetry, f7_lookup,
+        f6_search, f6_indexed, f6_search_telemetry, f7_lookup,
         j1_geo_enrich, j1_gaps, j1_stream, j2_geo_enrich_ranges, j2_nested, j3_reputation_enrich,
         j4_match_hashes, j4_match_hosts, j4_oversize, j4_unscanned, j5_also_blocked, j5_never_blocked,
         a1_active_threats, a2_packets, a2_status_counts, a3_suspicious_ips, a4_events_last_hour,
