@@ -187,4 +187,18 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The others cannot be put in SQL as a whole: see tests/llm for their plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": """
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM texts),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed),
+firsts AS (SELECT key, min(doc_id) AS keeper FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper < doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE coalesce(keeper >= doc_id, true)), ''))
+    AS kept_sha256
+FROM keyed LEFT JOIN firsts USING (key) GROUP BY doc_id""",
+}
