@@ -15,11 +15,16 @@ steps, each of which leaves little for the next:
 2. a phrase whose dictionary entry occurs twice is repeated at all its positions, and
    neither its bytes nor its positions are looked at;
 3. other phrases are compared, per trigger, with the other dictionary entries of that
-   trigger: the suffixes of these entries, cut at ``WIDTH`` bytes, are sorted, and equal
-   neighbours are repeated. So a phrase met a million times is one entry there.
-
-Entries of one trigger are compared in one task up to ``ENTRIES``; of a more frequent
-trigger the sorted suffix hashes are aggregated over tasks instead, with the same result.
+   trigger. Entries are aligned at the trigger, so that equal strings begin at equal
+   distances before it, and the distances are cut into blocks. Strings of one block share
+   some bytes (their *core*), and a piece of an entry has all bytes of its strings (its
+   *whole*): a core met in one piece only has no repeated string, a whole met twice is
+   repeated throughout, and only pieces of other cores are cut into the next smaller
+   blocks (``BLOCKS``). Blocks of one distance have core and whole alike, which settles
+   the rest. So a phrase met a million times is one entry, and an entry has a row per
+   place only where its repeats begin and end.
+
+All comparisons are counts by hash, whatever the number of a trigger's entries.
 A filter of fixed size, made of the repeated triggers, keeps most unique phrases from
 being shuffled; what it lets pass in error is dropped by the join after it.
 
@@ -32,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +50,7 @@ from netvigil.llm.common import ship, stored, text_hash
 
 WIDTH = 200
 TRIGGER = 32
-ENTRIES = 2000
+BLOCKS = (64, 16, 4, 1)  # distances before the trigger that are compared at once
 CHUNK = 1 << 18
 _PLACE = np.uint64(22)  # bits of a place in a chunk
 
@@ -68,7 +74,7 @@ class Phrases:
         self.rolling = Rolling(data)
         self.width = width
         if len(data) < width:
-            self.start = self.end = self.text = np.zeros(0, np.int64)
+            self.start = self.end = self.text = self.ahead = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
             return
         grams = mix(self.rolling.windows(TRIGGER))
@@ -90,6 +96,7 @@ class Phrases:
         inside = good[begin]
         self.start, self.end = begin[inside], end[inside]
         self.text = np.searchsorted(starts, self.start, side="right") - 1
+        self.ahead = trigger[self.start] - self.start  # how far the trigger lies ahead
         self.key = mix(grams[trigger[self.start]], 7)
 
     def entries(self) -> np.ndarray:
@@ -177,7 +184,7 @@ def _parse(docs: DataFrame, triggers: DataFrame, width: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, entry, bytes): dictionary entries of the given triggers, as bytes."""
+    """(key, entry, ahead, bytes): dictionary entries of the given triggers, as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,114 +200,110 @@ def _contexts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
                     [
                         signed(p.key[keep]),
                         signed(entry),
+                        pa.array(p.ahead[keep]),
                         pa.array(
                             [raw[p.start[i] : p.end[i] + width - 1] for i in keep], pa.binary()
                         ),
                     ],
-                    ["key", "entry", "bytes"],
+                    ["key", "entry", "ahead", "bytes"],
                 )
 
-    found = docs.select("text").mapInArrow(run, "key bigint, entry bigint, bytes binary")
+    kinds = "key bigint, entry bigint, ahead bigint, bytes binary"
+    found = docs.select("text").mapInArrow(run, kinds)
     return found.join(keys, "key", "left_semi").dropDuplicates(["key", "entry"])
 
 
-def _suffix_hashes(batch: pa.RecordBatch, width: int):
-    """Of all entries: (row, place, hash), a row per suffix of at least ``width`` bytes, the hash
-    being of its first ``width`` bytes and its entry's trigger."""
-    raw = batch.column("bytes").to_pylist()
-    sizes = np.array([len(x) for x in raw], np.int64)
-    hashes = mix(Rolling(np.frombuffer(b"".join(raw), np.uint8)).windows(width))
-    begin = np.cumsum(sizes) - sizes
-    n = sizes - width + 1
-    row = np.repeat(np.arange(len(raw)), n)
-    place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-    key = batch.column("key").to_numpy().view(np.uint64)
-    return row, place, mix(hashes[begin[row] + place] ^ mix(key, 9)[row], 10)
-
-
-def _spans(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """(doc, start, end) of runs of consecutive places."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[first]), pa.array(at[first]), pa.array(at[last] + 1)],
-        ["doc", "start", "end"],
-    )
-
-
-SPAN = "doc bigint, start bigint, end bigint"
-
-
-def _compare_small(entries: DataFrame, width: int) -> DataFrame:
-    """Repeated places of entries that occur once, per trigger within one task."""
-
-    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        row, place, found = _suffix_hashes(batch, width)
-        order = np.argsort(found, kind="stable")
-        same = found[order][1:] == found[order][:-1]
-        twice = np.zeros(len(found), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        single = batch.column("n").to_numpy()[row] == 1
-        hit = twice & single
-        doc = batch.column("doc").to_numpy()[row[hit]]
-        return _spans(doc, batch.column("start").to_numpy()[row[hit]] + place[hit])
+def _pieces(entries: DataFrame, block: int, width: int) -> DataFrame:
+    """Stored pieces of (key, bytes, ahead, times, doc, start), cut at multiples of ``block``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Rows are sorted by trigger: hold back the last trigger, which may go on.
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut == 0 and held and held[-1].column("key")[-1].as_py() != key[0] and size:
-                yield flush(held)
-                held, size = [], 0
-            if cut:
-                held.append(batch.slice(0, cut))
-                yield flush(held)
-                held, size = [], 0
-            held.append(batch.slice(cut))
-            size += batch.num_rows - cut
-        if held:
-            yield flush(held)
-
-    ordered = entries.repartition("key").sortWithinPartitions("key")
-    return ordered.select("key", "bytes", "n", "doc", "start").mapInArrow(run, SPAN)
-
-
-def _compare_large(entries: DataFrame, width: int) -> DataFrame:
-    """The same for triggers of many entries: suffix hashes are counted over all tasks."""
+    A piece has the places whose distance to the trigger lies in one block; ``core`` stands
+    for its key, its block and the bytes that any string of the block has, ``whole`` for all
+    its bytes and distances.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, place, found = _suffix_hashes(batch, width)
+            raw = batch.column("bytes").to_pylist()
+            sizes = np.array([len(x) for x in raw], np.int64)
+            data = b"".join(raw)
+            rolling = Rolling(np.frombuffer(data, np.uint8))
+            places = sizes - width + 1
+            row = np.repeat(np.arange(len(raw)), places)
+            place = np.arange(len(row)) - (np.cumsum(places) - places)[row]
+            ahead = batch.column("ahead").to_numpy()
+            cell = (ahead[row] - place) // block
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(row)))
+            row, place, cell = row[first], place[first], cell[first]
+            begin = (np.cumsum(sizes) - sizes)[row]
+            trigger = begin + ahead[row]
+            common = rolling.of(trigger - cell * block, trigger - (cell + 1) * block + 1 + width)
+            key = batch.column("key").to_numpy().view(np.uint64)[row]
+            core = mix(mix(common, 9) ^ mix(key ^ mix(cell.view(np.uint64), 10), 11), 12)
+            start, end = begin + place, begin + place + count + width - 1
+            shift = (ahead[row] - place).view(np.uint64)
+            whole = mix(rolling.of(start, end) ^ mix(shift ^ mix(count.view(np.uint64), 13), 14), 15)
+            cuts = zip(start.tolist(), end.tolist(), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    signed(found),
-                    pa.array(batch.column("n").to_numpy()[row]),
+                    signed(core),
+                    signed(whole),
+                    pa.array([data[i:j] for i, j in cuts], pa.binary()),
+                    pa.array(ahead[row] - place),
+                    pa.array(batch.column("times").to_numpy()[row]),
                     pa.array(batch.column("doc").to_numpy()[row]),
                     pa.array(batch.column("start").to_numpy()[row] + place),
                 ],
-                ["hash", "n", "doc", "at"],
+                ["core", "whole", "bytes", "ahead", "times", "doc", "start"],
             )
 
-    suffixes = entries.select("bytes", "key", "n", "doc", "start").mapInArrow(
-        run, "hash bigint, n bigint, doc bigint, at bigint"
-    )
-    twice = suffixes.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    return suffixes.where("n = 1").join(twice, "hash", "left_semi").select(
-        "doc", F.col("at").alias("start"), (F.col("at") + 1).alias("end")
+    kinds = (
+        "core bigint, whole bigint, bytes binary, ahead bigint, times bigint, doc bigint, start bigint"
     )
+    rows = entries.select("key", "bytes", "ahead", "times", "doc", "start").mapInArrow(run, kinds)
+    return stored(rows, f"repeats-pieces-{block}")
+
+
+SPAN = ["doc", "start", "end"]
+
+
+def _compared(entries: DataFrame, width: int) -> DataFrame:
+    """The spans of entries met once (``times`` = 1) that are repeated within other entries."""
+    spans = []
+    for block in [b for b in BLOCKS if 3 * b <= width]:
+        pieces = _pieces(entries, block, width)
+        wholes = stored(
+            pieces.groupBy("core", "whole").agg(
+                F.sum("times").alias("times"),
+                F.min(F.struct("doc", "start", "ahead", "bytes")).alias("at"),
+            ),
+            f"repeats-wholes-{block}",
+        )
+        repeated = wholes.where("times > 1").select("core", "whole")
+        spans.append(
+            pieces.where("times = 1")
+            .withColumn("end", F.col("start") + F.octet_length("bytes") - (width - 1))
+            .select("core", "whole", *SPAN)
+            .join(repeated, ["core", "whole"], "left_semi")
+            .select(*SPAN)
+        )
+        if block == 1:
+            break
+        cores = stored(
+            wholes.groupBy("core")
+            .agg(F.count("*").alias("wholes"), F.min("times").alias("least"))
+            .where("wholes > 1 AND least = 1")
+            .select("core"),
+            f"repeats-cores-{block}",
+        )
+        entries = wholes.join(cores, "core", "left_semi").select(
+            F.col("core").alias("key"), "times", "at.*"
+        )
+    return reduce(DataFrame.unionByName, spans)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -323,19 +326,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         dictionary.groupBy("key")
         .agg(F.count("*").alias("entries"), F.min("n").alias("least"))
         .where("entries > 1 AND least = 1")
-        .select("key", "entries"),
+        .select("key"),
         "repeats-open",
     )
-    entries = stored(
-        _contexts(docs, open_keys.select("key"), width)
-        .join(dictionary, ["key", "entry"])
-        .join(open_keys, "key")
-        .select("key", "bytes", "n", "at.doc", "at.start", "entries"),
-        "repeats-entries",
+    entries = _contexts(docs, open_keys, width).join(dictionary, ["key", "entry"])
+    compared = _compared(
+        entries.select("key", "bytes", "ahead", F.col("n").alias("times"), "at.doc", "at.start"),
+        width,
     )
-    small = _compare_small(entries.where(F.col("entries") <= ENTRIES), width)
-    large = _compare_large(entries.where(F.col("entries") > ENTRIES), width)
-    return often.unionByName(small).unionByName(large)
+    return often.unionByName(compared)
 
 
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
@@ -345,9 +344,12 @@ def removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans, kept (the bytes left) and kept_sha256."""
     columns = [c for c in docs.columns if c not in ADDED]
     spans = stored(repeated_spans(docs, width), "repeats-spans")
-    # A document has no more spans than bytes.
-    by_doc = spans.groupBy("doc").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")
+    # A document has no more spans than bytes; rows repeated in full share theirs.
+    by_doc = (
+        spans.groupBy("doc")
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        .select("doc", "spans.start", "spans.end")
+        .toDF("doc", "starts", "ends")
     )
     rows = docs.select(
         F.xxhash64("doc_id", text_hash()).alias("doc"),

@@ -3,6 +3,7 @@
 import collections
 import warnings
 import zlib
+from random import Random
 
 import brute
 import duckdb
@@ -347,12 +348,28 @@ def test_repeats(spark, sf_dir, documents, odd, odd_docs, none):
     assert repeats.removed(none).count() == 0
 
 
-def test_repeats_of_many_entries(odd, odd_docs, monkeypatch):
-    """The way for frequent triggers, and texts cut into pieces."""
+def test_repeats_in_other_blocks(odd, odd_docs, monkeypatch):
+    """Results don't depend on the width or on how distances are cut into blocks."""
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    monkeypatch.setattr(repeats, "ENTRIES", 1)
-    assert rows(repeats.removed(odd), *names) == brute.repeats(pairs(odd_docs))
     assert rows(repeats.removed(odd, 64), *names) == brute.repeats(pairs(odd_docs), 64)
+    monkeypatch.setattr(repeats, "BLOCKS", (7, 1))
+    assert rows(repeats.removed(odd), *names) == brute.repeats(pairs(odd_docs))
+
+
+def test_repeats_in_a_group_of_near_copies(spark):
+    """Each copy has edits of its own; some are repeated in full."""
+    random = Random(7)
+    base = "".join(random.choices("abcdefgh ", k=1500))
+    docs = []
+    for i in range(120):
+        text = list(base)
+        for at in random.sample(range(len(base)), i % 4):
+            text[at] = chr(0x4E00 + i)
+        docs.append((i, "".join(text)))
+    docs += docs[5:8] * 3
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(repeats.removed(table), *names) == brute.repeats(docs)
 
 
 def test_phrases_of_pieces_agree(odd_docs, monkeypatch):
