@@ -50,7 +50,7 @@ from netvigil.llm.common import ship, stored, text_hash
 
 WIDTH = 200
 TRIGGER = 32
-BLOCKS = (64, 16, 4, 1)  # distances before the trigger that are compared at once
+BLOCKS = (64, 8, 1)  # distances before the trigger that are compared at once
 CHUNK = 1 << 18
 _PLACE = np.uint64(22)  # bits of a place in a chunk
 
@@ -184,7 +184,8 @@ def _parse(docs: DataFrame, triggers: DataFrame, width: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """(key, entry, ahead, bytes): dictionary entries of the given triggers, as bytes."""
+    """(key, entry, ahead, bytes): dictionary entries of the given triggers, as bytes, and some
+    others that their filter lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast(Filter(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,15 +211,20 @@ def _contexts(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 
     kinds = "key bigint, entry bigint, ahead bigint, bytes binary"
     found = docs.select("text").mapInArrow(run, kinds)
-    return found.join(keys, "key", "left_semi").dropDuplicates(["key", "entry"])
+    return found.dropDuplicates(["key", "entry"])
+
+
+def _with_ids(entries: DataFrame, label: str) -> DataFrame:
+    """Stored with a number per row, which stays as the rows are stored."""
+    return stored(entries.withColumn("id", F.monotonically_increasing_id()), label)
 
 
 def _pieces(entries: DataFrame, block: int, width: int) -> DataFrame:
-    """Stored pieces of (key, bytes, ahead, times, doc, start), cut at multiples of ``block``.
+    """Stored pieces of (id, key, bytes, ahead, times, doc, start), cut at multiples of ``block``.
 
-    A piece has the places whose distance to the trigger lies in one block; ``core`` stands
-    for its key, its block and the bytes that any string of the block has, ``whole`` for all
-    its bytes and distances.
+    A piece has the places whose distance to the trigger lies in one block, its ``cell``;
+    ``core`` stands for its key, its cell and the bytes that any string of the cell has,
+    ``whole`` for all its bytes and distances.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +233,7 @@ def _pieces(entries: DataFrame, block: int, width: int) -> DataFrame:
                 continue
             raw = batch.column("bytes").to_pylist()
             sizes = np.array([len(x) for x in raw], np.int64)
-            data = b"".join(raw)
-            rolling = Rolling(np.frombuffer(data, np.uint8))
+            rolling = Rolling(np.frombuffer(b"".join(raw), np.uint8))
             places = sizes - width + 1
             row = np.repeat(np.arange(len(raw)), places)
             place = np.arange(len(row)) - (np.cumsum(places) - places)[row]
@@ -244,52 +249,71 @@ def _pieces(entries: DataFrame, block: int, width: int) -> DataFrame:
             common = rolling.of(trigger - cell * block, trigger - (cell + 1) * block + 1 + width)
             key = batch.column("key").to_numpy().view(np.uint64)[row]
             core = mix(mix(common, 9) ^ mix(key ^ mix(cell.view(np.uint64), 10), 11), 12)
-            start, end = begin + place, begin + place + count + width - 1
+            string = rolling.of(begin + place, begin + place + count + width - 1)
             shift = (ahead[row] - place).view(np.uint64)
-            whole = mix(rolling.of(start, end) ^ mix(shift ^ mix(count.view(np.uint64), 13), 14), 15)
-            cuts = zip(start.tolist(), end.tolist(), strict=True)
+            whole = mix(string ^ mix(shift ^ mix(count.view(np.uint64), 13), 14), 15)
+            start = batch.column("start").to_numpy()[row] + place
             yield pa.RecordBatch.from_arrays(
                 [
                     signed(core),
                     signed(whole),
-                    pa.array([data[i:j] for i, j in cuts], pa.binary()),
-                    pa.array(ahead[row] - place),
-                    pa.array(batch.column("times").to_numpy()[row]),
-                    pa.array(batch.column("doc").to_numpy()[row]),
-                    pa.array(batch.column("start").to_numpy()[row] + place),
+                    pa.array(cell),
+                    *[batch.column(c).take(pa.array(row)) for c in ("id", "times", "doc")],
+                    pa.array(start),
+                    pa.array(start + count),
                 ],
-                ["core", "whole", "bytes", "ahead", "times", "doc", "start"],
+                ["core", "whole", "cell", "id", "times", *SPAN],
             )
 
-    kinds = (
-        "core bigint, whole bigint, bytes binary, ahead bigint, times bigint, doc bigint, start bigint"
+    names = ("core", "whole", "cell", "id", "times", *SPAN)
+    rows = entries.select("id", "key", "bytes", "ahead", "times", "doc", "start")
+    return stored(
+        rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in names)), f"repeats-pieces-{block}"
     )
-    rows = entries.select("key", "bytes", "ahead", "times", "doc", "start").mapInArrow(run, kinds)
-    return stored(rows, f"repeats-pieces-{block}")
 
 
-SPAN = ["doc", "start", "end"]
+SPAN = ("doc", "start", "end")
+
+
+def _cut(entries: DataFrame, cells: DataFrame, block: int, width: int) -> DataFrame:
+    """The given (id, cell, core, times) of ``entries`` as entries of their own."""
+    low = F.greatest(F.lit(0), F.col("ahead") - (F.col("cell") + 1) * block + 1)
+    high = F.least(
+        F.octet_length("bytes") - (width - 1), F.col("ahead") - F.col("cell") * block + 1
+    )
+    return (
+        entries.drop("key", "times")
+        .join(cells, "id")
+        .withColumns({"low": low.cast("int"), "high": high.cast("int")})
+        .select(
+            F.col("core").alias("key"),
+            F.expr(f"substring(bytes, low + 1, high - low + {width - 1})").alias("bytes"),
+            (F.col("ahead") - F.col("low")).alias("ahead"),
+            "times",
+            "doc",
+            (F.col("start") + F.col("low")).alias("start"),
+        )
+    )
 
 
 def _compared(entries: DataFrame, width: int) -> DataFrame:
-    """The spans of entries met once (``times`` = 1) that are repeated within other entries."""
+    """The spans of entries met once (``times`` = 1) that are repeated within other entries.
+
+    Bytes stay in the entries; what is counted and joined by hash has numbers only.
+    """
     spans = []
     for block in [b for b in BLOCKS if 3 * b <= width]:
+        entries = _with_ids(entries, f"repeats-entries-{block}")
         pieces = _pieces(entries, block, width)
         wholes = stored(
             pieces.groupBy("core", "whole").agg(
-                F.sum("times").alias("times"),
-                F.min(F.struct("doc", "start", "ahead", "bytes")).alias("at"),
+                F.sum("times").alias("times"), F.min("id").alias("id"), F.min("cell").alias("cell")
             ),
             f"repeats-wholes-{block}",
         )
         repeated = wholes.where("times > 1").select("core", "whole")
         spans.append(
-            pieces.where("times = 1")
-            .withColumn("end", F.col("start") + F.octet_length("bytes") - (width - 1))
-            .select("core", "whole", *SPAN)
-            .join(repeated, ["core", "whole"], "left_semi")
-            .select(*SPAN)
+            pieces.where("times = 1").join(repeated, ["core", "whole"], "left_semi").select(*SPAN)
         )
         if block == 1:
             break
@@ -300,9 +324,8 @@ def _compared(entries: DataFrame, width: int) -> DataFrame:
             .select("core"),
             f"repeats-cores-{block}",
         )
-        entries = wholes.join(cores, "core", "left_semi").select(
-            F.col("core").alias("key"), "times", "at.*"
-        )
+        cells = wholes.join(cores, "core", "left_semi").select("id", "cell", "core", "times")
+        entries = _cut(entries, cells, block, width)
     return reduce(DataFrame.unionByName, spans)
 
 
@@ -329,11 +352,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         .select("key"),
         "repeats-open",
     )
-    entries = _contexts(docs, open_keys, width).join(dictionary, ["key", "entry"])
-    compared = _compared(
-        entries.select("key", "bytes", "ahead", F.col("n").alias("times"), "at.doc", "at.start"),
-        width,
+    opened = dictionary.join(open_keys, "key", "left_semi").select(
+        "key", "entry", F.col("n").alias("times"), "at.doc", "at.start"
     )
+    entries = _contexts(docs, open_keys, width).join(opened, ["key", "entry"])
+    compared = _compared(entries.drop("entry"), width)
     return often.unionByName(compared)
 
 
