@@ -92,3 +92,38 @@ def long_to_ip(value: Column) -> Column:
 def url_host(url: Column) -> Column:
     """Lower-case host of a URL, without user or port; null if it cannot be parsed."""
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
+def url_parts(url: Column) -> Column:
+    """A URL as it is compared, in parts: host, segments of the path, ``?`` with the query.
+
+    The host is lower-cased and loses user, the ports 80 and 443 and a closing dot. Empty
+    segments and ``.`` go, ``..`` takes the segment before it along; case and percent
+    signs of the path stay. A fragment never counts, an empty query neither. The scheme
+    may be missing. Null if there is no host.
+    """
+    bare = F.regexp_replace(F.trim(url), "^[A-Za-z][A-Za-z0-9+.-]*://|#(?s:.*)$", "")
+    cut = F.regexp_instr(bare, F.lit("[?]"))
+    before = F.when(cut > 0, F.substring(bare, F.lit(1), cut - 1)).otherwise(bare)
+    query = F.when(cut > 0, F.substring(bare, cut, F.length(bare))).otherwise(F.lit("?"))
+    pieces = F.split(before, "/")
+    host = F.regexp_replace(F.lower(pieces[0]), "^.*@|:(?:80|443)?$", "")
+    host = F.regexp_replace(host, "[.]$", "")
+    plain = F.filter(
+        F.slice(pieces, F.lit(2), F.size(pieces)), lambda part: (part != "") & (part != ".")
+    )
+
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", shorter).otherwise(F.array_append(done, part))
+
+    path = F.when(
+        F.array_contains(plain, ".."), F.aggregate(plain, F.array().cast("array<string>"), step)
+    ).otherwise(plain)
+    last = F.when(query == "?", F.array().cast("array<string>")).otherwise(F.array(query))
+    return F.when(host != "", F.concat(F.array(host), path, last))
+
+
+def url_prefix(parts: Column, depth: Column) -> Column:
+    """The first ``depth`` parts of a URL as one text."""
+    return F.array_join(F.slice(parts, F.lit(1), depth), "/")

@@ -81,9 +81,7 @@ def top_malicious(
 ) -> DataFrame:
     """Addresses with most malicious packets: (ip, country, attempts, risk).
 
-    Only the k winners meet the geo table: they are broadcast (k rows) to pick
-    their rows out of it, so the geo table is neither shuffled nor broadcast. An
-    address with several geo rows is shown once, with the country that sorts first.
+    See ``operators/heavy.py`` for telemetry with very many addresses.
     """
     top = (
         packets.where(F.col("status") == "malicious")
@@ -92,6 +90,18 @@ def top_malicious(
         .orderBy(F.desc("attempts"), "ip")
         .limit(k)
     )
+    return malicious_places(top, geo, k, critical_min, high_min)
+
+
+def malicious_places(
+    top: DataFrame, geo: DataFrame, k: int, critical_min: int, high_min: int
+) -> DataFrame:
+    """The k winners (ip, attempts) with country and risk.
+
+    Only they meet the geo table: they are broadcast (k rows) to pick their rows out of
+    it, so the geo table is neither shuffled nor broadcast. An address with several geo
+    rows is shown once, with the country that sorts first.
+    """
     places = (
         geo.select("ip", "country")
         .join(broadcast_top(top.select("ip"), k), "ip", "left_semi")
@@ -123,6 +133,17 @@ def top_blocked(firewall: DataFrame, k: int = 4) -> DataFrame:
         .limit(k)
         .select(F.col("ip").alias("top_ip"), "n")
     )
+    return _with_rule(counts, top, k)
+
+
+def most_frequent_rules(events: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """The k winners (top_ip, n) with their most frequent rule, counted for them only."""
+    of_top = F.col("ip").eqNullSafe(F.col("top_ip"))
+    kept = events.select("ip", "rule").join(broadcast_top(top, k), of_top, "left_semi")
+    return _with_rule(kept.groupBy("ip", "rule").agg(F.count("*").alias("rule_n")), top, k)
+
+
+def _with_rule(counts: DataFrame, top: DataFrame, k: int) -> DataFrame:
     return (
         counts.join(broadcast_top(top, k), F.col("ip").eqNullSafe(F.col("top_ip")))
         .groupBy("ip", "n")

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.functions.text import url_host
+from netvigil.functions.text import url_host, url_parts, url_prefix
+from netvigil.operators.bitfilter import key_filter
 from netvigil.operators.sizing import BROADCAST_BYTES, Lookup, store_lookup, store_measured
 
 MAX_SCAN_BYTES = 256 * 1024 * 1024  # fixed value: larger content is refused
@@ -240,3 +241,59 @@ def match_hosts(
     return hosts.join(_known(indicators, "host").hinted(limit_bytes), "host", "left_semi").select(
         key, "host"
     )
+
+
+def match_urls(
+    df: DataFrame,
+    indicators: DataFrame,
+    key: str = "page_id",
+    url: str = "url",
+    limit_bytes: int | None = BROADCAST_BYTES,
+) -> DataFrame:
+    """Keys of URLs under a known-bad one: (key, matched), the longest known prefix.
+
+    An indicator of kind ``url`` is a host, or a host with the beginning of a path, or a
+    whole URL with its query; it covers what it is a prefix of, part by part, after both
+    sides were brought to one form (``url_parts``). Each row is returned at most once,
+    repeated rows as often as they are there; null and URLs without host match nothing.
+
+    Hosts without indicators are dropped at the scan by a filter of fixed size. Distinct
+    URLs of the others are cut at their borders, no deeper than the deepest indicator, and
+    meet the indicators by equality; what they found is a lookup for all rows.
+    """
+    parts = url_parts(F.col("value"))
+    known, totals = store_measured(
+        indicators.where((F.col("kind") == "url") & parts.isNotNull())
+        .select(
+            F.element_at(parts, 1).alias("host"),
+            F.size(parts).alias("depth"),
+            F.array_join(parts, "/").alias("matched"),
+        )
+        .distinct(),
+        "urls",
+        deepest=F.max("depth"),
+        n_bytes=F.sum(F.octet_length("matched") + 8),
+    )
+    may_match = key_filter(known, "host")
+    cut = (
+        df.select(url)
+        .withColumn("parts", url_parts(F.col(url)))
+        .where(may_match(F.element_at("parts", 1)))
+        .distinct()
+        .select(
+            url,
+            "parts",
+            F.explode(
+                F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(max(totals["deepest"], 1))))
+            ).alias("depth"),
+        )
+        .select(url, "depth", url_prefix(F.col("parts"), F.col("depth")).alias("matched"))
+    )
+    keys = Lookup(known.select("matched", "depth"), totals["n_bytes"]).hinted(limit_bytes)
+    longest = (
+        cut.join(keys, ["matched", "depth"])
+        .groupBy(url)
+        .agg(F.max_by("matched", "depth").alias("matched"))
+    )
+    found = store_lookup(longest, "url-matches").hinted(limit_bytes)
+    return df.select(key, url).join(found, url).select(key, "matched")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import math
+import re
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions.labels import (
@@ -14,6 +16,8 @@ from netvigil.functions.labels import (
     family_spellings,
 )
 
+_DATE_FOLDER = r"(?:^|/)date=(\d{4}-\d{2}-\d{2})(?:/|$)"
+
 
 def filter_protocol(df: DataFrame, choice: str | None = "all") -> DataFrame:
     """Rows of one protocol family; ``all`` or None keeps every row."""
@@ -71,6 +75,43 @@ def as_of_column(df: DataFrame, as_of: datetime | str | Column | None) -> Column
     return F.lit(str(as_of)).cast(df.schema["ts"].dataType)
 
 
+def folder_dates(df: DataFrame) -> list[date]:
+    """Dates of a table's ``date=...`` folders, newest first; no file is opened.
+
+    They are taken from the list of files that Spark made when it was told of the table.
+    """
+    found = (re.search(_DATE_FOLDER, name) for name in df.inputFiles())
+    return sorted({date.fromisoformat(m.group(1)) for m in found if m}, reverse=True)
+
+
+def table_dates(spark: SparkSession, table: str) -> list[date]:
+    """Dates of the partitions of a table of the catalog, newest first, as listed there."""
+    name = F.regexp_extract("partition", _DATE_FOLDER, 1)
+    rows = spark.sql(f"SHOW PARTITIONS {table}").select(name.try_cast("date")).distinct().collect()
+    return sorted((day for (day,) in rows if day is not None), reverse=True)
+
+
+def last_window_by_date(
+    df: DataFrame, hours: int = 1, dates: list[date] | None = None, spread_days: int = 1
+) -> DataFrame:
+    """``last_window`` up to the newest time of a table laid out by ``date``.
+
+    Neither the newest time nor the window opens a file outside the newest folders: their
+    dates, given newest first or else from ``folder_dates``, are known when the plan is
+    made. Folders may have been named in time zones that lie ``spread_days`` apart. Newest
+    folders without any time are passed over; a table without folders by date, or with
+    null times only, is read as a whole.
+    """
+    spread = timedelta(days=spread_days)
+    for newest in folder_dates(df) if dates is None else dates:
+        top = df.where(F.col("date") >= F.lit(newest - spread))
+        if not top.where(F.col("ts").isNotNull()).isEmpty():
+            start = top.agg(F.max("ts") - F.expr(f"INTERVAL {hours} HOURS")).scalar()
+            first = newest - 2 * spread - timedelta(days=math.ceil(hours / 24))
+            return df.where((F.col("date") >= F.lit(first)) & (F.col("ts") > start))
+    return last_window(df, hours=hours)
+
+
 def last_window(
     df: DataFrame,
     as_of: datetime | str | Column | None = None,

@@ -156,6 +156,22 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad_texts.unionByName(bad_hosts).distinct()
 
 
+def url_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known-bad URLs: of pages that say "free" the first segment of the path, of every second
+    page the whole URL, written otherwise; and every host of adult pages."""
+    pages = table(spark, sf_dir, "pages").withColumn("host", url_host(F.col("url")))
+    folder = F.regexp_extract("url", "^([a-z]+://[^/?#]+/[^/?#]*)", 1)
+    shouted = F.concat(F.lit("HTTP://user@"), F.upper("host"), F.lit(":80/./"))
+    whole = F.concat(shouted, F.regexp_replace("url", "^[a-z]+://[^/]+/", "/"))
+    free, adult = F.contains("html", F.lit("free")), F.contains("host", F.lit("adult"))
+    values = (
+        pages.where(free).select(folder.alias("value"))
+        .unionByName(pages.where(F.col("page_id") % 2 == 0).select(whole.alias("value")))
+        .unionByName(pages.where(adult).select(F.col("host").alias("value")))
+    )
+    return values.distinct().select(F.lit("url").alias("kind"), "value")
+
+
 def as_stream_rows(df: DataFrame) -> DataFrame:
     """``ts`` as TIMESTAMP: streams refuse a time without zone."""
     return df.withColumn("ts", F.col("ts").cast("timestamp"))

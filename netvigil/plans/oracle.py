@@ -321,6 +321,18 @@ WHERE sha256(text) IN (SELECT sha256(d.text) FROM documents d JOIN labels l
     "j4_match_hosts": """WITH hosts AS (
   SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host FROM pages)
 SELECT page_id, host FROM hosts WHERE host IN (SELECT host FROM hosts WHERE contains(html, 'free'))""",
+    "j4_match_urls": """WITH cut AS (
+  SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host,
+    rtrim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/') AS path,
+    regexp_extract(url, '[?][^#]*') AS query FROM pages),
+whole AS (SELECT *, concat(host, path, CASE WHEN length(query) > 1 THEN concat('/', query) ELSE '' END)
+  AS url FROM cut),
+known AS (SELECT rtrim(concat(host, '/', split_part(path, '/', 2)), '/') AS value FROM whole
+    WHERE contains(html, 'free')
+  UNION SELECT url FROM whole WHERE page_id % 2 = 0
+  UNION SELECT host FROM whole WHERE contains(host, 'adult'))
+SELECT page_id, max_by(value, length(value)) AS matched
+FROM whole JOIN known ON url = value OR starts_with(url, concat(value, '/')) GROUP BY page_id""",
     "j4_oversize": """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents
 WHERE strlen(text) > 20480""",
     "j5_also_blocked": _sql(
@@ -542,7 +554,10 @@ GROUP BY window_start HAVING window_start + INTERVAL 1 HOUR <= (SELECT max(ts) -
 }
 ORACLE_SQL["t1_chart"] = ORACLE_SQL["a7_traffic_5m"]
 ORACLE_SQL |= {
+    "f5_last_window_by_date": ORACLE_SQL["f5_last_window"],
     "f6_indexed": ORACLE_SQL["f6_search"],
+    "a8_heavy": ORACLE_SQL["a8_top_malicious"],
+    "a9_heavy": ORACLE_SQL["a9_top_blocked"],
     "s3_reingest": ORACLE_SQL["s3_ingest_good"],
     "page_dashboard_threat_score": ORACLE_SQL["a10_threat_score"],
     "page_dashboard_cards": ORACLE_SQL["a_kpi_cards"],

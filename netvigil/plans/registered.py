@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions import columns, labels, text
-from netvigil.operators import aggregates, correlate, enrich, filters, lookup, ranking, trends
+from netvigil.operators import aggregates, correlate, enrich, filters, heavy, lookup, ranking, trends
 from netvigil.operators.postings import SearchIndex
 from netvigil.plans import binding as b
 from netvigil.plans import pages
@@ -322,6 +322,15 @@ def f5_last_window(spark, sf):
     return filters.last_window(b.packets(spark, sf), hours=6).select(*PACKET_COLUMNS)
 
 
+def f5_last_window_by_date(spark, sf):
+    """The same window over packets laid out by date: only the newest folders are opened."""
+    path = work_path(spark, "by-date")
+    rows = b.as_stream_rows(b.packets(spark, sf)).select(*PACKET_COLUMNS)
+    export(with_date(rows), path, partition_by="date")
+    laid_out = read_packets(spark, path)
+    return _plain_times(filters.last_window_by_date(laid_out, hours=6).select(*PACKET_COLUMNS))
+
+
 def f6_search(spark, sf):
     return lookup.search(_searched_tables(spark, sf), "LICENSE")
 
@@ -435,6 +444,10 @@ def j4_match_hosts(spark, sf):
     return enrich.match_hosts(b.table(spark, sf, "pages"), b.indicators(spark, sf))
 
 
+def j4_match_urls(spark, sf):
+    return enrich.match_urls(b.table(spark, sf, "pages"), b.url_indicators(spark, sf))
+
+
 def j4_oversize(spark, sf):
     """With a limit of 20 KB instead of 256 MB."""
     return enrich.oversize(b.table(spark, sf, "documents"), "doc_id", "text", 20 * 1024)
@@ -502,6 +515,17 @@ def a9_top_blocked(spark, sf):
     return aggregates.top_blocked(b.firewall(spark, sf))
 
 
+def a8_heavy(spark, sf):
+    """The same list by counts of hash buckets first, then of the addresses that they leave."""
+    return heavy.heavy_malicious(
+        b.packets(spark, sf), b.geo(spark, sf), critical_min=9, high_min=5
+    )
+
+
+def a9_heavy(spark, sf):
+    return heavy.heavy_blocked(b.firewall(spark, sf))
+
+
 def a10_threat_score(spark, sf):
     return aggregates.threat_score(b.packets(spark, sf))
 
@@ -696,11 +720,13 @@ QUERIES = {
         p5_format_count, p5_format_delta, p6_age_text, p7_parse_ts, p7_raw_packets,
         p7_raw_firewall, p8_protocol_family, p9_risk_label, p10_activity_view, p10_packet_view,
         f1_filter_protocol, f2_filter_status, f3_filter_packets, f4_blocked, f5_last_window,
+        f5_last_window_by_date,
         f6_search, f6_indexed, f6_search_telemetry, f7_lookup,
         j1_geo_enrich, j1_gaps, j1_stream, j2_geo_enrich_ranges, j2_nested, j3_reputation_enrich,
-        j4_match_hashes, j4_match_hosts, j4_oversize, j4_unscanned, j5_also_blocked, j5_never_blocked,
+        j4_match_hashes, j4_match_hosts, j4_match_urls, j4_oversize, j4_unscanned, j5_also_blocked, j5_never_blocked,
         a1_active_threats, a2_packets, a2_status_counts, a3_suspicious_ips, a4_events_last_hour,
         a5_action_breakdown, a6_protocol_share, a7_traffic_5m, a8_top_malicious, a9_top_blocked,
+        a8_heavy, a9_heavy,
         a10_threat_score, a11_active_alerts, a_kpi_cards,
         a7_traffic_of_a_day, w1_hourly_delta, w1_threats_delta, w3_cumulative_share,
         l1_latest, l2_in_arrival_order,

@@ -1,0 +1,178 @@
+"""Heavy keys, known-bad URLs and windows by folder against plain versions."""
+
+import random
+from collections import Counter
+from datetime import date, datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from netvigil.functions.text import url_parts
+from netvigil.operators import aggregates, enrich, filters, heavy
+
+
+def keys_table(spark, keys):
+    return spark.createDataFrame([(key, 1) for key in keys], "ip string, n int").repartition(5)
+
+
+def plain_top(keys, k):
+    order = sorted(Counter(keys).items(), key=lambda kv: (-kv[1], kv[0] is not None, kv[0] or ""))
+    return order[:k]
+
+
+CASES = {
+    "skewed": lambda rng: [f"a{int(rng.paretovariate(0.7))}" for _ in range(4000)],
+    "flat": lambda rng: [f"a{i}" for i in range(1500)],
+    "ties": lambda rng: [f"a{i % 7}" for i in range(700)],
+    "one key": lambda rng: ["a"] * 500 + [f"b{i}" for i in range(400)],
+    "nulls": lambda rng: [None] * 300 + ["", "a"] * 150 + [f"c{i}" for i in range(500)],
+    "few": lambda rng: ["a", "b", "b"],
+    "empty": lambda rng: [],
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("buckets", [8, 1 << 16])
+def test_top_keys(spark, case, buckets):
+    keys = CASES[case](random.Random(case))
+    for k in (1, 4):
+        found = heavy.top_keys(keys_table(spark, keys), "ip", k, buckets)
+        assert [tuple(r) for r in found.collect()] == plain_top(keys, k)
+
+
+def test_top_keys_count_only_what_can_win(spark):
+    keys = [f"hot{i}" for i in range(4) for _ in range(300)] + [f"a{i}" for i in range(3000)]
+    # Each hot address has its bucket, the others share the rest with at most a few each.
+    found = heavy.top_keys(keys_table(spark, keys), "ip", 4, most=0.5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket" in plan
+    assert [tuple(r) for r in found.collect()] == [(f"hot{i}", 300) for i in range(4)]
+    # Half of the rows are not told apart: counted plainly.
+    flat = heavy.top_keys(keys_table(spark, keys[1200:]), "ip", 4)
+    assert "bucket" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        heavy.top_keys(keys_table(spark, keys), "ip", 0)
+
+
+def test_heavy_lists_equal_the_plain_ones(spark):
+    rng = random.Random(5)
+    rows = [
+        (f"10.0.0.{min(int(rng.paretovariate(0.8)), 99)}", rng.choice(["malicious", "normal"]),
+         rng.choice(["blocked", "allowed"]), rng.choice(["R1", "R2", None]))
+        for _ in range(3000)
+    ] + [(None, "malicious", "blocked", "R1")] * 40
+    df = spark.createDataFrame(rows, "ip string, status string, action string, rule string").repartition(4)
+    geo = spark.createDataFrame(
+        [("10.0.0.1", "B"), ("10.0.0.1", "A"), ("10.0.0.2", "C")], "ip string, country string"
+    )
+    for k in (1, 5, 500):
+        assert heavy.heavy_malicious(df, geo, k).collect() == aggregates.top_malicious(df, geo, k).collect()
+        assert heavy.heavy_blocked(df, k).collect() == aggregates.top_blocked(df, k).collect()
+
+
+FORMS = {
+    "http://User:x@Ex.COM:80//a/./b/../c/?q=1/2#f": ["ex.com", "a", "c", "?q=1/2"],
+    "ex.com": ["ex.com"],
+    "ex.com.:443/": ["ex.com"],
+    "https://ex.com:8080/A%2f?": ["ex.com:8080", "A%2f"],
+    "http://a/../../b": ["a", "b"],
+    "a.b/x?y?z#?": ["a.b", "x", "?y?z"],
+    "x.y#a\nb": ["x.y"],
+    "https://": None,
+    "": None,
+    "/a/b": None,
+    None: None,
+}
+
+
+def test_url_forms(spark):
+    df = spark.createDataFrame([(u,) for u in FORMS], "u string")
+    assert {r.u: r.p for r in df.select("u", url_parts(F.col("u")).alias("p")).collect()} == FORMS
+
+
+@pytest.mark.parametrize("limit", [None, 0, enrich.BROADCAST_BYTES])
+def test_longest_known_url_wins(spark, limit):
+    rng = random.Random(11)
+
+    def url(most):
+        path = "/".join(rng.choices("ab", k=rng.randrange(most)))
+        return f"{rng.choice(['h1', 'h2', 'H3'])}.org/{path}{rng.choice(['', '/', '?q', '?q#z'])}"
+
+    # A third of the rows is one URL, repeated with its key; one path is very long.
+    rows = [(i, "http://" + url(5)) for i in range(300)] + [(999, "http://h1.org/a/b/c")] * 150
+    rows += [(1000, "h2.org/" + "a/" * 3000), (1001, None), (1002, ""), (None, "https://h1.org/a")]
+    known = [("url", url(4)) for _ in range(12)] + [("host", "h2.org"), ("url", None), ("url", "h1.org/a/")]
+    pages = spark.createDataFrame(rows, "page_id int, url string").repartition(4)
+    indicators = spark.createDataFrame(known, "kind string, value string")
+
+    def plain(text):
+        """The forms above without the hard cases, which ``FORMS`` covers."""
+        bare = text.removeprefix("http://").removeprefix("https://").split("#")[0]
+        path, _, query = bare.partition("?")
+        host, *rest = path.split("/")
+        return [host.lower(), *[p for p in rest if p], *(["?" + query] if query else [])]
+
+    bad = [plain(v) for kind, v in known if kind == "url" and v]
+    expected = []
+    for key, text in rows:
+        parts = plain(text) if text else []
+        hits = [b for b in bad if parts[: len(b)] == b]
+        if hits:
+            expected.append((key, "/".join(max(hits, key=len))))
+    found = enrich.match_urls(pages, indicators, limit_bytes=limit)
+    assert Counter(map(tuple, found.collect())) == Counter(expected)
+    assert enrich.match_urls(pages, indicators.where("kind = 'none'")).isEmpty()
+    assert enrich.match_urls(pages.where("false"), indicators).isEmpty()
+
+
+def by_date(spark, path, rows):
+    df = spark.createDataFrame(rows, "n int, ts timestamp_ntz, date date")
+    df.coalesce(1).write.mode("append").partitionBy("date").parquet(str(path))
+    return spark.read.schema(df.schema).parquet(str(path))
+
+
+def test_window_by_date_opens_the_newest_folders_only(spark, tmp_path):
+    at = datetime
+    rows = [(i, at(2024, 1, i, 12), date(2024, 1, i)) for i in range(1, 21)]
+    # 23:50 lies in the folder before the newest, which another zone has named.
+    rows += [(50, at(2024, 1, 20, 23, 50), date(2024, 1, 20)), (51, at(2024, 1, 20, 23), date(2024, 1, 21))]
+    rows += [(52, None, date(2024, 1, 21))]
+    by_date(spark, tmp_path / "t", rows)
+    # No file of an older folder can be read any more.
+    for day in range(1, 15):
+        for file in Path(tmp_path / "t" / f"date=2024-01-{day:02}").glob("*.parquet"):
+            file.write_bytes(b"not a table")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    df = spark.read.schema("n int, ts timestamp_ntz, date date").parquet(str(tmp_path / "t"))
+    assert filters.folder_dates(df)[:2] == [date(2024, 1, 21), date(2024, 1, 20)]
+    assert {r.n for r in filters.last_window_by_date(df).collect()} == {50, 51}
+    assert {r.n for r in filters.last_window_by_date(df, hours=13).collect()} == {20, 50, 51}
+    assert {r.n for r in filters.last_window_by_date(df, hours=40).collect()} == {19, 20, 50, 51}
+    with pytest.raises(Exception, match="parquet|Parquet|PARQUET"):
+        df.collect()
+
+
+def test_window_by_date_passes_over_folders_without_times(spark, tmp_path):
+    rows = [(1, datetime(2024, 1, 3, 5), date(2024, 1, 3)), (2, datetime(2024, 1, 3, 7), date(2024, 1, 3))]
+    rows += [(3, None, date(2024, 2, day)) for day in (1, 2, 9)]
+    df = by_date(spark, tmp_path / "t", rows)
+    assert [r.n for r in filters.last_window_by_date(df).collect()] == [2]
+    assert filters.last_window_by_date(df.where("false")).isEmpty()
+    nothing = by_date(spark, tmp_path / "nulls", [(3, None, date(2024, 2, 1))])
+    assert filters.last_window_by_date(nothing).isEmpty()
+    flat = spark.createDataFrame(rows, "n int, ts timestamp_ntz, date date").drop("date")
+    assert [r.n for r in filters.last_window_by_date(flat).collect()] == [2]
+
+
+def test_dates_from_the_catalog(spark, tmp_path):
+    rows = [(day, datetime(2024, 1, day, 5), date(2024, 1, day)) for day in (3, 4, 9)]
+    df = spark.createDataFrame(rows, "n int, ts timestamp_ntz, date date")
+    df.write.partitionBy("date").option("path", str(tmp_path / "t")).saveAsTable("dated_packets")
+    try:
+        dates = filters.table_dates(spark, "dated_packets")
+        assert dates == [date(2024, 1, 9), date(2024, 1, 4), date(2024, 1, 3)]
+        table = spark.table("dated_packets")
+        assert [r.n for r in filters.last_window_by_date(table, dates=dates).collect()] == [9]
+    finally:
+        spark.sql("DROP TABLE dated_packets")
