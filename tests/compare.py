@@ -54,6 +54,7 @@ def duck_result(con, sql):
 
 # DuckDB type -> Spark type of a result column.
 TYPES = {
+    "BOOLEAN": "boolean",
     "BIGINT": "bigint",
     "INTEGER": "int",
     "DOUBLE": "double",
