@@ -187,8 +187,101 @@ QUERIES = {
     )
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ITEM_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+_FLOORS = " ".join(f"WHEN '{name}' THEN {value}" for name, value in quality.FLOOR.items())
+
+
+def _fences_sql(group: str) -> str:
+    """Fences of the sketches merged per group, a list of columns with a comma behind each."""
+    return f"""SELECT {group} measure, max(total) AS n, min(value) FILTER (upto >= {quality.MIDDLE} * total) AS middle,
+    middle + {quality.REACH}::DOUBLE * greatest(
+      middle - min(value) FILTER (upto >= {quality.LOW} * total), CASE measure {_FLOORS} END::DOUBLE) AS fence
+  FROM (SELECT {group} measure, CASE WHEN bin = 0 THEN 0.0::DOUBLE
+        ELSE {quality.SMALLEST}::DOUBLE * pow({quality.GROWTH}::DOUBLE, bin - 0.5::DOUBLE) END AS value,
+      sum(sum(n)) OVER (PARTITION BY {group} measure ORDER BY bin)::DOUBLE AS upto,
+      sum(sum(n)) OVER (PARTITION BY {group} measure)::DOUBLE AS total
+    FROM bins GROUP BY {group} measure, bin) GROUP BY {group} measure"""
+
+
 # The others cannot be put in SQL as a whole: see tests/llm for their plain versions.
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": f"""
+WITH texts AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size,
+    array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS key
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM texts),
+ahead AS (
+  SELECT doc_id, i, list(word) OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS words FROM placed),
+windows AS (
+  SELECT doc_id, i, size, array_to_string(words[1 : size], ' ') AS key
+  FROM ahead JOIN (SELECT DISTINCT size FROM item_windows) ON len(words) >= size),
+found AS (SELECT doc_id, i, size, item_id FROM windows JOIN item_windows USING (key, size)),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM found))
+  GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op10_quality_rules": f"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(body, {_SPACED}) AS w
+  FROM documents),
+placed AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM texts),
+triples AS (
+  SELECT doc_id, i, a, lead(a, 1) OVER later AS b, lead(a, 2) OVER later AS c
+  FROM placed WINDOW later AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (
+  SELECT doc_id, unnest(range(i, i + 3)) AS place FROM triples WHERE c IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM twice GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM texts),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM split WHERE regexp_matches(line, {_SPACED}) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed
+  FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+valued AS (
+  SELECT doc_id, lang, source, base_failed, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure,
+    coalesce(unnest([n_symbols::DOUBLE / nullif(word_chars, 0), n_dup_lines::DOUBLE / nullif(n_lines, 0),
+      n_repeat_words::DOUBLE / nullif(n_words, 0), word_chars::DOUBLE / nullif(n_words, 0)]), 0.0) AS value
+  FROM counted),
+bins AS (
+  SELECT lang, source, measure, count(*) AS n, CASE WHEN value >= {quality.SMALLEST}::DOUBLE
+    THEN floor(ln(value / {quality.SMALLEST}::DOUBLE) / ln({quality.GROWTH}::DOUBLE)) + 1 ELSE 0 END AS bin
+  FROM valued WHERE NOT base_failed GROUP BY lang, source, measure, bin),
+own AS ({_fences_sql("lang, source,")}),
+by_lang AS ({_fences_sql("lang,")}),
+by_all AS ({_fences_sql("")}),
+fences AS (
+  SELECT o.lang, o.source, o.measure, o.n / (o.n + {quality.BORROW}) AS own_weight,
+    l.n / (l.n + {quality.BORROW}) AS lang_weight, own_weight * o.fence
+      + (1 - own_weight) * (lang_weight * l.fence + (1 - lang_weight) * a.fence) AS fence
+  FROM own o JOIN by_lang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+    JOIN by_all a ON a.measure = o.measure),
+outside AS (
+  SELECT DISTINCT doc_id FROM valued v JOIN fences f ON f.lang IS NOT DISTINCT FROM v.lang
+    AND f.source IS NOT DISTINCT FROM v.source AND f.measure = v.measure
+  WHERE v.value > f.fence)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept
+FROM counted""",
     "op8_line_dedup": """
 WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 placed AS (
