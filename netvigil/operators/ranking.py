@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """The n newest rows, newest first; ties by ``keys``."""
-    return df.orderBy(F.col("ts").desc_nulls_last(), *keys).limit(n)
+def latest(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """The n newest rows, newest first, or all rows for None; ties by ``keys``."""
+    ordered = df.orderBy(F.col("ts").desc_nulls_last(), *keys)
+    return ordered if n is None else ordered.limit(n)
 
 
 def in_arrival_order(df: DataFrame, n: int, key: str = "packet_id") -> DataFrame:
