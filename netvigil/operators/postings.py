@@ -1,7 +1,7 @@
 """Search at size: trigram postings name the few rows that can hold a term.
 
-The index has a row per trigram and bucket of rows: the 64-bit hashes of the keys whose text
-holds the trigram. A search takes the rarest trigrams of the term, intersects their postings
+The index has a row per trigram and run of indexed text: the 64-bit hashes of the keys whose
+text holds the trigram. A search takes the rarest trigrams of the term, intersects their postings
 to candidate keys, reads only those rows, and looks for the term in their text, so its
 results are those of ``lookup.search``. For a term without three ASCII characters in a row
 there is no trigram to look up, and the tables are scanned.
@@ -12,17 +12,20 @@ that is added or replaced costs only itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.operators.lookup import search
 from netvigil.operators.sizing import BROADCAST_BYTES
 
-BUCKETS = 64  # of keys per trigram: a frequent trigram's postings are spread over rows
+RUN_BYTES = 1 << 22  # of text that share rows of postings, a long text has several
 USED = 4  # trigrams of a term that are looked up, the rarest ones
-_POSTINGS = "gram string, bucket int, keys array<bigint>, source string, part string"
+_POSTINGS = "gram string, keys array<bigint>, source string, part string"
 
 
 def _folded(text: Column) -> Column:
@@ -44,6 +47,60 @@ def trigrams(text: Column) -> Column:
     return F.coalesce(F.filter(grams, lambda g: F.octet_length(g) == 3), F.array().cast("array<string>"))
 
 
+def _postings_of(run_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, folded UTF-8 text) to (gram, keys): trigrams as ``trigrams`` has them, each key once
+    per run of text."""
+    row_bits = 11  # beside 21 of three ASCII characters, so that 32 bits are sorted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            text = batch.column("text").cast(pa.large_binary())
+            _, borders, raw = text.buffers()
+            edges = np.frombuffer(borders, np.int64)[text.offset : text.offset + len(text) + 1]
+            data = np.frombuffer(raw or b"", np.uint8)
+            low, end = int(edges[0]), int(edges[-1])
+            while low < end:
+                first = int(np.searchsorted(edges, low, "right")) - 1
+                stop = min(first + (1 << row_bits), len(text))
+                high = min(low + run_bytes, int(edges[stop]))
+                # Trigrams that begin in the run may end behind it, but not behind their text.
+                here = data[low : min(high + 2, end)].astype(np.uint32)
+                n = len(here) - 2
+                if n > 0:
+                    one, two, three = here[:n], here[1 : n + 1], here[2 : n + 2]
+                    whole = (one | two | three) < 128
+                    cuts = edges[first + 1 : stop + 1] - low
+                    for back in (1, 2):
+                        at = cuts - back
+                        whole[at[(at >= 0) & (at < n)]] = False
+                    inner = np.clip(edges[first : stop + 1] - low, 0, n)
+                    row = np.repeat(np.arange(stop - first, dtype=np.uint32), np.diff(inner))
+                    code = one << 14 | two << 7 | three
+                    pairs = np.sort((code << row_bits | row)[whole])
+                    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]]
+                    gram = pairs >> row_bits
+                    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+                    gram = gram[starts]
+                    chars = np.stack([gram >> 14, gram >> 7 & 127, gram & 127], axis=1).astype(np.uint8)
+                    ends = np.arange(len(gram) + 1, dtype=np.int32) * 3
+                    lists = np.append(starts, len(pairs)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.StringArray.from_buffers(
+                                len(gram), pa.py_buffer(ends.tobytes()), pa.py_buffer(chars.tobytes())
+                            ),
+                            pa.ListArray.from_arrays(
+                                pa.array(lists), pa.array(keys[first + (pairs & ((1 << row_bits) - 1))])
+                            ),
+                        ],
+                        ["gram", "keys"],
+                    )
+                low = high
+
+    return run
+
+
 def row_key(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
@@ -60,11 +117,9 @@ class SearchIndex:
     ) -> None:
         """Index ``df`` as a part of ``source``; an earlier state of the part is replaced."""
         texts = F.concat_ws("\n", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
-        pairs = df.select(row_key(keys).alias("key"), F.explode(trigrams(texts)).alias("gram"))
-        bucket = F.pmod("key", F.lit(BUCKETS)).cast("int").alias("bucket")
+        rows = df.select(row_key(keys).alias("key"), _folded(texts).cast("binary").alias("text"))
         (
-            pairs.groupBy("gram", bucket)
-            .agg(F.array_sort(F.collect_set("key")).alias("keys"))
+            rows.mapInArrow(_postings_of(RUN_BYTES), "gram string, keys array<bigint>")
             .repartition("gram")
             .sortWithinPartitions("gram")
             .write.mode("overwrite")

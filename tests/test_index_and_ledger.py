@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netvigil.operators.lookup import search
-from netvigil.operators.postings import SearchIndex
+from netvigil.operators.postings import RUN_BYTES, SearchIndex, _folded, _postings_of, row_key, trigrams
 from netvigil.sources.ledger import LogLedger
 
 
@@ -46,6 +46,30 @@ def test_index_parts_are_replaced(spark, texts, tmp_path):
     assert {r["key"] for r in index.search(tables, "needle").collect()} == {"301", "302"}
 
 
+def test_postings_of_runs_equal_the_trigrams_of_each_text(spark, texts):
+    many = spark.range(5000).select(F.col("id").cast("int"), F.lit("same Words").alias("text"))
+    long = spark.range(1).select(F.lit(-1).alias("id"), F.repeat(F.lit("aBc\u0130 "), 400).alias("text"))
+    body = texts.select("id", F.concat_ws("\n", "body", "title").alias("text")).where("id < 303")
+    df = body.withColumn("id", F.col("id") + 10000).unionByName(many).unionByName(long).coalesce(1)
+    key, text = row_key(["id"]).alias("key"), F.col("text")
+    want = df.select(key, F.explode(trigrams(text)).alias("gram"))
+    rows = df.select(key, _folded(text).cast("binary").alias("text"))
+    for run_bytes in (7, 1000, RUN_BYTES):
+        postings = rows.mapInArrow(_postings_of(run_bytes), "gram string, keys array<bigint>")
+        got = postings.select(F.explode("keys").alias("key"), "gram")
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}, run_bytes
+    # A pair of trigram and text does not travel on its own.
+    assert postings.count() * 20 < got.count()
+
+
+def test_index_holds_few_rows_for_a_frequent_trigram(spark, tmp_path):
+    index = SearchIndex(spark, f"{tmp_path}/index")
+    same = spark.range(1000).select("id", F.lit("common").alias("body")).coalesce(1)
+    index.refresh("notes", same, ["id"], ["body"])
+    assert index._postings("notes").where("gram = 'com'").count() == 1
+    assert index.candidates("notes", "common").count() == 1000
+
+
 LINE = '{"ip":"10.0.0.%d","port":"22","action":"blocked","rule":"R","time":"2024-01-01 00:00:00","severity":"high"}\n'
 
 
