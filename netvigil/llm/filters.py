@@ -32,8 +32,9 @@ class Filter:
             .agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
         )
         self.words = np.zeros(words, np.int64)
-        for word, bits in rows.toLocalIterator():  # at most 2**FILTER_BITS / 64 rows
-            self.words[word] = bits
+        # At most 2**FILTER_BITS / 64 rows: 8 MB in one job, however many partitions there are.
+        found = rows.toArrow()
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         words = self.words.view(np.uint64)

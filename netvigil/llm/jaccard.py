@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from netvigil.llm.bytesets import Rolling, groups, mix, signed, text_bytes
 from netvigil.llm.common import ship, stored, summed, text_hash
-from netvigil.llm.components import components
+from netvigil.llm.components import components, joined_components
 from netvigil.llm.filters import Filter
 
 SHINGLE = 3
@@ -306,9 +306,8 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _labelled(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists that hold more than one component so far, with each entry's component."""
-    of = components(links, "jaccard-components")
+def _labelled(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """Lists that hold more than one component ``of`` so far, with each entry's component."""
     rows = lists.join(of, lists["class"] == of.node, "left").select(
         "token", "class", "n", "pos", F.coalesce("component", "class").alias("label")
     )
@@ -407,22 +406,27 @@ def _grouped_classes(
     )
     lists = _lists(docs, _rarity(members), size, percent)
 
-    links = None
+    of = None  # components so far
+    mixed, joined = lists.withColumn("label", F.col("class")), True
     for last in [False] * PIVOT_ROUNDS + [True]:
-        if links is None:
-            mixed = lists.withColumn("label", F.col("class"))
-        else:
-            mixed = _labelled(lists, links)
+        if not (joined or last):
+            continue  # the same pivots again
+        if of is not None and joined:
+            mixed = _labelled(lists, of)
         pairs = _last_pairs(mixed, percent) if last else _pivot_pairs(mixed, percent)
         pairs = stored(_near(stored(pairs, "jaccard-pairs"), classes, percent), "jaccard-near")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        if links is not None and pairs.isEmpty():
+        if of is not None and pairs.isEmpty():
+            joined = False
             continue
         sets = _sets(docs, stored(needed, "jaccard-needed"), size)
         found = stored(_verified(pairs, sets, percent), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
+        joined = not found.isEmpty()
+        if of is None:
+            of = components(found, "jaccard-components")
+        elif joined:
+            of = joined_components(of, found, "jaccard-components")
 
-    of = components(links, "jaccard-components")
     grouped = (
         classes.join(of, classes["class"] == of.node, "left")
         .select("class", "doc_id", F.coalesce("component", "class").alias("group"))
