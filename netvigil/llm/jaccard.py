@@ -16,7 +16,10 @@ no link between two components is missed. Inside a component no pair is listed.
 
 *Comparing.* A pair's parity bitmaps, a bit per shingle, bound its difference from below and
 rule out nearly all pairs that only share a common shingle; the sets themselves are fetched
-and intersected for what is left.
+and intersected for what is left. The last lists compare bitmaps, folded to ``SKETCH`` bits, before
+they list a pair, and leave out a pair whose entries have met before, as told by the ``BEFORE``
+shingles that stand before each: a group of near copies that don't link has a pair of any two in
+each list they share.
 
 Rarity comes from counts of all documents' shingles in a fixed number of cells, about a
 quarter of a million; they only order shingles, so collisions cost time and not results.
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -50,6 +53,8 @@ CHUNK = 1 << 19
 PIVOT_ROUNDS = 2
 BLOCK_CELLS = 1 << 12
 POSITION_BLOCKS = 4
+SKETCH = 1 << 10  # bits of a bitmap at least, and as many as entries of lists carry
+BEFORE = 4
 
 _LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
@@ -97,9 +102,9 @@ def class_ids(code: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def bitmaps(code: np.ndarray, borders: np.ndarray) -> list[bytes]:
     """A bit per shingle or so, set by parity: two sets differ in at least as many shingles as
-    their bitmaps in bits. Widths are powers of two; halves fold together by exclusive or."""
+    their bitmaps in bits. Widths are powers of two from ``SKETCH``; halves fold together by exclusive or."""
     n = np.diff(borders)
-    width = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64))
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(n, SKETCH))).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(width)])
     owner = np.repeat(np.arange(len(n)), n)
     bit = (mix(code, 104) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
@@ -119,6 +124,11 @@ def least_difference(x: bytes, y: bytes) -> int:
     return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
 
 
+def sketch(bits: bytes) -> list[int]:
+    """A bitmap folded to ``SKETCH`` bits, as 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.int64).reshape(-1, SKETCH // 64)).tolist()
+
+
 def _members(docs: DataFrame, size: int) -> DataFrame:
     """Stored rows of two kinds: (doc_id, text_hash, class, n, bits) per document, and (block, counts):
     how many sets hold shingles of each rarity cell, as told by one task."""
@@ -341,7 +351,53 @@ def _pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _last_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(class, sketch) of the classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(bits) for bits in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("class"), pa.array(found, pa.list_(pa.int64()))], ["class", "sketch"]
+            )
+
+    return classes.select("class", "bits").mapInArrow(run, "class bigint, sketch array<bigint>")
+
+
+def _sketches_may_link(a: str, b: str, percent: int) -> Column:
+    """As ``_near``, by two entries' sketches."""
+    x, y, na, nb = (F.col(c) for c in (f"{a}sketch", f"{b}sketch", f"{a}n", f"{b}n"))
+    apart = sum(F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH // 64))
+    return (100 + percent) * apart <= (100 - percent) * (na + nb)
+
+
+def _meeting(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Entries (prefix m_) that may link with others of another component in their block, as
+    far as a row per block tells."""
+    t = percent / 100
+    spare = F.col("n") / (1 + t) - F.col("pos")  # t / (1 + t) of a partner's size at least
+    block = ["token", "band", "place"]
+    held = others.groupBy(block).agg(
+        F.min("label").alias("low"),
+        F.max("label").alias("high"),
+        F.min("n").alias("least"),
+        F.max(spare).alias("spare"),
+    )
+    share, n, pos = t / (1 + t), F.col("m_n"), F.col("m_pos")
+    return (
+        rows.join(held, block)
+        .where((F.col("low") != F.col("m_label")) | (F.col("high") != F.col("m_label")))
+        .where((n - pos + 1e-6 >= share * (n + F.col("least"))) & (F.col("spare") + 1e-6 >= share * n))
+        .select(rows.columns)
+    )
+
+
+def _last_pairs(rows: DataFrame, percent: int, classes: DataFrame | None = None) -> DataFrame:
+    """What ``_listed`` gives, each pair once."""
+    return _listed(rows, percent, classes).distinct()
+
+
+def _listed(rows: DataFrame, percent: int, classes: DataFrame | None = None) -> DataFrame:
     """Entries outside a list's largest component with the entries of other components.
 
     A list is cut into blocks of entries of like size (a band reaches as far as sizes of
@@ -349,6 +405,10 @@ def _last_pairs(rows: DataFrame, percent: int) -> DataFrame:
     blocks in which its own bounds leave a partner, and to no others: for sizes from lo to hi
     in a block, a partner may stand no deeper than (1 - t * n / hi) / (1 + t) of its set,
     and the entry itself no deeper than (n - t * lo) / (1 + t).
+
+    Entries that meet none of another component in any block are left out; the others carry their
+    sketches (of ``classes``, if given) and the lists before, so that the join lists few pairs that are
+    not similar, and few twice.
     """
     t = percent / 100
     sizes = rows.groupBy("token", "label").agg(F.count("*").alias("size"))
@@ -375,19 +435,34 @@ def _last_pairs(rows: DataFrame, percent: int) -> DataFrame:
         ).otherwise(F.array().cast("array<struct<band:int,place:int>>"))
 
     to = F.flatten(F.array(blocks(band - 1), blocks(band), blocks(band + 1)))
+    entry = ("class", "n", "pos", "label")
+    block = ["token", "band", "place"]
     minor = rows.where("label <> top").select(
-        "token",
-        F.inline(to),
-        *[F.col(c).alias(f"m_{c}") for c in ("class", "n", "pos", "label")],
-    )
-    every = rows.select(
-        "token", band.alias("band"), place.alias("place"), "class", "n", "pos", "label"
+        "token", F.inline(to), *[F.col(c).alias(f"m_{c}") for c in entry]
     )
+    every = rows.select("token", band.alias("band"), place.alias("place"), *entry)
+    minor = stored(_meeting(minor, every, percent), "jaccard-minor")
+    every = _meeting(
+        every.withColumnsRenamed({c: f"m_{c}" for c in entry}),
+        minor.withColumnsRenamed({f"m_{c}": c for c in entry}),
+        percent,
+    ).withColumnsRenamed({f"m_{c}": c for c in entry})
+    every = stored(every, "jaccard-every")
+    minor = minor.withColumnsRenamed({f"m_{c}": c for c in entry})
+    wanted = (F.col("label") != F.col("m_label")) & _may_link("", "m_", percent)
+    if classes is not None:
+        used = every.select("class").unionByName(minor.select("class")).distinct()
+        sketches = stored(_sketches(classes.join(used, "class", "left_semi")), "jaccard-sketches")
+        every, minor = every.join(sketches, "class"), minor.join(sketches, "class")
+        wanted &= _sketches_may_link("", "m_", percent)
+    # The first list that two entries share is never left out.
+    earlier = Window.partitionBy("class", "band", "place").orderBy("pos").rowsBetween(-BEFORE, -1)
+    every, minor = (x.withColumn("before", F.collect_list("token").over(earlier)) for x in (every, minor))
+    minor = minor.withColumnsRenamed({c: f"m_{c}" for c in minor.columns if c not in block})
     return (
-        every.join(minor, ["token", "band", "place"])
-        .where((F.col("label") != F.col("m_label")) & _may_link("", "m_", percent))
+        every.join(minor, block)
+        .where(wanted & ~F.arrays_overlap("before", "m_before"))
         .select(*_pair(F.col("class"), F.col("m_class")))
-        .distinct()
     )
 
 
@@ -413,7 +488,7 @@ def _grouped_classes(
             continue  # the same pivots again
         if of is not None and joined:
             mixed = _labelled(lists, of)
-        pairs = _last_pairs(mixed, percent) if last else _pivot_pairs(mixed, percent)
+        pairs = _last_pairs(mixed, percent, classes) if last else _pivot_pairs(mixed, percent)
         pairs = stored(_near(stored(pairs, "jaccard-pairs"), classes, percent), "jaccard-near")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         if of is not None and pairs.isEmpty():

@@ -443,6 +443,43 @@ def test_last_pairs_of_lists_lose_no_pair(spark, percent):
     assert got == expected
 
 
+def test_near_copies_that_do_not_link_are_not_listed_by_twos(spark, monkeypatch):
+    """60 texts, any two about 0.7 alike, and a copy of one: the copy links, and few pairs are listed."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for c in range(60):
+        changed = set(rng.sample(range(400), 14))
+        texts.append([f"x{c}-{i}" if i in changed else w for i, w in enumerate(base)])
+    texts.append([*texts[30][:-1], "other"])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    listed = []
+    kept = jaccard.stored
+
+    def counted(df, label):
+        found = kept(df, label)
+        if label == "jaccard-pairs":
+            listed.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = rows(jaccard.jaccard_components(docs, size=5, percent=80), "doc_id", "component_id")
+    assert got == sorted([*((i, i) for i in range(60)), (60, 30)], key=str)
+    assert listed[-1] < 60
+
+
+def test_pairs_of_entries_that_share_lists_are_met_in_the_first(spark):
+    """Three classes in the same eight lists: a pair is listed once per side and block of positions."""
+    table = spark.createDataFrame(
+        [(token, c, 100, token, c) for token in range(8) for c in range(3)],
+        "token long, class long, n int, pos int, label long",
+    )
+    assert rows(jaccard._last_pairs(table, 80), "a", "b") == [(0, 1), (0, 2), (1, 2)]
+    assert jaccard._listed(table, 80).count() <= 8
+
+
 # 8
 
 
