@@ -9,7 +9,8 @@ Baum-Welch runs over all training texts: tasks compute expected counts with scal
 forward and backward recursions, and Spark sums them in a table keyed by word. The counts of
 the ``FREQUENT`` most frequent words are broadcast; those of all others are joined to the
 blocks of texts that use them. Rounds go on until the log-likelihood of the training texts
-gains less than ``TOLERANCE`` of itself. A text's score is the exact likelihood from the scaled
+gains less than ``TOLERANCE`` of itself. Counts travel and are kept as 32-bit numbers, of two rounds
+at a time, and a round's shuffle files go when it ends. A text's score is the exact likelihood from the scaled
 forward recursion over all its tokens.
 
 Training cuts texts at ``CUT`` tokens, each piece beginning anew; nothing is left out and
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.llm.bytesets import groups, text_bytes
-from netvigil.llm.common import ship, stored
+from netvigil.llm.common import ship, stored, tidy
+from netvigil.session import work_path
 
 # Words whose counts tasks hold; the counts of all others are joined.
 FREQUENT = 65_536
@@ -45,7 +47,7 @@ MOST_ROUNDS = 60
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
 STEP_TOKENS = 1 << 19
-BLOCK = 1 << 22  # bytes of text that share a list of rare words
+BLOCK = 1 << 24  # bytes of text that share a list of rare words
 FOLDS = 7
 HELD_OUT = 2
 
@@ -271,27 +273,32 @@ def _columns(states: int) -> list[str]:
     return [f"e{s}" for s in range(states)]
 
 
-def _needed(encoded: DataFrame, expected: DataFrame, counts: DataFrame, states: int) -> DataFrame:
-    """(of_block, at, word, c, e0, ...): the rare words of each block with their counts."""
+def _needed(
+    encoded: DataFrame, expected: DataFrame, states: int, counts: DataFrame | None = None
+) -> DataFrame:
+    """(of_block, at, word, e0, ...): the rare words of each block with their expected counts, and
+    with their counts c if these are given."""
     uses = encoded.where("rare IS NOT NULL").select(
         F.col("block").alias("of_block"), F.posexplode("rare").alias("at", "word")
     )
-    known = counts.join(expected.where("word IS NOT NULL").drop("symbol"), "word")
+    known = expected.where("word IS NOT NULL").drop("symbol")
+    if counts is not None:
+        known = known.join(counts, "word")
     return uses.join(known, "word", "left").select(
         "of_block",
         "at",
         "word",
-        *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("c", *_columns(states))],
+        *[F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c) for c, kind in known.dtypes if c != "word"],
     )
 
 
 def _block_model(model: Model, rare: pa.Table, share: np.ndarray, smoothed: float):
-    """The model with the block's rare words, and their words and counts, by symbol."""
+    """The model with the block's rare words, and those rows by symbol."""
     order = np.argsort(rare.column("at").to_numpy())
     rare = rare.take(pa.array(order))
-    expected = np.array([rare.column(c).to_numpy() for c in _columns(len(share))]).T
+    expected = np.array([rare.column(c).to_numpy() for c in _columns(len(share))], float).T
     emit = np.concatenate([model.emit, (expected / share + 1.0) / smoothed])
-    return Model(model.start, model.move, emit), rare.column("word"), rare.column("c").to_numpy()
+    return Model(model.start, model.move, emit), rare
 
 
 def train(
@@ -313,18 +320,22 @@ def train(
     model, share = first_model(words, states, seed), np.full(states, 1.0 / states)
     # Rare words begin without a preference.
     expected = counts.select(
-        F.lit(None).cast("int").alias("symbol"), "word", *[(F.col("c") / states).alias(e) for e in names]
+        F.lit(None).cast("int").alias("symbol"),
+        "word",
+        *[(F.col("c") / states).cast("float").alias(e) for e in names],
     )
+    paths = [work_path(spark, "hmm-expected") for _ in range(2)]  # this round's and the last one's
     rows = encoded.where("NOT held_out").select("block", "symbols")
     smoothed = words.smoothed()
     if not words.total:
         model = Model(model.start, model.move, np.ones_like(model.emit))
     before, settled = None, not words.total
-    for _ in range(0 if settled else MOST_ROUNDS if rounds is None else rounds):
+    for number in range(0 if settled else MOST_ROUNDS if rounds is None else rounds):
         shared = spark.sparkContext.broadcast((model, share))
 
         def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
-            model, word, _ = _block_model(shared.value[0], rare, shared.value[1], smoothed)
+            model, rare = _block_model(shared.value[0], rare, shared.value[1], smoothed)
+            word = rare.column("word")
             starts, moves = np.zeros(states), np.zeros((states, states))
             emitted, gained = np.zeros((states, len(model.emit))), 0.0
             for _, pieces in _packs(docs, CUT):
@@ -345,19 +356,22 @@ def train(
                         [None] * len(symbols) + word.take(pa.array(used[at:] - CLASSES)).to_pylist(),
                         pa.binary(),
                     ),
-                    *[pa.array(np.ascontiguousarray(x)) for x in numbers.T],
+                    *[pa.array(x.astype(np.float32)) for x in numbers.T],
                 ],
                 names=["symbol", "word", *names],
             )
 
         sums = (
             rows.groupBy("block")
-            .cogroup(_needed(encoded, expected, counts, states).groupBy("of_block"))
-            .applyInArrow(run, "symbol int, word binary, " + ", ".join(f"{e} double" for e in names))
+            .cogroup(_needed(encoded, expected, states).groupBy("of_block"))
+            .applyInArrow(run, "symbol int, word binary, " + ", ".join(f"{e} float" for e in names))
             .groupBy("symbol", "word")
-            .agg(*[F.sum(e).alias(e) for e in names])
+            .agg(*[F.sum(e).cast("float").alias(e) for e in names])
         )
-        expected = stored(sums, "hmm-expected")
+        path = paths[number % 2]
+        with tidy(spark):
+            sums.write.mode("overwrite").parquet(path)
+        expected = spark.read.schema(sums.schema).parquet(path)
         shared.unpersist()
         fixed = expected.where("symbol IS NOT NULL").toArrow()  # CLASSES + states + 2 rows
         at = fixed.column("symbol").to_numpy()
@@ -390,8 +404,9 @@ def score(
     spark = docs.sparkSession
     ship(spark)
     training = docs.where(~held_out())
-    counts = stored(count_words(training), "hmm-counts")
-    words = vocabulary(counts, training.count())
+    with tidy(spark):
+        counts = stored(count_words(training), "hmm-counts")
+        words = vocabulary(counts, training.count())
     encoded = encode(docs, words)
     model, share, expected = train(encoded, words, counts, states, rounds, seed)
     shared = spark.sparkContext.broadcast((model, share, words.counts))
@@ -399,8 +414,8 @@ def score(
 
     def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
         model, share, seen = shared.value
-        model, _, c = _block_model(model, rare, share, smoothed)
-        seen = np.concatenate([seen, c])
+        model, rare = _block_model(model, rare, share, smoothed)
+        seen = np.concatenate([seen, rare.column("c").to_numpy()])
         logs = np.log10(seen + 1.0) - math.log10(smoothed)
         found = [np.frombuffer(x, np.int32) for x in docs.column("symbols").to_pylist()]
         hidden = np.zeros(len(found))
@@ -424,7 +439,7 @@ def score(
     return (
         encoded.select("block", "doc_id", "held_out", "symbols")
         .groupBy("block")
-        .cogroup(_needed(encoded, expected, counts, states).groupBy("of_block"))
+        .cogroup(_needed(encoded, expected, states, counts).groupBy("of_block"))
         .applyInArrow(
             run,
             f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"

@@ -248,6 +248,25 @@ def test_rare_words_have_emissions_of_their_own(spark, monkeypatch):
     assert len(got) == 400 and sum(gain) / len(gain) > 0.2
 
 
+def test_training_keeps_two_rounds_of_counts(spark, monkeypatch, tmp_path):
+    """However many rounds it takes, and the session's settings stay."""
+    from netvigil.llm import common
+
+    named = iter(range(1000))
+    for module in (common, hmm):
+        monkeypatch.setattr(
+            module, "work_path", lambda _, label: str(tmp_path / f"{label}-{next(named)}"), raising=False
+        )
+    docs = spark.createDataFrame(
+        [(i, f"a{i % 7} b{i % 5} c{i % 3} d") for i in range(60)], "doc_id long, text string"
+    )
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll
+    got = hmm.score(docs, states=2, rounds=4)
+    assert len(list(tmp_path.glob("hmm-expected-*"))) == 2
+    assert got.count() == 60
+    assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll) == before
+
+
 def _small_model(seed):
     import numpy as np
 
