@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from netvigil.llm.bytesets import Rolling, groups, mix, signed, text_bytes
-from netvigil.llm.common import ship, stored, summed, text_hash
+from netvigil.llm.common import ship, stored, summed, text_hash, tidy
 from netvigil.llm.components import components, joined_components
 from netvigil.llm.filters import Filter
 
@@ -513,7 +513,8 @@ def jaccard_components(
     docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id reachable)."""
-    rows, grouped = _grouped_classes(docs, size, percent)
+    with tidy(docs.sparkSession):
+        rows, grouped = _grouped_classes(docs, size, percent)
     smallest = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     answer = stored(
         grouped.join(smallest, "group").select("class", "component_id"), "jaccard-answer"
@@ -532,7 +533,8 @@ def one_per_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     rows that share the id the text with the least hash, and of rows repeated in full one.
     Rows without words stay.
     """
-    rows, grouped = _grouped_classes(docs, size, percent)
+    with tidy(docs.sparkSession):
+        rows, grouped = _grouped_classes(docs, size, percent)
     members = stored(
         rows.where("n > 0").join(grouped.select("class", "group"), "class").select(
             "group", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("who")
