@@ -6,11 +6,14 @@ text; unknown words share one. They come from expected counts E of word w in sta
 known words, so that mixed over states a word has its smoothed frequency (c + 1) / (N + V + 1).
 
 Baum-Welch runs over all training texts: tasks compute expected counts with scaled
-forward and backward recursions, and Spark sums them in a table keyed by word. The counts of
-the ``FREQUENT`` most frequent words are broadcast; those of all others are joined to the
-blocks of texts that use them. Rounds go on until the log-likelihood of the training texts
-gains less than ``TOLERANCE`` of itself. Counts travel and are kept as 32-bit numbers, of two rounds
-at a time, and a round's shuffle files go when it ends. A text's score is the exact likelihood from the scaled
+forward and backward recursions, and Spark sums them by parts of the vocabulary. The counts of
+the ``FREQUENT`` most frequent words are broadcast; those of all others travel between their
+parts and the blocks of texts that use them, as packed 32-bit numbers without the words: a block
+lists its rare words in order of the parts, and ``place`` gives their places there once. Symbols
+are kept and sent compressed. Rounds go on until the log-likelihood of the training texts gains
+less than ``TOLERANCE`` of itself. Counts of two rounds are kept, and a round's shuffle files go
+when it ends. Recursions of the training are of 32-bit numbers, those of the scores of 64 bits.
+A text's score is the exact likelihood from the scaled
 forward recursion over all its tokens.
 
 Training cuts texts at ``CUT`` tokens, each piece beginning anew; nothing is left out and
@@ -27,9 +30,11 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +51,11 @@ TOLERANCE = 1e-4
 MOST_ROUNDS = 60
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
-STEP_TOKENS = 1 << 19
-BLOCK = 1 << 24  # bytes of text that share a list of rare words
+STEP_TOKENS = 1 << 20
+BLOCK = 1 << 25  # bytes of text that share a list of rare words
+PART_KINDS = 1 << 17
+RANGE = 1 << 10  # frequent symbols whose counts are summed together
+NUMBERS = -(1 << 30)
 FOLDS = 7
 HELD_OUT = 2
 
@@ -89,6 +97,10 @@ class Vocabulary:
     total: int  # N
     kinds: int  # V
 
+    def parts(self) -> int:
+        """Parts that rare words are dealt to, so that one has a bounded number of them."""
+        return max(8, self.kinds // PART_KINDS)
+
     def smoothed(self) -> float:
         """What a smoothed count is divided by."""
         return self.total + self.kinds + 1.0
@@ -108,18 +120,36 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     )
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes, of which the upper ones hold little."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+
+
 def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """Stored (block, doc_id, held_out, symbols, rare).
+    """Stored (block, held_out, ids, sizes, symbols, part, words): texts and rare words of blocks.
 
-    ``symbols`` holds 32-bit numbers: a frequent word's, END, or CLASSES and more for the
-    words that the first row of a block lists in ``rare``.
+    A row holds a block's training texts or its held-out ones: their ids, their numbers of tokens
+    and all their ``symbols``, which are a frequent word's, END, or CLASSES and more for rare
+    words. Other rows list these: a block's rare words of a part, by number and in order of
+    parts. CRC-32 deals words to parts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(words.frequent)
+    parts = words.parts()
+    kind = dict(docs.dtypes)["doc_id"]
+    names = ["block", "held_out", "ids", "sizes", "symbols", "part", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
         for batch in batches:
             texts = text_bytes(batch.column("text"))
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for low, high in groups([len(t) for t in texts], BLOCK):
                 rare: dict[bytes, int] = {}
                 out = []
@@ -133,29 +163,95 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
                     symbols[others] = [
                         CLASSES + rare.setdefault(tokens[i], len(rare)) for i in others.tolist()
                     ]
-                    out.append(symbols.tobytes())
-                rows = high - low
+                    out.append(symbols)
+                # Rare words get their numbers anew, by part.
+                part = np.fromiter(map(crc32, rare), np.int64, len(rare)) % parts
+                order = np.argsort(part, kind="stable")
+                number = np.arange(CLASSES + len(rare), dtype=np.int32)
+                number[CLASSES + order] = number[CLASSES:].copy()
+                listed = pa.array(rare, pa.binary()).take(pa.array(order))
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                block = batch.column("row")[low].as_py()
+                ids = batch.column("doc_id").slice(low, high - low)
+                rows = []
+                for is_held in (False, True):
+                    which = np.flatnonzero(held[low:high] == is_held)
+                    if len(which):
+                        sizes = np.array([len(out[i]) for i in which], np.int32)
+                        symbols = number[np.concatenate([out[i] for i in which])]
+                        rows.append(
+                            (is_held, ids.take(pa.array(which)).to_pylist(), sizes.tobytes(), _packed(symbols), None, None)
+                        )
+                rows += [
+                    (None, None, None, None, p, listed[x:y])
+                    for p, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+                    if x < y
+                ]
+                held_out, ids_of, sizes, symbols, part_of, lists = zip(*rows, strict=True)
+                offsets = np.cumsum([0, *[0 if x is None else len(x) for x in lists]])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch.column("row")[low].as_py()] * rows, pa.int64()),
-                        batch.column("doc_id").slice(low, rows),
-                        batch.column("held_out").slice(low, rows),
-                        pa.array(out, pa.binary()),
-                        pa.array([list(rare)] + [None] * (rows - 1), pa.list_(pa.binary())),
+                        pa.array([block] * len(rows), pa.int64()),
+                        pa.array(held_out, pa.bool_()),
+                        pa.array(ids_of, pa.list_(batch.column("doc_id").type)),
+                        pa.array(sizes, pa.binary()),
+                        pa.array(symbols, pa.binary()),
+                        pa.array(part_of, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), listed),
                     ],
-                    ["block", "doc_id", "held_out", "symbols", "rare"],
+                    names,
                 )
 
-    kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text"
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        held_out().alias("held_out"),
+        "text",
     ).mapInArrow(
         run,
-        f"block bigint, doc_id {kind}, held_out boolean, symbols binary, rare array<binary>",
+        f"block bigint, held_out boolean, ids array<{kind}>, sizes binary, symbols binary,"
+        " part int, words array<binary>",
     )
     return stored(rows, "hmm-encoded")
 
 
+def place(encoded: DataFrame, counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """Stored (block, part, n, at, c): the rare words of a block and part, in the block's order.
+
+    ``at`` holds their places among the training words of the part, -1 if unknown, and ``c``
+    their training counts.
+    """
+
+    def run(lists: pa.Table, known: pa.Table) -> pa.Table:
+        values = known.column("word").combine_chunks()
+        seen = np.append(known.column("c").to_numpy(), 0)
+        rows = []
+        for found in lists.column("words").combine_chunks():
+            at = pc.fill_null(pc.index_in(found.values, value_set=values), -1).to_numpy()
+            rows.append((len(at), _packed(at), _packed(seen[at])))
+        n, at, c = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.Table.from_arrays(
+            [
+                lists.column("block"),
+                lists.column("part"),
+                pa.array(n, pa.int32()),
+                pa.array(at, pa.binary()),
+                pa.array(c, pa.binary()),
+            ],
+            names=["block", "part", "n", "at", "c"],
+        )
+
+    part = (F.crc32("word") % words.parts()).cast("int")
+    rows = (
+        encoded.where("part IS NOT NULL")
+        .select("block", "part", "words")
+        .groupBy("part")
+        .cogroup(counts.select(part.alias("of_part"), "word", "c").groupBy("of_part"))
+        .applyInArrow(run, "block bigint, part int, n int, at binary, c binary")
+    )
+    return stored(rows, "hmm-places")
+
+
 @dataclass
 class Model:
     start: np.ndarray  # S
@@ -178,7 +274,7 @@ class Lanes:
     """Sequences, long ones first, that are stepped through together, one to a lane.
 
     Lanes end with their sequences, so that the open ones are always the first. Arrays hold
-    all open lanes of a step, then those of the next.
+    all open lanes of a step, then those of the next. Numbers are of the kind of the emissions.
     """
 
     def __init__(self, sequences: list[np.ndarray]):
@@ -191,27 +287,27 @@ class Lanes:
         for lane, i in enumerate(self.order):
             self.symbols[self.begin[: sizes[i]] + lane] = sequences[i]
 
-    def forward(self, model: Model, keep: bool):
-        """Scales of all steps, and if asked the scaled forward probabilities by state."""
-        states = len(model.start)
-        emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-        scales = np.empty(len(self.symbols))
-        kept = np.empty((states, len(self.symbols))) if keep else None
-        alpha = None
+    def emissions(self, model: Model) -> np.ndarray:
+        """Of the symbols at all steps, by state."""
+        return np.ascontiguousarray(model.emit.take(self.symbols, axis=0).T)
+
+    def forward(self, model: Model, emit: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        """Scales of all steps; ``alpha`` gets the scaled forward probabilities by state, and
+        may be ``emit``, which it then replaces."""
+        move = np.ascontiguousarray(model.move.T)
+        scales = np.empty(len(self.symbols), emit.dtype)
+        before = None
         for begin, end in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True):
-            here = emit.take(self.symbols[begin:end], axis=1)
-            here *= model.start[:, None] if alpha is None else move @ alpha[:, : end - begin]
-            scale = here.sum(axis=0)
-            here /= scale
-            scales[begin:end] = scale
-            if keep:
-                kept[:, begin:end] = here
-            alpha = here
-        return scales, kept
+            come = model.start[:, None] if before is None else move @ before[:, : end - begin]
+            here = np.multiply(emit[:, begin:end], come, out=alpha[:, begin:end])
+            here /= here.sum(axis=0, out=scales[begin:end])
+            before = here
+        return scales
 
     def log_likelihoods(self, model: Model) -> np.ndarray:
         """log10 of each sequence's probability."""
-        scales, _ = self.forward(model, keep=False)
+        emit = self.emissions(model)
+        scales = self.forward(model, emit, emit)
         lane = np.arange(len(scales)) - np.repeat(self.begin[:-1], self.open)
         logs = np.empty(len(self.order))
         logs[self.order] = np.bincount(lane, np.log10(scales), len(logs))
@@ -223,37 +319,34 @@ class Lanes:
 
     def expectations_and_log(self, model: Model):
         """Expected counts, and log10 of the probability of all sequences."""
-        scales, alpha = self.forward(model, keep=True)
-        emit = np.ascontiguousarray(model.emit.T)
-        moves = np.zeros(model.move.shape)
-        beta = None  # of the step after
-        for t in range(len(self.open) - 1, -1, -1):
-            begin, end = self.begin[t], self.begin[t + 1]
-            here = alpha[:, begin:end]
-            before, beta = beta, np.ones(here.shape)
-            if before is not None:
-                going_on = before.shape[1]
-                after = slice(end, end + going_on)
-                before *= emit.take(self.symbols[after], axis=1)
-                before /= scales[after]
-                moves += here[:, :going_on] @ before.T
-                beta[:, :going_on] = model.move @ before
-            # alpha becomes the probability of each state given the whole sequence
-            here *= beta
-        moves *= model.move
+        emit = self.emissions(model)
+        alpha = np.empty_like(emit)
+        scales = self.forward(model, emit, alpha)
+        emit /= scales
+        beta = np.ones_like(emit)
+        for step in range(len(self.open) - 1, 0, -1):
+            begin, at, end = self.begin[step - 1 : step + 2].tolist()
+            after = emit[:, at:end]
+            after *= beta[:, at:end]
+            np.matmul(model.move, after, out=beta[:, begin : begin + end - at])
+        first = self.open[0]
+        # The same lane, a step before.
+        before = np.arange(first, len(self.symbols)) - np.repeat(self.open[:-1], self.open[1:])
+        moves = alpha.take(before, axis=1) @ emit[:, first:].T * model.move
+        # alpha becomes the probability of each state given the whole sequence
+        alpha *= beta
         emitted = np.stack([np.bincount(self.symbols, row, len(model.emit)) for row in alpha])
-        starts = alpha[:, : self.begin[1]].sum(axis=1)
-        return starts, moves, emitted, float(np.log10(scales).sum())
+        starts = alpha[:, :first].sum(axis=1)
+        return starts, moves, emitted, float(np.log10(scales).sum(dtype=float))
 
 
-def _packs(rows: pa.Table, cut: int | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+def _packs(texts: list[np.ndarray], cut: int | None) -> Iterator[tuple[list[int], list[np.ndarray]]]:
     """The symbols of a block's texts, long ones first, in packs of about STEP_TOKENS tokens.
 
     Sequences of like length share a pack, so that many can be stepped through together.
     """
     found = []
-    for i, raw in enumerate(rows.column("symbols").to_pylist()):
-        symbols = np.frombuffer(raw, np.int32)
+    for i, symbols in enumerate(texts):
         step = cut or len(symbols)
         found.extend((i, symbols[at : at + step]) for at in range(0, len(symbols), step))
     found.sort(key=lambda x: -len(x[1]))
@@ -269,42 +362,89 @@ def _packs(rows: pa.Table, cut: int | None) -> Iterator[tuple[list[int], list[np
         yield rows, pieces
 
 
-def _columns(states: int) -> list[str]:
-    return [f"e{s}" for s in range(states)]
+def _texts(row: dict) -> list[np.ndarray]:
+    sizes = np.frombuffer(row["sizes"], np.int32)
+    symbols = _unpacked(row["symbols"], int(sizes.sum()), np.int32)
+    return np.split(symbols, np.cumsum(sizes)[:-1])
 
 
-def _needed(
-    encoded: DataFrame, expected: DataFrame, states: int, counts: DataFrame | None = None
-) -> DataFrame:
-    """(of_block, at, word, e0, ...): the rare words of each block with their expected counts, and
-    with their counts c if these are given."""
-    uses = encoded.where("rare IS NOT NULL").select(
-        F.col("block").alias("of_block"), F.posexplode("rare").alias("at", "word")
-    )
-    known = expected.where("word IS NOT NULL").drop("symbol")
-    if counts is not None:
-        known = known.join(counts, "word")
-    return uses.join(known, "word", "left").select(
-        "of_block",
-        "at",
-        "word",
-        *[F.coalesce(F.col(c), F.lit(0).cast(kind)).alias(c) for c, kind in known.dtypes if c != "word"],
+def _blocks(encoded: DataFrame, places: DataFrame, extra: list[str], held: bool) -> DataFrame:
+    """The rows of texts, if ``held`` of held-out ones too, and the places of blocks."""
+    texts = encoded.where("part IS NULL" if held else "part IS NULL AND NOT held_out")
+    return texts.select("block", "held_out", "ids", "sizes", "symbols").unionByName(
+        places.select("block", "part", "n", "at", *extra), allowMissingColumns=True
     )
 
 
-def _block_model(model: Model, rare: pa.Table, share: np.ndarray, smoothed: float):
-    """The model with the block's rare words, and those rows by symbol."""
-    order = np.argsort(rare.column("at").to_numpy())
-    rare = rare.take(pa.array(order))
-    expected = np.array([rare.column(c).to_numpy() for c in _columns(len(share))], float).T
-    emit = np.concatenate([model.emit, (expected / share + 1.0) / smoothed])
-    return Model(model.start, model.move, emit), rare
+def _block_model(model: Model, share: np.ndarray, smoothed: float, rows: list[dict], sums: pa.Table):
+    """The model with the block's rare words, and (part, at) of these, in order.
+
+    Before the first round there are no ``sums``: rare words begin without a preference.
+    """
+    states = len(share)
+    rows = sorted((r for r in rows if r["part"] is not None), key=lambda r: r["part"])
+    of_part = dict(zip(sums.column("part").to_pylist(), sums.column("numbers").to_pylist(), strict=True))
+    emit, found = [model.emit], []
+    for r in rows:
+        at = _unpacked(r["at"], r["n"], np.int32)
+        if r["part"] in of_part:
+            expected = np.zeros((r["n"], states))
+            expected[at >= 0] = np.frombuffer(of_part[r["part"]], np.float32).reshape(-1, states)
+        else:
+            c = _unpacked(r["c"], r["n"], np.int64)
+            expected = np.repeat(c[:, None] / states, states, axis=1)
+        emit.append((expected / share + 1.0) / smoothed)
+        found.append((r["part"], at))
+    return Model(model.start, model.move, np.concatenate(emit)), found
+
+
+_SUMS = "block bigint, part int, at binary, numbers binary"
+
+
+def _sums(rows: DataFrame, states: int) -> DataFrame:
+    """Numbers of all blocks added up by part, for each block that has some of them.
+
+    Rows without a block hold 64-bit sums: of the part's words together, or what negative parts
+    hold: the symbols from (-1 - part) * RANGE, and as NUMBERS the likelihood, starts and moves.
+    """
+
+    def add(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
+        part, total, found = key[0].as_py(), np.zeros((0, states)), []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("block", "at", "numbers")]
+            for block, at, numbers in zip(*columns, strict=True):
+                if at is None:
+                    numbers = np.frombuffer(numbers, np.float64).reshape(-1, states)
+                    total = numbers if not len(total) else total + numbers
+                    continue
+                at = np.frombuffer(at, np.int32)
+                if len(at) and at.max() >= len(total):
+                    total = np.concatenate([total, np.zeros((at.max() + 1 - len(total), states))])
+                # a block has a word once
+                total[at] += np.frombuffer(numbers, np.float32).reshape(-1, states)
+                found.append((block, at))
+        whole = total if part < 0 else total.sum(axis=0)
+        rows = [(None, part, None, whole.tobytes())]
+        rows += [(b, part, None, total[at].astype(np.float32).tobytes()) for b, at in found]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(x, kind)
+                for x, kind in zip(
+                    zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True
+                )
+            ],
+            ["block", "part", "at", "numbers"],
+        )
+
+    return rows.groupBy("part").applyInArrow(add, _SUMS)
 
 
 def train(
     encoded: DataFrame,
     words: Vocabulary,
-    counts: DataFrame,
+    places: DataFrame,
     states: int,
     rounds: int | None,
     seed: int,
@@ -316,16 +456,9 @@ def train(
     round is run, and every emission is (0 + 1) / (0 + 0 + 1).
     """
     spark = encoded.sparkSession
-    names = _columns(states)
     model, share = first_model(words, states, seed), np.full(states, 1.0 / states)
-    # Rare words begin without a preference.
-    expected = counts.select(
-        F.lit(None).cast("int").alias("symbol"),
-        "word",
-        *[(F.col("c") / states).cast("float").alias(e) for e in names],
-    )
+    expected = spark.createDataFrame([], _SUMS)
     paths = [work_path(spark, "hmm-expected") for _ in range(2)]  # this round's and the last one's
-    rows = encoded.where("NOT held_out").select("block", "symbols")
     smoothed = words.smoothed()
     if not words.total:
         model = Model(model.start, model.move, np.ones_like(model.emit))
@@ -333,60 +466,65 @@ def train(
     for number in range(0 if settled else MOST_ROUNDS if rounds is None else rounds):
         shared = spark.sparkContext.broadcast((model, share))
 
-        def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
-            model, rare = _block_model(shared.value[0], rare, shared.value[1], smoothed)
-            word = rare.column("word")
-            starts, moves = np.zeros(states), np.zeros((states, states))
-            emitted, gained = np.zeros((states, len(model.emit))), 0.0
-            for _, pieces in _packs(docs, CUT):
-                s, m, e, log = Lanes(pieces).expectations_and_log(model)
-                starts, moves, emitted, gained = starts + s, moves + m, emitted + e, gained + log
-            used = np.flatnonzero(emitted.any(axis=0))
-            at = np.searchsorted(used, CLASSES)
-            # Negative symbols: the likelihood, starts and moves.
-            logs = np.zeros(states)
-            logs[0] = gained
-            numbers = np.concatenate([[logs], [starts], moves, emitted[:, used].T])
-            symbols = np.concatenate([-1 - np.arange(states + 2), used[:at]])
-            others = len(used) - at
+        def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
+            blocks = docs.to_pylist()
+            model, found = _block_model(*shared.value, smoothed, blocks, sums)
+            model = Model(*[x.astype(np.float32) for x in (model.start, model.move, model.emit)])
+            logs, starts, moves = np.zeros((1, states)), np.zeros(states), np.zeros((states, states))
+            emitted = np.zeros((states, len(model.emit)))
+            for row in blocks:
+                for _, pieces in _packs(_texts(row), CUT) if row["part"] is None else ():
+                    s, m, e, log = Lanes(pieces).expectations_and_log(model)
+                    starts, moves, logs[0, 0] = starts + s, moves + m, logs[0, 0] + log
+                    emitted += e
+            emitted = emitted.T
+            rows = [(NUMBERS, None, np.concatenate([logs, [starts], moves]).tobytes())]
+            rows += [
+                (-1 - i, None, emitted[x : min(CLASSES, x + RANGE)].tobytes())
+                for i, x in enumerate(range(0, CLASSES, RANGE))
+            ]
+            begin = CLASSES
+            for part, at in found:
+                numbers = emitted[begin : begin + len(at)][at >= 0].astype(np.float32)
+                rows.append((part, at[at >= 0].tobytes(), numbers.tobytes()))
+                begin += len(at)
+            part, at, numbers = zip(*rows, strict=True)
             return pa.Table.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(symbols, pa.int32()), pa.nulls(others, pa.int32())]),
-                    pa.array(
-                        [None] * len(symbols) + word.take(pa.array(used[at:] - CLASSES)).to_pylist(),
-                        pa.binary(),
-                    ),
-                    *[pa.array(x.astype(np.float32)) for x in numbers.T],
+                    pa.array([blocks[0]["block"] if blocks else None] * len(rows), pa.int64()),
+                    pa.array(part, pa.int32()),
+                    pa.array(at, pa.binary()),
+                    pa.array(numbers, pa.binary()),
                 ],
-                names=["symbol", "word", *names],
+                names=["block", "part", "at", "numbers"],
             )
 
-        sums = (
-            rows.groupBy("block")
-            .cogroup(_needed(encoded, expected, states).groupBy("of_block"))
-            .applyInArrow(run, "symbol int, word binary, " + ", ".join(f"{e} float" for e in names))
-            .groupBy("symbol", "word")
-            .agg(*[F.sum(e).cast("float").alias(e) for e in names])
+        sums = _sums(
+            _blocks(encoded, places, [] if number else ["c"], held=False)
+            .groupBy("block")
+            .cogroup(_of_blocks(expected))
+            .applyInArrow(run, _SUMS),
+            states,
         )
         path = paths[number % 2]
         with tidy(spark):
             sums.write.mode("overwrite").parquet(path)
-        expected = spark.read.schema(sums.schema).parquet(path)
+        expected = spark.read.schema(_SUMS).parquet(path)
         shared.unpersist()
-        fixed = expected.where("symbol IS NOT NULL").toArrow()  # CLASSES + states + 2 rows
-        at = fixed.column("symbol").to_numpy()
-        table = np.zeros((CLASSES + states + 2, states))
-        table[at] = np.array([fixed.column(e).to_numpy() for e in names]).T  # negative: from the end
-        log, starts, moves = table[-1, 0], table[-2] + 0.1, table[-3 : -3 - states : -1] + 0.1
-        of_rare = expected.where("word IS NOT NULL").agg(
-            *[F.coalesce(F.sum(e), F.lit(0.0)) for e in names]
-        )
-        whole = table[:CLASSES].sum(axis=0) + np.array(of_rare.first())
+        whole, table = np.zeros(states), np.zeros((CLASSES, states))
+        for part, numbers in expected.where("block IS NULL").select("part", "numbers").toLocalIterator():
+            numbers = np.frombuffer(numbers, np.float64).reshape(-1, states)
+            if part == NUMBERS:
+                log, starts, moves = numbers[0, 0], numbers[1] + 0.1, numbers[2:] + 0.1
+            elif part < 0:
+                table[(-1 - part) * RANGE :][: len(numbers)] = numbers
+            if part != NUMBERS:
+                whole += numbers.sum(axis=0)
         share = np.maximum(whole, 1e-6) / words.total
         model = Model(
             starts / starts.sum(),
             moves / moves.sum(axis=1, keepdims=True),
-            (table[:CLASSES] / share + 1.0) / smoothed,
+            (table / share + 1.0) / smoothed,
         )
         settled = before is not None and log - before <= TOLERANCE * abs(before)
         if settled:
@@ -397,6 +535,11 @@ def train(
     return model, share, expected
 
 
+def _of_blocks(expected: DataFrame):
+    known = expected.where("block IS NOT NULL")
+    return known.select(F.col("block").alias("of_block"), "part", "numbers").groupBy("of_block")
+
+
 def score(
     docs: DataFrame, states: int = STATES, rounds: int | None = None, seed: int = 5
 ) -> DataFrame:
@@ -408,23 +551,33 @@ def score(
         counts = stored(count_words(training), "hmm-counts")
         words = vocabulary(counts, training.count())
     encoded = encode(docs, words)
-    model, share, expected = train(encoded, words, counts, states, rounds, seed)
+    with tidy(spark):
+        places = place(encoded, counts, words)
+    model, share, expected = train(encoded, words, places, states, rounds, seed)
     shared = spark.sparkContext.broadcast((model, share, words.counts))
-    smoothed = words.smoothed()
+    smoothed, words_total = words.smoothed(), int(words.total)
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, sums: pa.Table) -> pa.Table:
         model, share, seen = shared.value
-        model, rare = _block_model(model, rare, share, smoothed)
-        seen = np.concatenate([seen, rare.column("c").to_numpy()])
+        blocks = docs.to_pylist()
+        model, _ = _block_model(model, share, smoothed, blocks, sums)
+        listed = sorted((r for r in blocks if r["part"] is not None), key=lambda r: r["part"])
+        seen = np.concatenate([seen, *[_unpacked(r["c"], r["n"], np.int64) for r in listed]])
         logs = np.log10(seen + 1.0) - math.log10(smoothed)
-        found = [np.frombuffer(x, np.int32) for x in docs.column("symbols").to_pylist()]
+        ids, of_held, found = [], [], []
+        for row in blocks:
+            if row["part"] is None:
+                ids += row["ids"]
+                of_held += [row["held_out"]] * len(row["ids"])
+                found += _texts(row)
         hidden = np.zeros(len(found))
-        for rows, pieces in _packs(docs, None):
+        for rows, pieces in _packs(found, None):
             hidden[rows] = Lanes(pieces).log_likelihoods(model)
         return pa.Table.from_arrays(
             [
-                docs.column("doc_id"),
-                docs.column("held_out"),
+                pa.array(ids, docs.schema.field("ids").type.value_type),
+                pa.array(of_held, pa.bool_()),
                 pa.array([len(x) for x in found], pa.int64()),
                 pa.array([int((seen[x] > 0).sum()) for x in found], pa.int64()),
                 pa.array([words_total] * len(found), pa.int64()),
@@ -434,12 +587,10 @@ def score(
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    words_total = int(words.total)
-    kind = dict(docs.dtypes)["doc_id"]
     return (
-        encoded.select("block", "doc_id", "held_out", "symbols")
+        _blocks(encoded, places, ["c"], held=True)
         .groupBy("block")
-        .cogroup(_needed(encoded, expected, states, counts).groupBy("of_block"))
+        .cogroup(_of_blocks(expected))
         .applyInArrow(
             run,
             f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint,"

@@ -267,6 +267,32 @@ def test_training_keeps_two_rounds_of_counts(spark, monkeypatch, tmp_path):
     assert (dict(spark.sparkContext.getConf().getAll()), spark.conf.getAll) == before
 
 
+def test_training_exchanges_packed_numbers(spark, monkeypatch, tmp_path):
+    """Symbols take less than 32 bits each, and counts go by block and part, not by word."""
+    import random
+
+    from netvigil.llm import common
+
+    named = iter(range(1000))
+    for module in (common, hmm):
+        monkeypatch.setattr(
+            module, "work_path", lambda _, label: str(tmp_path / f"{label}-{next(named)}"), raising=False
+        )
+    monkeypatch.setattr(hmm, "FREQUENT", 1000)
+    rng = random.Random(2)
+    kinds = [f"w{i}" for i in range(5000)]
+    docs = spark.createDataFrame(
+        [(i, " ".join(rng.choices(kinds, k=500))) for i in range(100)], "doc_id long, text string"
+    )
+    got = hmm.score(docs, states=2, rounds=2).collect()
+    encoded = spark.read.parquet(str(next(tmp_path.glob("hmm-encoded-*"))))
+    size = encoded.selectExpr("sum(octet_length(symbols))").first()[0]
+    assert size < 3 * sum(r.n_tokens for r in got) == 3 * 100 * 501
+    blocks = encoded.select("block").distinct().count()
+    for path in tmp_path.glob("hmm-expected-*"):
+        assert spark.read.parquet(str(path)).count() < 8 * blocks + 200 < len(kinds)
+
+
 def _small_model(seed):
     import numpy as np
 
