@@ -8,11 +8,13 @@ known words, so that mixed over states a word has its smoothed frequency (c + 1)
 Baum-Welch runs over all training texts: tasks compute expected counts with scaled
 forward and backward recursions, and Spark sums them by parts of the vocabulary. The counts of
 the ``FREQUENT`` most frequent words are broadcast; those of all others travel between their
-parts and the blocks of texts that use them, as packed 32-bit numbers without the words: a block
-lists its rare words in order of the parts, and ``place`` gives their places there once. Symbols
-are kept and sent compressed. Rounds go on until the log-likelihood of the training texts gains
-less than ``TOLERANCE`` of itself. Counts of two rounds are kept, and a round's shuffle files go
-when it ends. Recursions of the training are of 32-bit numbers, those of the scores of 64 bits.
+parts and the blocks of texts that use them, without the words: a block lists its rare words in
+order of the parts, and ``place`` gives their places there once. Their counts travel as whole
+numbers with the shares of the states in them, which are rounded to 16-bit floating point; q is
+of the rounded ones, so that emissions add up as before. Symbols are kept and sent compressed.
+Rounds go on until the log-likelihood of the training texts gains less than ``TOLERANCE`` of
+itself. Counts of two rounds are kept, and a round's shuffle files go when it ends. Recursions
+of the training are of 32-bit numbers, those of the scores of 64 bits.
 A text's score is the exact likelihood from the scaled
 forward recursion over all its tokens.
 
@@ -51,7 +53,7 @@ TOLERANCE = 1e-4
 MOST_ROUNDS = 60
 CUT = 1 << 16
 FLUSH_WORDS = 300_000
-STEP_TOKENS = 1 << 20
+STEP_TOKENS = 1 << 19
 BLOCK = 1 << 25  # bytes of text that share a list of rare words
 PART_KINDS = 1 << 17
 RANGE = 1 << 10  # frequent symbols whose counts are summed together
@@ -332,7 +334,7 @@ class Lanes:
         first = self.open[0]
         # The same lane, a step before.
         before = np.arange(first, len(self.symbols)) - np.repeat(self.open[:-1], self.open[1:])
-        moves = alpha.take(before, axis=1) @ emit[:, first:].T * model.move
+        moves = np.stack([emit[:, first:] @ row.take(before) for row in alpha]) * model.move
         # alpha becomes the probability of each state given the whole sequence
         alpha *= beta
         emitted = np.stack([np.bincount(self.symbols, row, len(model.emit)) for row in alpha])
@@ -368,11 +370,11 @@ def _texts(row: dict) -> list[np.ndarray]:
     return np.split(symbols, np.cumsum(sizes)[:-1])
 
 
-def _blocks(encoded: DataFrame, places: DataFrame, extra: list[str], held: bool) -> DataFrame:
+def _blocks(encoded: DataFrame, places: DataFrame, held: bool) -> DataFrame:
     """The rows of texts, if ``held`` of held-out ones too, and the places of blocks."""
     texts = encoded.where("part IS NULL" if held else "part IS NULL AND NOT held_out")
     return texts.select("block", "held_out", "ids", "sizes", "symbols").unionByName(
-        places.select("block", "part", "n", "at", *extra), allowMissingColumns=True
+        places, allowMissingColumns=True
     )
 
 
@@ -386,56 +388,68 @@ def _block_model(model: Model, share: np.ndarray, smoothed: float, rows: list[di
     of_part = dict(zip(sums.column("part").to_pylist(), sums.column("numbers").to_pylist(), strict=True))
     emit, found = [model.emit], []
     for r in rows:
-        at = _unpacked(r["at"], r["n"], np.int32)
+        at, c = _unpacked(r["at"], r["n"], np.int32), _unpacked(r["c"], r["n"], np.int64)
+        shares = np.full((r["n"], states), 1.0 / states)
         if r["part"] in of_part:
-            expected = np.zeros((r["n"], states))
-            expected[at >= 0] = np.frombuffer(of_part[r["part"]], np.float32).reshape(-1, states)
-        else:
-            c = _unpacked(r["c"], r["n"], np.int64)
-            expected = np.repeat(c[:, None] / states, states, axis=1)
-        emit.append((expected / share + 1.0) / smoothed)
+            shares[at >= 0] = np.frombuffer(of_part[r["part"]], np.float16).reshape(-1, states)
+        emit.append((c[:, None] * shares / share + 1.0) / smoothed)
         found.append((r["part"], at))
     return Model(model.start, model.move, np.concatenate(emit)), found
 
 
-_SUMS = "block bigint, part int, at binary, numbers binary"
+def _shares(expected: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of the states in the counts of words, as 16-bit floating point numbers."""
+    return (expected / np.maximum(c, 1)[:, None]).astype(np.float16)
+
+
+_SUMS = "block bigint, part int, at binary, c binary, numbers binary"
 
 
 def _sums(rows: DataFrame, states: int) -> DataFrame:
-    """Numbers of all blocks added up by part, for each block that has some of them.
+    """Numbers of all blocks added up by part; shares of its words' counts for each block.
 
-    Rows without a block hold 64-bit sums: of the part's words together, or what negative parts
-    hold: the symbols from (-1 - part) * RANGE, and as NUMBERS the likelihood, starts and moves.
+    Blocks send (at, c, shares) of words. Rows without a block hold 64-bit sums: of the part's
+    words together, or what negative parts hold: the symbols from (-1 - part) * RANGE, and as
+    NUMBERS the likelihood, starts and moves.
     """
 
     def add(
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
-        part, total, found = key[0].as_py(), np.zeros((0, states)), []
+        part, total, seen, found = key[0].as_py(), np.zeros((0, states)), np.zeros(0, np.int64), []
+        kind = np.float64 if part == NUMBERS else np.float32
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "at", "numbers")]
-            for block, at, numbers in zip(*columns, strict=True):
+            columns = [batch.column(x).to_pylist() for x in ("block", "at", "c", "numbers")]
+            for block, at, c, numbers in zip(*columns, strict=True):
                 if at is None:
-                    numbers = np.frombuffer(numbers, np.float64).reshape(-1, states)
+                    numbers = np.frombuffer(numbers, kind).reshape(-1, states).astype(float)
                     total = numbers if not len(total) else total + numbers
                     continue
                 at = np.frombuffer(at, np.int32)
+                c = _unpacked(c, len(at), np.int32)
                 if len(at) and at.max() >= len(total):
-                    total = np.concatenate([total, np.zeros((at.max() + 1 - len(total), states))])
+                    more = at.max() + 1 - len(total)
+                    total = np.concatenate([total, np.zeros((more, states))])
+                    seen = np.concatenate([seen, np.zeros(more, np.int64)])
                 # a block has a word once
-                total[at] += np.frombuffer(numbers, np.float32).reshape(-1, states)
+                total[at] += c[:, None] * np.frombuffer(numbers, np.float16).reshape(-1, states)
+                seen[at] += c
                 found.append((block, at))
-        whole = total if part < 0 else total.sum(axis=0)
-        rows = [(None, part, None, whole.tobytes())]
-        rows += [(b, part, None, total[at].astype(np.float32).tobytes()) for b, at in found]
+        rows = [(None, total.tobytes())]
+        if part >= 0:
+            shares = _shares(total, seen)
+            rows = [(None, (seen[:, None] * shares.astype(float)).sum(axis=0).tobytes())]
+            rows += [(block, shares[at].tobytes()) for block, at in found]
+        blocks, numbers = zip(*rows, strict=True)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(x, kind)
-                for x, kind in zip(
-                    zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True
-                )
+                pa.array(blocks, pa.int64()),
+                pa.array([part] * len(rows), pa.int32()),
+                pa.nulls(len(rows), pa.binary()),
+                pa.nulls(len(rows), pa.binary()),
+                pa.array(numbers, pa.binary()),
             ],
-            ["block", "part", "at", "numbers"],
+            ["block", "part", "at", "c", "numbers"],
         )
 
     return rows.groupBy("part").applyInArrow(add, _SUMS)
@@ -477,30 +491,32 @@ def train(
                     s, m, e, log = Lanes(pieces).expectations_and_log(model)
                     starts, moves, logs[0, 0] = starts + s, moves + m, logs[0, 0] + log
                     emitted += e
+                    del e
             emitted = emitted.T
-            rows = [(NUMBERS, None, np.concatenate([logs, [starts], moves]).tobytes())]
-            rows += [
-                (-1 - i, None, emitted[x : min(CLASSES, x + RANGE)].tobytes())
-                for i, x in enumerate(range(0, CLASSES, RANGE))
-            ]
+            rows = [(NUMBERS, None, None, np.concatenate([logs, [starts], moves]).tobytes())]
+            for i, x in enumerate(range(0, CLASSES, RANGE)):
+                numbers = emitted[x : min(CLASSES, x + RANGE)].astype(np.float32)
+                rows.append((-1 - i, None, None, numbers.tobytes()))
             begin = CLASSES
             for part, at in found:
-                numbers = emitted[begin : begin + len(at)][at >= 0].astype(np.float32)
-                rows.append((part, at[at >= 0].tobytes(), numbers.tobytes()))
+                numbers = emitted[begin : begin + len(at)][at >= 0]
+                c = np.rint(numbers.sum(axis=1)).astype(np.int32)
+                rows.append((part, at[at >= 0].tobytes(), _packed(c), _shares(numbers, c).tobytes()))
                 begin += len(at)
-            part, at, numbers = zip(*rows, strict=True)
+            part, at, c, numbers = zip(*rows, strict=True)
             return pa.Table.from_arrays(
                 [
-                    pa.array([blocks[0]["block"] if blocks else None] * len(rows), pa.int64()),
+                    pa.array([blocks[0]["block"]] * len(rows), pa.int64()),
                     pa.array(part, pa.int32()),
                     pa.array(at, pa.binary()),
+                    pa.array(c, pa.binary()),
                     pa.array(numbers, pa.binary()),
                 ],
-                names=["block", "part", "at", "numbers"],
+                names=["block", "part", "at", "c", "numbers"],
             )
 
         sums = _sums(
-            _blocks(encoded, places, [] if number else ["c"], held=False)
+            _blocks(encoded, places, held=False)
             .groupBy("block")
             .cogroup(_of_blocks(expected))
             .applyInArrow(run, _SUMS),
@@ -512,7 +528,8 @@ def train(
         expected = spark.read.schema(_SUMS).parquet(path)
         shared.unpersist()
         whole, table = np.zeros(states), np.zeros((CLASSES, states))
-        for part, numbers in expected.where("block IS NULL").select("part", "numbers").toLocalIterator():
+        # as many rows as parts, and 4 MB of frequent words
+        for part, numbers in expected.where("block IS NULL").select("part", "numbers").collect():
             numbers = np.frombuffer(numbers, np.float64).reshape(-1, states)
             if part == NUMBERS:
                 log, starts, moves = numbers[0, 0], numbers[1] + 0.1, numbers[2:] + 0.1
@@ -588,7 +605,7 @@ def score(
         )
 
     return (
-        _blocks(encoded, places, ["c"], held=True)
+        _blocks(encoded, places, held=True)
         .groupBy("block")
         .cogroup(_of_blocks(expected))
         .applyInArrow(
