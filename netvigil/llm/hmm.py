@@ -408,7 +408,7 @@ _SUMS = "block bigint, part int, at binary, c binary, numbers binary"
 def _sums(rows: DataFrame, states: int) -> DataFrame:
     """Numbers of all blocks added up by part; shares of its words' counts for each block.
 
-    Blocks send (at, c, shares) of words. Rows without a block hold 64-bit sums: of the part's
+    Blocks send (at, c, shares) of words, and (at, sums) of frequent symbols they use. Rows without a block hold 64-bit sums: of the part's
     words together, or what negative parts hold: the symbols from (-1 - part) * RANGE, and as
     NUMBERS the likelihood, starts and moves.
     """
@@ -417,15 +417,19 @@ def _sums(rows: DataFrame, states: int) -> DataFrame:
         key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
     ) -> Iterator[pa.RecordBatch]:
         part, total, seen, found = key[0].as_py(), np.zeros((0, states)), np.zeros(0, np.int64), []
-        kind = np.float64 if part == NUMBERS else np.float32
+        if NUMBERS < part < 0:
+            total = np.zeros((RANGE, states))
         for batch in batches:
             columns = [batch.column(x).to_pylist() for x in ("block", "at", "c", "numbers")]
             for block, at, c, numbers in zip(*columns, strict=True):
-                if at is None:
-                    numbers = np.frombuffer(numbers, kind).reshape(-1, states).astype(float)
+                if part == NUMBERS:
+                    numbers = np.frombuffer(numbers, np.float64).reshape(-1, states)
                     total = numbers if not len(total) else total + numbers
                     continue
                 at = np.frombuffer(at, np.int32)
+                if part < 0:
+                    total[at] += np.frombuffer(numbers, np.float32).reshape(-1, states)
+                    continue
                 c = _unpacked(c, len(at), np.int32)
                 if len(at) and at.max() >= len(total):
                     more = at.max() + 1 - len(total)
@@ -496,7 +500,8 @@ def train(
             rows = [(NUMBERS, None, None, np.concatenate([logs, [starts], moves]).tobytes())]
             for i, x in enumerate(range(0, CLASSES, RANGE)):
                 numbers = emitted[x : min(CLASSES, x + RANGE)].astype(np.float32)
-                rows.append((-1 - i, None, None, numbers.tobytes()))
+                used = np.flatnonzero(numbers.any(axis=1)).astype(np.int32)
+                rows.append((-1 - i, used.tobytes(), None, numbers[used].tobytes()))
             begin = CLASSES
             for part, at in found:
                 numbers = emitted[begin : begin + len(at)][at >= 0]
@@ -534,7 +539,8 @@ def train(
             if part == NUMBERS:
                 log, starts, moves = numbers[0, 0], numbers[1] + 0.1, numbers[2:] + 0.1
             elif part < 0:
-                table[(-1 - part) * RANGE :][: len(numbers)] = numbers
+                begin = (-1 - part) * RANGE
+                table[begin : begin + RANGE] = numbers[: CLASSES - begin]
             if part != NUMBERS:
                 whole += numbers.sum(axis=0)
         share = np.maximum(whole, 1e-6) / words.total
