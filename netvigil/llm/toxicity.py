@@ -222,7 +222,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     )
     n = marked.count()
     if n > max_labelled:
-        marked = marked.where(uniform("toxicity", F.col("doc_id")) < max_labelled / n)
+        marked = marked.where(uniform(F.lit("toxicity"), F.col("doc_id")) < max_labelled / n)
     ids = marked.select(F.col("doc_id").alias("labelled_id"), "label")
     texts = docs.select("doc_id", "text")
     return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
